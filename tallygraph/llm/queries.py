@@ -72,7 +72,7 @@ ORACLE_SQL = {
     "op5_neardup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^ \\x09-\\x0D]+') AS a FROM documents),
 s AS (SELECT DISTINCT doc_id, g FROM (
-  SELECT doc_id, unnest(CASE WHEN len(a) >= 2 THEN list_transform(range(1, len(a)), i -> a[i] || ' ' || a[i + 1]) WHEN len(a) = 1 THEN a ELSE [] END) AS g FROM w)),
+  SELECT doc_id, unnest(CASE WHEN len(a) >= 2 THEN list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]) WHEN len(a) = 1 THEN a ELSE [] END) AS g FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
