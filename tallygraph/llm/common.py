@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel holds at once; one longer text is held alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch, where the session leaves Spark's default: texts are long.
+BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers started from now on import this package. A cluster whose
+    """Let Python workers started from now on import this package, and get small batches. A cluster whose
     machines don't have it installed gets it by ``--py-files``."""
     root = str(Path(__file__).resolve().parents[2])
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, "10000") == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     known = [p for p in (env.get("PYTHONPATH") or "").split(os.pathsep) if p]
     if root not in known:
@@ -97,6 +102,13 @@ def arrow_map(df: DataFrame, schema: str, column: str, work: Callable[[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def fetch(df: DataFrame) -> dict[str, np.ndarray]:
+    """Columns of a small result, by Arrow whatever the session says: rows as
+    Python objects would take the driver many times the memory."""
+    got = df.toArrow()
+    return {c: got.column(c).to_numpy() for c in got.column_names}
+
+
 def bits_of(df: DataFrame, column: str, bits: int = 1 << 24, hashes: int = 2) -> np.ndarray:
     """A Bloom filter over a long column, of fixed size (bits / 8 bytes) whatever the
     rows: a pre-filter that lets some rows pass too many, never too few. Its words
@@ -106,10 +118,10 @@ def bits_of(df: DataFrame, column: str, bits: int = 1 << 24, hashes: int = 2) ->
         df.select(F.explode(slots).alias("b"))
         .groupBy(F.expr("b div 64").alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
-        .toPandas()
     )
+    got = fetch(rows)
     out = np.zeros(bits // 64, np.int64)
-    out[rows.w.to_numpy(np.int64)] = rows.v.to_numpy(np.int64)
+    out[got["w"]] = got["v"]
     return out
 
 

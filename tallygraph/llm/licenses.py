@@ -65,9 +65,9 @@ def frequencies(df: DataFrame, tokens: np.ndarray, text: str = "text") -> np.nda
         slot, n = np.unique(at, return_counts=True)
         return {"slot": pa.array(slot, pa.int64()), "n": pa.array(n, pa.int64())}
 
-    got = common.arrow_map(df.select(F.col(text).alias("text")), "slot long, n long", "text", work).groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    got = common.fetch(common.arrow_map(df.select(F.col(text).alias("text")), "slot long, n long", "text", work).groupBy("slot").agg(F.sum("n").alias("n")))
     out = np.zeros(len(tokens), np.int64)
-    out[got.slot.to_numpy(np.int64)] = got.n.to_numpy(np.int64)
+    out[got["slot"]] = got["n"]
     return out
 
 

@@ -169,7 +169,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, hundredths: int) -> Da
     return common.arrow_map(rows.select("a", "b", "text_a", "text_b"), "a long, b long", "text_a", work)
 
 
-def _prefixes(live: DataFrame, n: int, hundredths: int, slots: int = 1 << 22) -> DataFrame:
+def _prefixes(live: DataFrame, n: int, hundredths: int, slots: int = 1 << 20) -> DataFrame:
     """(rep, comp, n, token): the shingles of a set of which two sets that reach the
     threshold must share one, if every set is put in one common order: its first
     len - ceil(threshold * len) + 1. Rare shingles come first; how rare a shingle
@@ -181,11 +181,12 @@ def _prefixes(live: DataFrame, n: int, hundredths: int, slots: int = 1 << 22) ->
         slot, times = np.unique(hashes & np.uint64(slots - 1), return_counts=True)
         return {"slot": pa.array(slot.astype(np.int32)), "times": pa.array(times, pa.int64())}
 
-    # A slot's count as a byte, 8 steps a doubling: 4 MB for all, whatever the rows.
+    # A slot's count as a byte, 8 steps a doubling: 1 MB for all, whatever the rows.
     level = F.least(F.lit(255), F.floor(F.log2("times") * 8)).cast("int")
-    got = common.arrow_map(live.select("text"), "slot int, times long", "text", count).groupBy("slot").agg(F.sum("times").alias("times")).select("slot", level.alias("level")).toPandas()
+    counts = common.arrow_map(live.select("text"), "slot int, times long", "text", count).groupBy("slot").agg(F.sum("times").alias("times"))
+    got = common.fetch(counts.select("slot", level.alias("level")))
     levels = np.zeros(slots, np.uint8)
-    levels[got.slot.to_numpy()] = got.level.to_numpy()
+    levels[got["slot"]] = got["level"]
 
     def work(batch: pa.RecordBatch) -> dict:
         hashes, first = sets(*words.buffer(batch.column(2)), n)

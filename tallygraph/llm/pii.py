@@ -231,9 +231,9 @@ def train(df: DataFrame, text: str = "text") -> Field:
         at = np.flatnonzero(flat)
         return {"slot": pa.array(at, pa.int32()), "n": pa.array(flat[at].astype(np.int64))}
 
-    got = common.arrow_map(df.select(F.col(text).alias("text")), "slot int, n long", "text", work).groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    got = common.fetch(common.arrow_map(df.select(F.col(text).alias("text")), "slot int, n long", "text", work).groupBy("slot").agg(F.sum("n").alias("n")))
     flat = np.zeros(SHAPES * LABELS + LABELS * LABELS + 2)
-    flat[got.slot.to_numpy(int)] = got.n.to_numpy(float)
+    flat[got["slot"]] = got["n"]
     a, b = SHAPES * LABELS, SHAPES * LABELS + LABELS * LABELS
     return Field(flat[:a].reshape(SHAPES, LABELS), flat[a:b].reshape(LABELS, LABELS), flat[b:])
 

@@ -184,8 +184,9 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_
     # Bounded by the sample, so it goes to every task.
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
     got = common.arrow_map(rows.select(F.col("doc_id").cast("long"), "_y", "text"), "doc_id long, y int, slots binary", "text", work)
-    got = got.orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id", "y", "slots").toPandas()
-    return train([np.frombuffer(x, "<i4") for x in got.slots], got.y.to_numpy(int))
+    got = got.orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id", "y", "slots")
+    got = common.fetch(got.select("y", "slots"))
+    return train([np.frombuffer(x, "<i4") for x in got["slots"]], got["y"].astype(int))
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
