@@ -169,11 +169,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, hundredths: int) -> Da
     return common.arrow_map(rows.select("a", "b", "text_a", "text_b"), "a long, b long", "text_a", work)
 
 
-def _prefixes(live: DataFrame, n: int, hundredths: int, slots: int = 1 << 20) -> DataFrame:
-    """(rep, comp, n, token): the shingles of a set of which two sets that reach the
-    threshold must share one, if every set is put in one common order: its first
-    len - ceil(threshold * len) + 1. Rare shingles come first; how rare a shingle
-    is, is known by its slot in a table of fixed size, which is order enough."""
+def _prefixes(live: DataFrame, n: int, hundredths: int, slots: int = 1 << 24) -> DataFrame:
+    """(rep, comp, n, place, token): the shingles of a set of which two sets that
+    reach the threshold must share one, if every set is put in one common order: its
+    first len - ceil(threshold * len) + 1. Rare shingles come first; how rare a
+    shingle is, is known by its slot in a table of fixed size, which is order enough.
+    A shingle alone in its slot is in one set only and can be shared with none."""
     common.ship(live.sparkSession)
 
     def count(batch: pa.RecordBatch) -> dict:
@@ -181,24 +182,29 @@ def _prefixes(live: DataFrame, n: int, hundredths: int, slots: int = 1 << 20) ->
         slot, times = np.unique(hashes & np.uint64(slots - 1), return_counts=True)
         return {"slot": pa.array(slot.astype(np.int32)), "times": pa.array(times, pa.int64())}
 
-    # A slot's count as a byte, 8 steps a doubling: 1 MB for all, whatever the rows.
-    level = F.least(F.lit(255), F.floor(F.log2("times") * 8)).cast("int")
+    # A slot's count in 4 bits, 2 steps a doubling: 8 MB for all, whatever the rows.
+    level = F.least(F.lit(15), F.floor(F.log2("times") * 2)).cast("long").alias("level")
     counts = common.arrow_map(live.select("text"), "slot int, times long", "text", count).groupBy("slot").agg(F.sum("times").alias("times"))
-    got = common.fetch(counts.select("slot", level.alias("level")))
-    levels = np.zeros(slots, np.uint8)
-    levels[got["slot"]] = got["level"]
+    packed = counts.select("slot", level).groupBy(F.expr("slot div 16").alias("w")).agg(F.bit_or(F.expr("shiftleft(level, 4 * (slot % 16))")).alias("v"))
+    got = common.fetch(packed)
+    table = np.zeros(slots // 16, "<i8")
+    table[got["w"]] = got["v"]
+    table = table.view(np.uint8)
 
     def work(batch: pa.RecordBatch) -> dict:
         hashes, first = sets(*words.buffer(batch.column(2)), n)
+        slot = (hashes & np.uint64(slots - 1)).astype(np.int64)
+        rare = table[slot >> 1] >> ((slot & 1) * 4).astype(np.uint8) & 15
         size = np.diff(first)
         doc = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((hashes, levels[hashes & np.uint64(slots - 1)], doc))
+        order = np.lexsort((hashes, rare, doc))
         place = np.arange(len(doc)) - first[doc]
-        keep = place < (size - (size * hundredths + 99) // 100 + 1)[doc]
+        keep = (place < (size - (size * hundredths + 99) // 100 + 1)[doc]) & (rare[order] > 0)
+        place = place[keep]
         doc = pa.array(doc[keep])
-        return {"rep": batch.column(0).take(doc), "comp": batch.column(1).take(doc), "n": pa.array(size, pa.int64()).take(doc), "token": pa.array(hashes[order][keep].view(np.int64))}
+        return {"rep": batch.column(0).take(doc), "comp": batch.column(1).take(doc), "n": pa.array(size, pa.int64()).take(doc), "place": pa.array(place, pa.int64()), "token": pa.array(hashes[order][keep].view(np.int64))}
 
-    return common.arrow_map(live.select("rep", "comp", "text"), "rep long, comp long, n long, token long", "text", work)
+    return common.arrow_map(live.select("rep", "comp", "text"), "rep long, comp long, n long, place long, token long", "text", work)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,7 +270,9 @@ def near_duplicates(df: DataFrame, n: int = 2, hundredths: int = 80, key: str =
     live = common.cut(texts.join(live, "rep"), "live")
     rare = common.cut(_prefixes(live, n, hundredths), "rare")
     x, y = rare.alias("x"), rare.alias("y")
-    fits = F.expr(f"least(x.n, y.n) * 100 >= {hundredths} * greatest(x.n, y.n)")
+    # What both sets have from their first common shingle on must make up the overlap.
+    need = f"{hundredths} * (x.n + y.n) <= {100 + hundredths} *"
+    fits = F.expr(f"{need} (x.n - x.place) and {need} (y.n - y.place)")
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & fits)
     tried = across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = common.cut(_verified(candidates(tried), texts, n, hundredths), "more")
