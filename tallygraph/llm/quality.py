@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tallygraph.llm import common, words
 
 #: Hashed features, labelled rows at most, texts scored at once.
-BITS, SAMPLE, GROUP = 17, 6_000, 32
+BITS, SAMPLE, GROUP = 17, 4_000, 32
 DIM = 1 << BITS
 COST, EPOCHS, SMOOTH = 4.0, 12, 1.0
 #: Added to a vector's squared length, so that a few n-grams alone decide little.
@@ -94,16 +94,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(data, offsets) + self.shift, -35, 35)))
 
 
-def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, dim: int, cost: np.ndarray, epochs: int, seed: int = 2) -> tuple[np.ndarray, float]:
+def descend(rows: list[np.ndarray], ratios: np.ndarray, y: np.ndarray, dim: int, cost: np.ndarray, epochs: int, seed: int = 2) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the L1-loss linear SVM (Hsieh et al. 2008), with
-    a bias feature of 1. rows and values: each text's features and their values."""
+    a bias feature of 1. rows: each text's features; their values are the ratios over
+    the vector's length, made anew at each visit to hold one copy of the rows only."""
     rng = np.random.default_rng(seed)
     alpha, w, b = np.zeros(len(y)), np.zeros(dim), 0.0
-    diagonal = np.array([v @ v + 1 for v in values])
+    length = np.array([_length(ratios[x]) for x in rows])
+    diagonal = np.array([ratios[x] @ ratios[x] for x in rows]) / length**2 + 1
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(y)):
-            x, v = rows[i], values[i]
+            x = rows[i]
+            v = ratios[x] / length[i]
             g = y[i] * (w[x] @ v + b) - 1
             new = min(max(alpha[i] - g / diagonal[i], 0.0), cost[i])
             step = (new - alpha[i]) * y[i]
@@ -153,11 +156,10 @@ def train(rows: list[np.ndarray], y: np.ndarray) -> Model:
         for i in np.flatnonzero(some):
             counts[int(y[i]), rows[i]] += 1
         r = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-        values = [r[x] / _length(r[x]) for x in rows]
         pick = np.flatnonzero(some)
         share = y[pick].mean()
         cost = np.where(y[pick] == 1, COST / (2 * share), COST / (2 * (1 - share)))
-        w, b = descend([rows[i] for i in pick], [values[i] for i in pick], np.where(y[pick] == 1, 1.0, -1.0), DIM, cost, EPOCHS)
+        w, b = descend([rows[i] for i in pick], r, np.where(y[pick] == 1, 1.0, -1.0), DIM, cost, EPOCHS)
         return w, r, b
 
     w, r, b = fit(~fold)
