@@ -13,7 +13,8 @@ Defined cases: null level columns are the value '' of that level; null or empty
 text has 1 token, like any text without white space between words (tokens are
 white-space pieces, at least 1); a node without a weight gets ``default_weight``;
 repeated rows are rows of their own; an empty table gives no rows; other columns
-pass through unchanged.
+pass through unchanged, whatever their names, but those of the five added columns
+give way to them.
 """
 
 from __future__ import annotations
@@ -89,8 +90,12 @@ def mix(df: DataFrame, share: float = 0.5, epochs: int = 2, seed: int = 8, weigh
     mix_epoch (0-based), mix_before (tokens of the leaf before this row) and
     mix_budget (the leaf's). The total budget is ``share`` of all tokens, and a row
     may come up to ``epochs`` times."""
+    ours = {"mix_domain", "mix_tokens", "mix_epoch", "mix_before", "mix_budget"}
+    kept = [c for c in df.columns if c not in ours]
+    # The input's columns travel in a struct, so no name of theirs clashes with ours.
     rows = df.select(
-        "*",
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"),
+        F.col(key).alias("_key"),
         F.coalesce(domain_of(F.col("source")), F.lit("")).alias("_domain"),
         F.coalesce(F.col("lang"), F.lit("")).alias("_lang"),
         F.coalesce(F.col("source"), F.lit("")).alias("_source"),
@@ -106,13 +111,13 @@ def mix(df: DataFrame, share: float = 0.5, epochs: int = 2, seed: int = 8, weigh
         "budget",
     )
     # A few thousand rows a bucket keep a window's buffer of whole rows in memory.
-    placed = common.running(rows, "_n", ["_h", key, "_n"], names, rows=3_000)
+    placed = common.running(rows, "_n", ["_h", "_key", "_n"], names, rows=3_000)
     on = (F.col("_domain") == F.col("_leaf_domain")) & (F.col("_lang") == F.col("_leaf_lang")) & (F.col("_source") == F.col("_leaf_source"))
     # Row i of epoch e has e * own + before tokens before it: one order serves all epochs.
     chosen = placed.join(budget, on).where(F.col("before") < F.col("_budget"))
     chosen = chosen.withColumn("_e", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("_at", F.col("before") + F.col("_e") * F.col("_own")).where(F.col("_at") < F.col("_budget"))
     return chosen.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        *[F.col(f"_row.`{c}`").alias(c) for c in kept],
         F.col("_domain").alias("mix_domain"),
         F.col("_n").alias("mix_tokens"),
         F.col("_e").alias("mix_epoch"),
