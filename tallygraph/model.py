@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def ship(spark) -> None:
+    """Let Python workers started from now on import this package; a cluster whose
+    machines don't have it installed gets it by ``--py-files``."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = [p for p in (env.get("PYTHONPATH") or "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 @dataclass(frozen=True)
 class GraphTables:
     """``vertices`` keeps isolates; ``edges`` may carry more columns (weight, layer)."""

@@ -66,16 +66,7 @@ def event_properties(spark, d):
 def order_gaps(spark, d):
     o = _t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return o.select("o_orderkey", F.coalesce(F.col("o_orderkey") - F.lag("o_orderkey").over(w), F.lit(-1)).alias("gap"), F.round(F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0)), 1).alias("running"))
-
-
-def nearest_vectors(spark, d):
-    """Nearest other vector of the first 20, by squared distance (fixed query set)."""
-    e = _t(spark, d, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    dist = F.aggregate(F.zip_with("q", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    j = e.crossJoin(F.broadcast(q)).where("vec_id <> query").select("query", "vec_id", dist.alias("x"))
-    return j.groupBy("query").agg(F.min_by("vec_id", F.struct("x", "vec_id")).alias("nearest"))
+    return o.select("o_orderkey", F.coalesce(F.col("o_orderkey") - F.lag("o_orderkey").over(w), F.lit(-1)).alias("gap"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running_cents"))
 
 
 _J = "customer JOIN orders ON o_custkey = c_custkey"
@@ -89,6 +80,5 @@ EXTRAS = [
     (parts_never_ordered, "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem"),
     (event_windows, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     (event_properties, "SELECT event_type, sum((props::JSON ->> '$.k')::BIGINT)::BIGINT AS total, count(*) AS n FROM events GROUP BY 1"),
-    (order_gaps, "SELECT o_orderkey, coalesce(o_orderkey - lag(o_orderkey) OVER w, -1) AS gap, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 1) AS running FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)"),
-    (nearest_vectors, "SELECT q.vec_id AS query, arg_min(e.vec_id, (list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), e.vec_id)) AS nearest FROM embeddings q, embeddings e WHERE q.vec_id < 20 AND e.vec_id <> q.vec_id GROUP BY 1"),
+    (order_gaps, "SELECT o_orderkey, coalesce(o_orderkey - lag(o_orderkey) OVER w, -1) AS gap, sum(round(o_totalprice * 100)::BIGINT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::BIGINT AS running_cents FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)"),
 ]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygraph.model import both_ways, degrees
-from tallygraph.operators import communities, construct, degree, paths, relational, richclub, triangles
+from tallygraph.operators import communities, construct, degree, ensemble, inference, paths, relational, richclub, triangles
 from tallygraph.sources import trade
 
 QUERIES: dict = {}
@@ -165,9 +165,9 @@ def benjamini_hochberg(spark, d):
     return rounded(richclub.benjamini_hochberg(t, "k", "p"))
 
 
-@query(SMALL + _PHI + ", m AS (SELECT k FROM pc WHERE (k * 7919) % 101 < 60), g AS (SELECT k, k - row_number() OVER (ORDER BY k) AS g FROM m) SELECT min(k) AS first, max(k) AS last, count(*) AS length FROM g GROUP BY g")
+@query(SMALL + _PHI + ", m AS (SELECT k FROM pc WHERE round(phi, 6) >= 0.02), g AS (SELECT k, k - row_number() OVER (ORDER BY k) AS g FROM m) SELECT min(k) AS first, max(k) AS last, count(*) AS length FROM g GROUP BY g")
 def significant_runs(spark, d):
-    return richclub.runs(richclub.phi(trade.edges(spark, d)).where("(k * 7919) % 101 < 60").select("k"), "k")
+    return richclub.runs(richclub.phi(trade.edges(spark, d)).where("round(phi, 6) >= 0.02").select("k"), "k")
 
 
 @query(SMALL + LABELS + ", x AS (SELECT la AS label, (la = lb)::INT AS i FROM el UNION ALL SELECT lb, 0 FROM el), g AS (SELECT sum(i) AS i, count(*)::DOUBLE AS d FROM x GROUP BY label) SELECT round(sum(i) / (sum(d) / 2) - sum(d * d) / (sum(d) * sum(d)), 8) AS modularity FROM g")
@@ -220,9 +220,6 @@ def apportionment(spark, d):
     return communities.apportion(g, "nation", "n", 1015)
 
 
-_COMP = ", c(id, r) AS (SELECT id, id FROM deg UNION SELECT s.other, c.r FROM c JOIN s ON s.id = c.id WHERE s.other > c.r)"
-
-
 @query(RECURSIVE + ", src AS (SELECT min(id) AS v FROM deg), b(id, d) AS (SELECT v, 0 FROM src UNION SELECT s.other, d + 1 FROM b JOIN s ON s.id = b.id WHERE d < 12), r AS (SELECT id FROM b GROUP BY id) SELECT count(*) AS reached, (SELECT count(*) FROM deg) AS n FROM r")
 def reachable(spark, d):
     e = trade.edges(spark, d)
@@ -231,22 +228,23 @@ def reachable(spark, d):
     return c.join(low, "component").agg(F.count("*").alias("reached")).crossJoin(c.agg(F.count("*").alias("n")))
 
 
-def _hist(spark, d):
-    e = trade.edges(spark, d)
-    return paths.histogram(paths.distances(e, degrees(e).where("id % 50 = 0").select("id")))
-
-
-_BFS = ", b(source, id, d) AS (SELECT id, id, 0 FROM deg WHERE id % 50 = 0 UNION SELECT source, s.other, d + 1 FROM b JOIN s ON s.id = b.id WHERE d < 14), m AS (SELECT source, id, min(d) AS d FROM b GROUP BY 1, 2), h AS (SELECT d, count(*) AS pairs FROM m WHERE d > 0 GROUP BY d)"
-
-
-@query(RECURSIVE + _BFS + " SELECT d::BIGINT AS d, pairs FROM h")
+@query()
 def distance_histogram(spark, d):
-    return rounded(_hist(spark, d))
+    """Ordered pairs by distance, from every vertex; too slow as recursive SQL."""
+    return ensemble.distance_histogram(trade.edges(spark, d))
 
 
-@query(RECURSIVE + _BFS + " SELECT d::BIGINT AS h, sum(pairs) OVER (ORDER BY d)::BIGINT AS pairs, round(sum(pairs) OVER (ORDER BY d) / sum(pairs) OVER (), 8) AS share FROM h")
+@query()
 def hop_plot(spark, d):
-    return rounded(paths.hop_plot(_hist(spark, d)))
+    return rounded(paths.hop_plot(ensemble.distance_histogram(trade.edges(spark, d))))
+
+
+@query()
+def path_summary(spark, d):
+    """Average path length, global efficiency, diameter, effective diameter."""
+    e = paths._cut(trade.edges(spark, d))
+    h = paths._cut(ensemble.distance_histogram(e))
+    return rounded(paths.path_summary(h, degrees(e).count()).crossJoin(paths.effective_diameter(h)))
 
 
 _SEED = ((0, 2), (0, 4), (1, 3), (1, 5), (2, 4), (3, 5), (2, 5), (3, 6), (4, 6))
@@ -281,5 +279,67 @@ def message_passing(spark, d):
     return rounded(relational.propagate(both_ways(e), degrees(e).toDF("id", "value")).withColumnRenamed("value", "message"))
 
 
+@query()
+def null_rich_club(spark, d):
+    """Real curve against 20 rewirings: mean, sd, ratio, p and q at each k."""
+    e = trade.edges(spark, d)
+    t = richclub.null_table(ensemble.null_rich_clubs(e, 20), richclub.phi(e))
+    q = richclub.benjamini_hochberg(t.select("k", "p"), "k", "p").select("k", "q")
+    return rounded(t.join(q, "k"))
+
+
+@query()
+def louvain_sweep(spark, d):
+    """Mean variation of information over seeds, and mean labels, by resolution."""
+    return rounded(inference.stability(ensemble.louvain(trade.edges(spark, d), [0.5, 1.0, 2.0], 4)))
+
+
+@query()
+def betweenness(spark, d):
+    return rounded(ensemble.betweenness(trade.edges(spark, d)))
+
+
+@query()
+def betweenness_hubs(spark, d):
+    return rounded(inference.hubs_above(ensemble.betweenness(trade.edges(spark, d)), "vertex", "betweenness"))
+
+
+@query()
+def clique_census(spark, d):
+    return ensemble.clique_census(trade.edges(spark, d))
+
+
+@query()
+def fractional_cover(spark, d):
+    return ensemble.fractional_cover(trade.edges(spark, d))
+
+
+def _nations(spark, d):
+    lab = trade.nation_labels(spark, d)
+    w = communities.quotient(trade.edges(spark, d), lab)
+    return w.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+@query()
+def spectrum(spark, d):
+    return rounded(ensemble.spectrum(_nations(spark, d)))
+
+
+@query()
+def box_counts(spark, d):
+    return ensemble.box_counts(trade.edges(spark, d), [1, 2, 3])
+
+
+@query(SMALL + ", w AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, count(*) AS weight FROM (SELECT o_custkey * 3 AS a, l_partkey * 3 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE " + trade.SMALL + " UNION ALL SELECT o_custkey * 3, l_suppkey * 3 + 2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE " + trade.SMALL + " UNION ALL SELECT l_partkey * 3 + 1, l_suppkey * 3 + 2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE " + trade.SMALL + ") GROUP BY 1, 2) SELECT src, dst, weight FROM w")
+def weighted_edges(spark, d):
+    return trade.weighted(spark, d)
+
+
+@query("WITH q AS (SELECT c_nationkey::BIGINT AS nation, o_totalprice AS x FROM customer JOIN orders ON o_custkey = c_custkey), g AS (SELECT nation, round(avg(x), 2) AS mean, round(stddev_pop(x), 2) AS sd, count(*) AS n FROM q GROUP BY 1) SELECT nation, mean, sd, n FROM g")
+def bucket_means(spark, d):
+    o = trade.read(spark, d, "orders").join(trade.read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return inference.bucket_means(o.select(F.col("c_nationkey").cast("long").alias("nation"), F.col("o_totalprice").alias("x")), "nation", "x")
+
+
 for _f, _sql in relational.EXTRAS:
     query(_sql)(_f)

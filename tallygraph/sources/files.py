@@ -61,8 +61,8 @@ def arrow_graph(spark: SparkSession, path: str) -> DataFrame:
     """Edges of ``Graph[{ids},{DirectedEdge[a, b],...}]``; opposite arcs are one edge."""
     text = spark.read.text(path, wholetext=True)
     arcs = F.regexp_extract_all("value", F.lit(r"DirectedEdge\[\s*(\d+\s*,\s*\d+)\s*\]"), 1)
-    pair = F.split(F.explode(arcs), r"\s*,\s*")
-    return canonical(text.select(pair.alias("e")).select(F.col("e")[0].cast("long").alias("src"), F.col("e")[1].cast("long").alias("dst")))
+    pair = F.split("arc", r"\s*,\s*")
+    return canonical(text.select(F.explode(arcs).alias("arc")).select(pair[0].cast("long").alias("src"), pair[1].cast("long").alias("dst")))
 
 
 def archive(spark: SparkSession, path: str) -> DataFrame:
