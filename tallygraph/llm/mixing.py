@@ -92,9 +92,9 @@ def mix(df: DataFrame, share: float = 0.5, epochs: int = 2, seed: int = 8, weigh
     may come up to ``epochs`` times."""
     ours = {"mix_domain", "mix_tokens", "mix_epoch", "mix_before", "mix_budget"}
     kept = [c for c in df.columns if c not in ours]
-    # The input's columns travel in a struct, so no name of theirs clashes with ours.
+    # The input's columns travel by number, so no name of theirs clashes with ours.
     rows = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"),
+        *[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(kept)],
         F.col(key).alias("_key"),
         F.coalesce(domain_of(F.col("source")), F.lit("")).alias("_domain"),
         F.coalesce(F.col("lang"), F.lit("")).alias("_lang"),
@@ -117,7 +117,7 @@ def mix(df: DataFrame, share: float = 0.5, epochs: int = 2, seed: int = 8, weigh
     chosen = placed.join(budget, on).where(F.col("before") < F.col("_budget"))
     chosen = chosen.withColumn("_e", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("_at", F.col("before") + F.col("_e") * F.col("_own")).where(F.col("_at") < F.col("_budget"))
     return chosen.select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in kept],
+        *[F.col(f"_in{i}").alias(c) for i, c in enumerate(kept)],
         F.col("_domain").alias("mix_domain"),
         F.col("_n").alias("mix_tokens"),
         F.col("_e").alias("mix_epoch"),
