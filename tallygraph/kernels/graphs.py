@@ -106,9 +106,10 @@ def louvain(n: int, src: np.ndarray, dst: np.ndarray, gamma: float = 1.0, seed:
     return np.unique(member, return_inverse=True)[1]
 
 
-def swaps(n: int, src: np.ndarray, dst: np.ndarray, seed: int, times: int = 10, tries: int = 25) -> tuple[np.ndarray, np.ndarray]:
+def swaps(n: int, src: np.ndarray, dst: np.ndarray, seed: int, times: int = 10, tries: int = 25, turns: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Degree-preserving rewiring: pairs of edges exchange ends, ``times`` successes
-    an edge, in at most ``tries`` attempts an edge; simple graphs stay simple."""
+    an edge, in at most ``tries`` attempts an edge; simple graphs stay simple. Without
+    ``turns`` an edge's first end stays a first end."""
     rng = np.random.default_rng(seed)
     u, v, m = src.copy().tolist(), dst.copy().tolist(), len(src)
     have = {(a, b) if a < b else (b, a) for a, b in zip(u, v)}
@@ -119,7 +120,7 @@ def swaps(n: int, src: np.ndarray, dst: np.ndarray, seed: int, times: int = 10,
         i, j, turn = rng.integers(0, m, m).tolist(), rng.integers(0, m, m).tolist(), rng.integers(0, 2, m).tolist()
         for x, y, t in zip(i, j, turn):
             a, b = u[x], v[x]
-            c, d = (v[y], u[y]) if t else (u[y], v[y])
+            c, d = (v[y], u[y]) if t and turns else (u[y], v[y])
             if x == y or a == d or c == b:
                 continue
             p, q = (a, d) if a < d else (d, a), (c, b) if c < b else (b, c)

@@ -13,14 +13,19 @@ from tallygraph.model import both_ways
 _own: list[tempfile.TemporaryDirectory] = []
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Write to spark.checkpoint.dir (a folder of our own where unset) and read again."""
-    where = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None)
+def scratch(spark) -> str:
+    """A new folder in spark.checkpoint.dir (in a folder of our own where unset)."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
         if not _own:
             _own.append(tempfile.TemporaryDirectory(prefix="rounds-"))
         where = f"file://{_own[0].name}"
-    path = f"{where.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{where.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Write to a folder of its own and read again."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

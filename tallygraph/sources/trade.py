@@ -18,7 +18,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str, where: str = SMALL) -> DataFrame:
     """(src, dst, with repeats): three pairs a line item from one join."""
     lines = read(spark, sf_dir, "lineitem").where(where).select("l_orderkey", "l_partkey", "l_suppkey")
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return three_pairs(lines, read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+
+
+def three_pairs(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """The pairs of line items, of a table or of a stream."""
     c, p, s = F.col("o_custkey") * 3, F.col("l_partkey") * 3 + 1, F.col("l_suppkey") * 3 + 2
     three = F.explode(F.array(F.struct(c.alias("src"), p.alias("dst")), F.struct(c.alias("src"), s.alias("dst")), F.struct(p.alias("src"), s.alias("dst"))))
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(three.alias("e")).select("e.src", "e.dst")
