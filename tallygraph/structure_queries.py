@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tallygraph.functions import scalars
 from tallygraph.model import degrees
-from tallygraph.operators import communities, degree, ensemble, growth, layers, structure, triangles
+from tallygraph.operators import communities, degree, ensemble, growth, layers, repair, richclub, structure, triangles
 from tallygraph.operators.paths import _cut, scratch
-from tallygraph.plans import audit
+from tallygraph.plans import audit, inference
 from tallygraph.queries import _SEED, FULL, LABELS, ORACLE_SQL, QUERIES, SMALL, TRI, _nations, query, rounded
 from tallygraph.sources import trade
 from tallygraph.streaming import tables
@@ -248,3 +248,48 @@ def coverage_masks(spark, d):
     """Coverage and its bucket of seeded masks, ten a target."""
     rows = spark.range(60).select(F.col("id").alias("seed"), (0.1 + 0.1 * (F.col("id") % 6)).alias("target"))
     return rounded(layers.masks(rows).select("seed", "target", "coverage", layers.coverage_bucket(F.col("coverage")).alias("bucket")))
+
+
+@query(SMALL + TRI + ", p AS (SELECT a AS src, b AS dst FROM tri UNION ALL SELECT a, c FROM tri UNION ALL SELECT b, c FROM tri) SELECT src, dst, round((SELECT count(*) FROM p WHERE p.src = ends.src AND p.dst = ends.dst) + 1e-7 * (du + dv), 8) AS score FROM ends")
+def scored_edges(spark, d):
+    return rounded(repair.scored(trade.edges(spark, d)))
+
+
+@query(SMALL + ", low AS (SELECT id, 3 - degree AS lacks FROM deg WHERE degree < 3), two AS (SELECT x.id, lacks, y.other AS far, count(*) AS shared FROM low JOIN s x ON x.id = low.id JOIN s y ON y.id = x.other WHERE y.other <> x.id GROUP BY 1, 2, 3), legal AS (SELECT id, lacks, far, row_number() OVER (PARTITION BY id ORDER BY shared DESC, far) AS r FROM two WHERE id % 3 <> far % 3 AND NOT EXISTS (SELECT 1 FROM s WHERE s.id = two.id AND s.other = far)) SELECT src, dst FROM e UNION SELECT least(id, far), greatest(id, far) FROM legal WHERE r <= lacks")
+def raised_degrees(spark, d):
+    return repair.raise_degrees(*_coloured(spark, d))
+
+
+@query()
+def resolution_search(spark, d):
+    """Labels of the resolution nearest to 40 labels."""
+    return rounded(repair.resolution_for(trade.edges(spark, d), 40))
+
+
+@query()
+def block_coarsening(spark, d):
+    """Labels inside each of four blocks of nations, four a block."""
+    e, lab = trade.edges(spark, d), trade.nation_labels(spark, d)
+    blocks = lab.select("id", (F.col("label") % 4).alias("block"))
+    return repair.coarsen_blocks(e, blocks, spark.createDataFrame([(i, 4) for i in range(4)], "block long, target long"))
+
+
+@query()
+def rich_club_report(spark, d):
+    e = _cut(trade.edges(spark, d))
+    real = richclub.phi(e)
+    table = richclub.null_table(ensemble.null_rich_clubs(e, 20), real)
+    return rounded(inference.report(_cut(table.join(real.select("k", "n_above"), "k"))))
+
+
+@query()
+def rich_club_regime(spark, d):
+    marked = richclub.phi(trade.edges(spark, d)).where("round(phi, 6) >= 0.02").select("k")
+    return inference.regime(_cut(richclub.runs(marked, "k")))
+
+
+@query()
+def clustering_slope(spark, d):
+    """Slope of log clustering on log degree over degree bands, with its interval."""
+    bands = triangles.by_degree_band(_full(spark, d)).where("clustering > 0")
+    return rounded(inference.slope_interval(_cut(bands.select(F.log(F.col("band") * 30 + 15).alias("x"), F.log("clustering").alias("y"))), "x", "y"), 6)
