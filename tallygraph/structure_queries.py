@@ -28,8 +28,8 @@ def _quotient(spark, d):
     return communities.quotient(_full(spark, d), trade.nation_labels(spark, d))
 
 
-def _coloured(spark, d):
-    e = trade.edges(spark, d)
+def _coloured(spark, d, where="true"):
+    e = trade.edges(spark, d, where)
     return e, degrees(e).select("id", (F.col("id") % 3).alias("colour"))
 
 
@@ -75,15 +75,15 @@ def weight_bands(spark, d):
 
 
 @query(SMALL + LABELS + ", f AS (SELECT id, label, degree / 10 + 1 AS f0, CASE WHEN id % 7 / 7 - 0.5 > 0 THEN id % 7 / 7 - 0.5 + 1 ELSE exp(id % 7 / 7 - 0.5) END AS f1, degree AS v0, id % 3 AS v1 FROM deg JOIN lab USING (id)), kv AS (SELECT label, sum(f0 * v0) AS a, sum(f0 * v1) AS b, sum(f1 * v0) AS c, sum(f1 * v1) AS d, sum(f0) AS n0, sum(f1) AS n1 FROM f GROUP BY 1) SELECT id, 0::BIGINT AS \"at\", round((f0 * a + f1 * c) / greatest(f0 * n0 + f1 * n1, 1e-6), 6) AS value FROM f JOIN kv USING (label) UNION ALL SELECT id, 1, round((f0 * b + f1 * d) / greatest(f0 * n0 + f1 * n1, 1e-6), 6) FROM f JOIN kv USING (label)")
-def supernode_attention(spark, d):
-    rows = degrees(trade.edges(spark, d)).join(trade.nation_labels(spark, d), "id")
+def supernode_attention(spark, d, where=trade.SMALL):
+    rows = degrees(trade.edges(spark, d, where)).join(trade.nation_labels(spark, d), "id")
     x = F.array(F.col("degree") / 10, F.col("id") % 7 / 7 - 0.5)
     return rounded(layers.attention(rows.select("id", "label", x.alias("q"), x.alias("k"), F.array(F.col("degree").cast("double"), (F.col("id") % 3).cast("double")).alias("v"))), 6)
 
 
 @query(SMALL + LABELS + ", rel AS (SELECT least(la, lb) AS a, greatest(la, lb) AS b, CASE WHEN la < lb THEN src ELSE dst END AS f, CASE WHEN la < lb THEN dst ELSE src END AS t FROM el WHERE la <> lb), ax AS (SELECT a, b, greatest(1, round_even(pow(n, 0.05) * pow(1 + (n - 1) / 11, 0.95), 0))::BIGINT AS axons FROM (SELECT a, b, count(*)::DOUBLE AS n FROM rel GROUP BY 1, 2)), dealt AS (SELECT a, b, f, t, (row_number() OVER (PARTITION BY a, b ORDER BY f, t) - 1) % axons AS x FROM rel JOIN ax USING (a, b)), car AS (SELECT a, b, x, avg(degree) AS m FROM (SELECT DISTINCT a, b, x, f FROM dealt) JOIN deg ON deg.id = f GROUP BY 1, 2, 3) SELECT t AS id, round(sum(m), 6) AS value FROM (SELECT DISTINCT a, b, x, t FROM dealt) JOIN car USING (a, b, x) GROUP BY 1")
-def bundle_layer(spark, d):
-    e, lab = trade.edges(spark, d), trade.nation_labels(spark, d)
+def bundle_layer(spark, d, where=trade.SMALL):
+    e, lab = trade.edges(spark, d, where), trade.nation_labels(spark, d)
     el = e.join(lab.toDF("src", "la"), "src").join(lab.toDF("dst", "lb"), "dst").where("la <> lb")
     up = F.col("la") < F.col("lb")
     el = el.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"), F.when(up, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("dst"))
@@ -92,8 +92,8 @@ def bundle_layer(spark, d):
 
 
 @query(SMALL + LABELS + TRI + ", p AS (SELECT a AS src, b AS dst FROM tri UNION ALL SELECT a, c FROM tri UNION ALL SELECT b, c FROM tri), sc AS (SELECT src, dst, la <> lb AS crossing, (SELECT count(*) FROM p WHERE p.src = el.src AND p.dst = el.dst) AS score FROM el), c AS (SELECT count(*) FILTER (crossing) AS x, count(*) FILTER (NOT crossing) AS i, 40 AS b FROM sc), n AS (SELECT least(i, b - least(x, 10)) AS inner_n, least(x, b - least(i, b - least(x, 10))) AS outer_n FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY crossing ORDER BY score DESC, src, dst) AS k FROM sc) SELECT src, dst, score, crossing FROM r, n WHERE k <= CASE WHEN crossing THEN outer_n ELSE inner_n END")
-def stratified_prune(spark, d):
-    e, lab = trade.edges(spark, d), trade.nation_labels(spark, d)
+def stratified_prune(spark, d, where=trade.SMALL):
+    e, lab = trade.edges(spark, d, where), trade.nation_labels(spark, d)
     s = triangles.support(e).join(lab.toDF("src", "la"), "src").join(lab.toDF("dst", "lb"), "dst")
     return growth.stratified_prune(_cut(s.select("src", "dst", F.col("support").alias("score"), (F.col("la") != F.col("lb")).alias("crossing"))), 40, 0.25)
 
@@ -251,13 +251,13 @@ def coverage_masks(spark, d):
 
 
 @query(SMALL + TRI + ", p AS (SELECT a AS src, b AS dst FROM tri UNION ALL SELECT a, c FROM tri UNION ALL SELECT b, c FROM tri) SELECT src, dst, round((SELECT count(*) FROM p WHERE p.src = ends.src AND p.dst = ends.dst) + 1e-7 * (du + dv), 8) AS score FROM ends")
-def scored_edges(spark, d):
-    return rounded(repair.scored(trade.edges(spark, d)))
+def scored_edges(spark, d, where=trade.SMALL):
+    return rounded(repair.scored(trade.edges(spark, d, where)))
 
 
 @query(SMALL + ", low AS (SELECT id, 3 - degree AS lacks FROM deg WHERE degree < 3), two AS (SELECT x.id, lacks, y.other AS far, count(*) AS shared FROM low JOIN s x ON x.id = low.id JOIN s y ON y.id = x.other WHERE y.other <> x.id GROUP BY 1, 2, 3), legal AS (SELECT id, lacks, far, row_number() OVER (PARTITION BY id ORDER BY shared DESC, far) AS r FROM two WHERE id % 3 <> far % 3 AND NOT EXISTS (SELECT 1 FROM s WHERE s.id = two.id AND s.other = far)) SELECT src, dst FROM e UNION SELECT least(id, far), greatest(id, far) FROM legal WHERE r <= lacks")
-def raised_degrees(spark, d):
-    return repair.raise_degrees(*_coloured(spark, d))
+def raised_degrees(spark, d, where=trade.SMALL):
+    return repair.raise_degrees(*_coloured(spark, d, where))
 
 
 @query()
