@@ -8,8 +8,8 @@ chosen neighbour than to the node is passed over, and spare places are filled wi
 the nearest passed over), and links run both ways.  Equal vectors of a shard are
 one node with several ids, so a mass of copies cannot wall off the rest.
 
-Queries descend from the top layer and keep a beam of ``ef`` nodes on the bottom
-layer, all queries of a block in step, so that each step is a few numpy calls.
+Queries descend from the top layer and keep a beam of ``ef`` nodes (which grows with
+the root of the shard's size) on the bottom layer, all queries of a block in step, so that each step is a few numpy calls.
 Every shard answers every query with its best k, and the k best of all stay.
 
 Defined cases: a vector that is null, empty, all zeros, or holds a null, NaN or
@@ -34,6 +34,8 @@ from tallygraph.llm import common
 #: Rows a shard is planned for, and shards at least.
 SHARD_ROWS, LEAST_SHARDS = 32_768, 16
 LINKS, EF, BLOCK = 16, 96, 512
+#: The beam also grows with the root of a shard's nodes: at a fixed one a full shard loses near nodes.
+EF_ROOT = 6
 
 INDEX = "shard int, part int, kind string, level int, data binary"
 
@@ -104,15 +106,17 @@ class Graph:
             l += 1
         return cls(vectors, layers)
 
-    def search(self, queries: np.ndarray, k: int, ef: int = EF) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, k: int, ef: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Nodes (q, k) and float32 scores; -1 and -inf where there are no more."""
         q, n = len(queries), len(self.vectors)
+        ef = ef or max(EF, math.ceil(EF_ROOT * math.sqrt(n)))
         top, _ = self.layers[-1]
         at = np.repeat(top[:1], q).astype(np.int64)[:, None]
         for l in range(len(self.layers) - 1, -1, -1):
             at = self._beam(queries, at, l, 1 if l else max(ef, k))
+        at = at[:, :k]  # the beam stands best first
         scores = np.where(at >= 0, np.einsum("qd,qkd->qk", queries, self.vectors[at]), -np.inf)
-        return at[:, :k], scores[:, :k]
+        return at, scores
 
     def _beam(self, queries: np.ndarray, start: np.ndarray, l: int, ef: int) -> np.ndarray:
         nodes, flat = self.layers[l]
@@ -128,7 +132,7 @@ class Graph:
         score[:, :w] = np.where(start >= 0, np.einsum("qd,qkd->qk", queries, self.vectors[start]), -np.inf)
         open_[:, :w] = start >= 0
         seen[np.broadcast_to(rows, start.shape)[start >= 0], start[start >= 0]] = True
-        step = 1 if ef == 1 else 4
+        step = 1 if ef == 1 else max(4, ef // 24)  # a wide beam opens more at once, so steps stay few
         live = np.flatnonzero(open_.any(1))
         while len(live):
             pick = np.argsort(np.where(open_[live], -score[live], np.inf), axis=1, kind="stable")[:, :step]

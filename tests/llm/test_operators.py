@@ -259,6 +259,16 @@ def test_neighbours(spark):
     assert hits / total >= 0.9
 
 
+def test_recall_of_a_large_shard():
+    """Unclustered vectors, far more nodes than the least beam; queries of other shards."""
+    rng = np.random.default_rng(4)
+    v, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.normal(size=(n, 64)).astype(np.float32) for n in (16_384, 64)))
+    got, scores = ann.Graph.build(v).search(q, 20)
+    best = np.argsort(-(q @ v.T), axis=1)[:, :20]
+    assert got.shape == scores.shape == (64, 20) and (np.diff(scores, axis=1) <= 1e-6).all()
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(best.tolist(), got.tolist())]) >= 0.97
+
+
 def test_empty_table(spark, docs):
     none = docs.where("false")
     field = pii.train(none)
