@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tallygraph.llm import common
 
 LENGTH, END_ID, DIMS, BITS = 2048, 1, 4, 10
+#: The added token of the tokenizer file, which it recognises in texts too.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Documents a range is planned for, and ranges at most (the bounds go to all tasks).
 RANGE_ROWS, MOST_RANGES = 2_000, 100_000
 
@@ -36,14 +38,15 @@ _encoder: dict[str, object] = {}
 
 def encoder(name: str = "byte_bpe_50k"):
     """The vocabulary as an encoder of lists of texts to lists of ids. The ranks
-    file of the same vocabulary gives the same ids several times faster."""
+    file of the same vocabulary gives the same ids several times faster, if texts
+    are encoded with ``allowed_special="all"``."""
     if name not in _encoder:
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoder[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoder[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return _encoder[name]
 
 
@@ -88,7 +91,7 @@ def tokenize(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     def work(batch: pa.RecordBatch) -> dict:
         encode = encoder()
         texts = batch.column(1).fill_null("").to_pylist()
-        ids = [np.array([*encode.encode_ordinary(t), END_ID], np.uint16) for t in texts]
+        ids = [np.array([*encode.encode(t, allowed_special="all"), END_ID], np.uint16) for t in texts]
         counts = np.array([len(i) for i in ids])
         table = signs(encode.n_vocab + 1)
         sums = np.add.reduceat(table[np.concatenate(ids)], np.cumsum(counts) - counts, axis=0)

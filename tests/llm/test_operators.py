@@ -192,6 +192,20 @@ def test_packing(docs):
     assert all(ends[s] == 2048 for s in range(max(ends)))
 
 
+def test_packing_knows_the_added_token(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"end {end} start", end, end * 3, f"a{end}b", f" {end}\n{end} ", "<|endoftext", f"<{end}>", "plain text"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        ids = np.array([*t.encode(texts[r.doc_id], add_special_tokens=False).ids, 1], "<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+    assert {r.doc_id for r in rows} == set(range(len(texts)))
+
+
 def test_hilbert_is_a_curve():
     g = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     h = packing.hilbert(g, 3)
