@@ -8,6 +8,7 @@ the next stage's docs. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallygraph.llm import common, mixing, neardup, packing, pii, quality
 from tallygraph.llm.queries import held_out
@@ -22,9 +23,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at 0.8 of five-word shingles the smallest id stays."""
-    kept = neardup.near_duplicates(docs, n=5, hundredths=80).where("kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """Of each group linked at 0.8 of five-word shingles the row with the smallest id
+    stays; only linked rows go.
+
+    A row is known by (doc_id, text), not by its id: rows of one id whose texts differ
+    are compared like any others, a null id is larger than every other, and of equal
+    rows one stays. Texts without words link with nothing: under a null id, which
+    equals no other, each stays."""
+    # Only these are many rows of one key and yet no copies, so they go past the rest.
+    apart = F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]")
+    row = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text"))
+    rows = docs.select(*COLUMNS, row.alias("_row")).where(~apart)
+    found = neardup.near_duplicates(rows, n=5, hundredths=80, key="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row").alias("row")))
+    kept = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(first.alias("f")).select(F.col("f.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(COLUMNS).unionByName(docs.select(COLUMNS).where(apart))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
