@@ -61,7 +61,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     recompute it nor depend on an executor's disk. Removed when Python exits."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # No marker file: only this driver reads the folder, and each file costs a local store a process.
+    df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -102,6 +103,12 @@ def arrow_map(df: DataFrame, schema: str, column: str, work: Callable[[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def spread(text: Column) -> Column:
+    """A long over its whole range from the first 60 bits of a string's MD5: a hash
+    that other SQL engines have too."""
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long") - (1 << 59)) * 16
+
+
 def fetch(df: DataFrame) -> dict[str, np.ndarray]:
     """Columns of a small result, by Arrow whatever the session says: rows as
     Python objects would take the driver many times the memory."""

@@ -9,7 +9,7 @@ descent, classes weighted to equal mass, and a sigmoid on held-back rows turns i
 margin into the probability of label 1.
 
 The model is fitted on at most ``SAMPLE`` labelled rows, those of least hash; their
-ids go to the executors, their features to the driver, so the fit is bounded
+ids go to the executors, their features to one task, so the fit is bounded
 whatever the corpus.  Scoring reads every text whole, by numpy over batches.
 
 Defined cases: null and empty texts have no feature and the score of the bias alone;
@@ -170,7 +170,8 @@ def train(rows: list[np.ndarray], y: np.ndarray) -> Model:
 
 def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
     """The model from labelled rows of df; ``labels`` (key, quality) holds only rows
-    that may be learnt from."""
+    that may be learnt from. One task fits it, as the sample is bounded; the driver
+    gets the two arrays of the model only."""
     picked = labels.where("quality in (0, 1)").select(F.col(key).alias("_id"), F.col("quality").cast("int").alias("_y"))
     picked = picked.orderBy(F.xxhash64(F.lit(2), "_id"), "_id", "_y").limit(sample)
 
@@ -183,12 +184,23 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_
                 got[lo + i] = (on[edges[i] : edges[i + 1]] & (DIM - 1)).astype("<i4").tobytes()
         return {"doc_id": batch.column(0), "y": batch.column(1), "slots": pa.array(got, pa.binary())}
 
+    def learn(batches):
+        rows, y = [], []
+        for batch in batches:
+            rows += [np.frombuffer(x, "<i4") for x in batch.column(2).to_pylist()]
+            y += batch.column(1).to_pylist()
+        if rows:
+            m = train(rows, np.array(y, int))
+            yield pa.RecordBatch.from_pydict({"weights": [m.weights.tobytes()], "ratios": [m.ratios.tobytes()], "rest": [[m.bias, m.slope, m.shift]]})
+
     # Bounded by the sample, so it goes to every task.
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
     got = common.arrow_map(rows.select(F.col("doc_id").cast("long"), "_y", "text"), "doc_id long, y int, slots binary", "text", work)
-    got = got.orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id", "y", "slots")
-    got = common.fetch(got.select("y", "slots"))
-    return train([np.frombuffer(x, "<i4") for x in got["slots"]], got["y"].astype(int))
+    got = got.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(2), "doc_id"), "doc_id", "y", "slots")
+    got = got.mapInArrow(learn, "weights binary, ratios binary, rest array<double>").collect()
+    if not got:
+        return train([], np.zeros(0, int))
+    return Model(np.frombuffer(got[0].weights), np.frombuffer(got[0].ratios), *got[0].rest)
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
