@@ -17,7 +17,9 @@ across components only: every pair that could still join two components is tried
 
 Defined cases: null and empty texts, and texts without words, have the empty set
 and are their own component; with fewer words than n the whole word sequence is
-the one shingle; repeated rows share a component; an empty table gives no rows.
+the one shingle; repeated rows share a component; rows of one id and different
+texts are compared like any others, each in its own component; a null id is never
+a component's id unless all of its rows have none; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ from tallygraph.llm import common, words
 
 #: Register count, rows of registers a band, base, rate and truncation.
 REGISTERS, ROWS, BASE, RATE, Q = 96, 4, 1.02, 20.0, (1 << 16) - 2
-#: Standard deviations that an estimate may lie below the threshold.
-MARGIN = 4.5
+#: Standard deviations that an estimate may lie below the threshold: of banded pairs
+#: (which miss more by their bands), and of pairs that share a rare shingle.
+MARGIN, WIDE = 4.5, 6.5
 
 _rng = np.random.default_rng(5)
 _MUL = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,11 +87,11 @@ def registers(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(df: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (128 bits of the set), regs (binary)."""
+def signatures(df: DataFrame, n: int, key: str, text: str, row: Column) -> DataFrame:
+    """doc_id, row, n_shingles, set_a and set_b (128 bits of the set), regs (binary)."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        data, offsets = words.buffer(batch.column(1))
+        data, offsets = words.buffer(batch.column(2))
         hashes, first = sets(data, offsets, n)
         regs = registers(hashes, first)
         # Sums of two mixes of the members: the same for one set in any order.
@@ -96,13 +99,15 @@ def signatures(df: DataFrame, n: int, key: str, text: str) -> DataFrame:
         b = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))])
         return {
             "doc_id": batch.column(0),
+            "row": batch.column(1),
             "n_shingles": pa.array(np.diff(first), pa.int64()),
             "set_a": pa.array((a[first[1:]] - a[first[:-1]]).view(np.int64)),
             "set_b": pa.array((b[first[1:]] - b[first[:-1]]).view(np.int64)),
             "regs": pa.array([r.tobytes() for r in regs.astype("<u2")], pa.binary()),
         }
 
-    return common.arrow_map(df.select(F.col(key).cast("long").alias("doc_id"), text), "doc_id long, n_shingles long, set_a long, set_b long, regs binary", text, work)
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), row.alias("row"), F.col(text).alias("text"))
+    return common.arrow_map(rows, "doc_id long, row long, n_shingles long, set_a long, set_b long, regs binary", "text", work)
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,8 +133,8 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return np.take_along_axis(grid, like.argmax(1)[:, None], 1)[:, 0]
 
 
-def _likely(threshold: float) -> Column:
-    floor = threshold - MARGIN * float(np.sqrt(threshold * (1 - threshold) / REGISTERS))
+def _likely(threshold: float, margin: float) -> Column:
+    floor = threshold - margin * float(np.sqrt(threshold * (1 - threshold) / REGISTERS))
 
     @F.pandas_udf("boolean")
     def likely(a, b, na, nb):
@@ -216,50 +221,56 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if not large:
             both = both.where("b <= a")
+        # Written, so that the join's own exchange can split a hub's edges.
         least = common.cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         keep = both.where("b > a") if large else both
         moved = keep.join(least, "a").select(F.col("b").alias("x"), "m").where("x <> m")
         if not large:  # the centre itself hangs on the minimum too
             moved = moved.unionByName(least.where("a <> m").select(F.col("a").alias("x"), "m"))
-        return moved.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
+        return common.cut(moved.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "stars")
 
     edges = common.cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     seen = None
-    while True:
-        edges = common.cut(star(star(edges, True), False), "stars")
+    while not edges.isEmpty():
+        edges = star(star(edges, True), False)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
-    least = edges.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp")
-    return least
+    return edges.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp")
 
 
 def near_duplicates(df: DataFrame, n: int = 2, hundredths: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id linked with it, over any
     number of links of similarity >= hundredths / 100) and kept (is it that one?)."""
     threshold = hundredths / 100
-    sigs = common.cut(signatures(df, n, key, text), "sigs")
-    # One class for each set; its id is its smallest document.
-    reps = common.cut(sigs.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), "reps")
+    # A row is known by its id and text, so rows of one id may differ in text.
+    row = F.xxhash64(F.col(key).cast("long"), text)
+    sigs = common.cut(signatures(df, n, key, text, row), "sigs")
+    # One class for each set; its number is the least of its rows'.
+    reps = sigs.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("row").alias("rep"), F.min("doc_id").alias("low_id"), F.first("regs").alias("regs"))
+    reps = common.cut(reps, "reps")
     bands = REGISTERS // ROWS
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(bands)])
-    banded = reps.select("rep", F.explode(keys).alias("bucket"))
-    hubs = common.cut(banded.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high"), "hubs")
+    banded = reps.select("rep", "low_id", F.explode(keys).alias("bucket"))
+    # Hubs by id, not by hash: the first of a family is mostly what the others were made from.
+    by_id = F.struct("low_id", "rep")
+    hubs = banded.groupBy("bucket").agg(F.min(by_id)["rep"].alias("low"), F.max(by_id)["rep"].alias("high")).where("low <> high")
     crowd = common.cut(banded.join(hubs, "bucket").select("rep", "bucket", "low", "high"), "crowd")
     pairs = crowd.select(F.col("rep").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
     info = reps.select("rep", "regs", "n_shingles")
 
-    def candidates(pairs: DataFrame) -> DataFrame:
+    def candidates(pairs: DataFrame, margin: float) -> DataFrame:
         rows = pairs.join(info.select(F.col("rep").alias("a"), F.col("regs").alias("regs_a"), F.col("n_shingles").alias("n_a")), "a")
         rows = rows.join(info.select(F.col("rep").alias("b"), F.col("regs").alias("regs_b"), F.col("n_shingles").alias("n_b")), "b")
         common.ship(df.sparkSession)
-        return rows.where(_likely(threshold)).select("a", "b")
+        return rows.where(_likely(threshold, margin)).select("a", "b")
 
-    pairs = common.cut(candidates(pairs), "pairs")
+    pairs = common.cut(candidates(pairs, MARGIN), "pairs")
     members = crowd.select("rep").distinct()
-    texts = common.cut(df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).where(common.in_bits(common.bits_of(members, "rep"), F.col("rep"))).join(members, "rep").dropDuplicates(["rep"]), "texts")
+    rows = df.select(row.alias("rep"), F.col(text).alias("text")).where(common.in_bits(common.bits_of(members, "rep"), F.col("rep")))
+    texts = common.cut(rows.join(members, "rep").dropDuplicates(["rep"]), "texts")
     links = common.cut(_verified(pairs, texts, n, hundredths), "links")
     comps = common.cut(components(links), "comps")
 
@@ -275,10 +286,16 @@ def near_duplicates(df: DataFrame, n: int = 2, hundredths: int = 80, key: str =
     fits = F.expr(f"{need} (x.n - x.place) and {need} (y.n - y.place)")
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & fits)
     tried = across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = common.cut(_verified(candidates(tried), texts, n, hundredths), "more")
-    comps = common.cut(components(links.unionByName(more)), "comps")
-
-    classes = common.cut(reps.join(comps, reps["rep"] == comps["node"], "left").select("set_a", "set_b", "n_shingles", F.coalesce("comp", "rep").alias("comp")), "classes")
+    # The late links join whole components: only those are walked once more.
+    more = _verified(candidates(tried, WIDE), texts, n, hundredths)
+    of = live.select("rep", "comp")
+    more = more.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = common.cut(components(more), "joined").toDF("comp", "whole")
+
+    classes = reps.drop("regs").join(comps, reps["rep"] == comps["node"], "left").withColumn("comp", F.coalesce("comp", "rep"))
+    classes = common.cut(classes.join(joined, "comp", "left").select("set_a", "set_b", "n_shingles", "low_id", F.coalesce("whole", "comp").alias("comp")), "classes")
+    least = common.cut(classes.groupBy("comp").agg(F.min("low_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
+    classes = classes.join(least, "comp", "left").select("set_a", "set_b", "n_shingles", F.coalesce("least", "low_id").alias("component_id"))
     found = sigs.join(classes, ["set_a", "set_b", "n_shingles"], "left")
-    comp = F.coalesce("comp", "doc_id")
+    comp = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", comp.alias("component_id"), (comp == F.col("doc_id")).alias("kept"))
