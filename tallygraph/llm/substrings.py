@@ -1,19 +1,22 @@
 """Repeated word windows across a corpus, by level-wise doubling.
 
-To find every window of L words that also starts earlier, windows of L / 2 words
-are looked at first, and only at content-chosen places: in each window of L words
-the half-length window of least hash, about 4 / L of all places.  Equal windows
-choose equal places, so a window of L words can repeat only if its chosen half
-repeats.  Repeated halves alone are then doubled: each window of L words that chose
-one is hashed, and equal hashes are put in order of document and start.  All but
-the first of them are repeats.  No candidate is left at 2L that matters: what
-a longer window covers, its windows of L words cover too.
+To find every window of L words that also starts earlier, short windows come first:
+L is halved while it is even and more than 5 (20 words: levels 5, 10, 20).  On the
+lowest level each window of L words chooses its least-hashed short window, about
+one place in eight; equal windows choose equal places, so a window of L words can
+repeat only if its choice does.  Windows repeated at one level alone are extended
+to twice their length, to the right where the window of L words has room and else
+to the left, and all others leave, until the last level hashes whole windows.  Its
+equal windows are put in order of document and start: all but the first of them are
+repeats.  Levels past L would find nothing new: what a longer window covers, its
+windows of L words cover too.  Windows are equal if 96 bits of two independent
+hashes of their words agree (10^13 windows: a wrong pair with probability 10^-3).
 
 Equal hashes meet by a range sort on (hash, document, start), which splits a
 passage that a third of the corpus shares over as many tasks as it needs; what a
 task cannot know, whether its first run began before it, is settled from one row
-a task.  Documents whose whole text equals an earlier document's leave before the
-doubling: all of their windows start earlier.
+a task.  Documents whose whole text equals an earlier document's leave after the
+lowest level: all of their windows start earlier.
 
 Defined cases: null, empty and short texts (fewer than L words) have no window and
 lose nothing, nor do rows with a null id; doc_id names a document, so repeated rows of one id and text are
@@ -32,8 +35,17 @@ from pyspark.sql import functions as F
 
 from tallygraph.llm import common, words
 
-WINDOW = 20
-_MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
+WINDOW, LOWEST = 20, 5
+#: Bits of a place in the key that ranks short windows: ties go to the leftmost.
+_PLACE = np.uint64((1 << 28) - 1)
+
+
+def levels(window: int) -> list[int]:
+    """Lengths from the lowest level to the window."""
+    out = [window]
+    while out[0] % 2 == 0 and out[0] > LOWEST:
+        out.insert(0, out[0] // 2)
+    return out
 
 
 def _sliding(x: np.ndarray, n: int, f: np.ufunc) -> np.ndarray:
@@ -45,43 +57,71 @@ def _sliding(x: np.ndarray, n: int, f: np.ufunc) -> np.ndarray:
     return f(out[: len(x) - n + 1], out[n - size :]) if size < n else out
 
 
-def _chosen(w: words.Words, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Half-window hash at each word (all ones where none starts), the least of them
-    over each full window (0 where none starts), and which full windows exist."""
-    n = len(w.start)
-    left = w.first[1:][w.doc] - np.arange(n)  # words from here to the document's end
-    v = np.full(n, _MAX, np.uint64)
-    grams = words.windows(w.hashes(), half)
-    v[: len(grams)] = grams
-    v[left < half] = _MAX
-    least = np.zeros(n, np.uint64)
-    if n > half:
-        low = _sliding(v, half + 1, np.minimum)
-        least[: len(low)] = low
-    full = left >= 2 * half
-    least[~full] = 0
-    return v, least, full
-
-
-def _anchors(df: DataFrame, half: int) -> DataFrame:
+def _grams(h: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """Hashes of windows of the last length, doubled up from the first."""
+    out = words.windows(h, lengths[0])
+    for length in lengths[:-1]:
+        out = words.double(out, length, length)
+    return out
+
+
+def _choices(w: words.Words, h: np.ndarray, lengths: list[int], level: int) -> np.ndarray:
+    """For each full window, by its first word, where its choice on a level starts."""
+    n, window = len(h), lengths[-1]
+    first = np.arange(n - window + 1)
+    if level == len(lengths) - 1:
+        return first
+    key = (words.windows(h, lengths[0]) & ~_PLACE) | (np.arange(n - lengths[0] + 1).astype(np.uint64) & _PLACE)
+    low = _sliding(key, window - lengths[0] + 1, np.minimum)
+    start = first + ((low - first.astype(np.uint64)) & _PLACE).astype(np.int64)
+    for length in lengths[:level]:
+        start = np.where(start + 2 * length <= first + window, start, start - length)
+    return start
+
+
+def _get(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def _marked(batch: pa.RecordBatch, w: words.Words) -> np.ndarray:
+    """Words of the batch, by number, that its lists of places name."""
+    lists = _get(batch, "places")
+    return lists.flatten().to_numpy() + np.repeat(w.first[:-1], np.diff(lists.offsets.to_numpy()))
+
+
+def _candidates(df: DataFrame, lengths: list[int], level: int) -> DataFrame:
+    """hash, check (of the last level), doc_id, at: the windows of a level that full
+    windows choose; above the lowest, only those extended from ``places``."""
+    last = level == len(lengths) - 1
+
     def work(batch: pa.RecordBatch) -> dict:
-        w = words.Words(*words.buffer(batch.column(1)), words.SPACE_WORDS, False)
-        v, least, full = _chosen(w, half)
-        n = len(v)
-        if n <= half:
-            at = np.zeros(0, np.int64)
-        else:
-            # A place is chosen if some full window over it has it as least.
-            high = _sliding(np.concatenate([np.zeros(half, np.uint64), least]), half + 1, np.maximum)
-            at = np.flatnonzero((high == v) & (v != _MAX) & (high != 0))
+        w = words.Words(*words.buffer(_get(batch, "text")), words.SPACE_WORDS, False)
+        n, window = len(w.start), lengths[-1]
+        at = np.zeros(0, np.int64)
+        hashed, check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        if n >= window:
+            h = w.hashes()
+            left = w.first[1:][w.doc] - np.arange(n)  # words from here to the document's end
+            some = left[: n - window + 1] >= window
+            if level:
+                mark = np.zeros(n, bool)
+                mark[_marked(batch, w)] = True
+                some &= mark[_choices(w, h, lengths, level - 1)]
+            chosen = np.zeros(n, bool)
+            chosen[_choices(w, h, lengths, level)[some]] = True
+            at = np.flatnonzero(chosen)
+            hashed = _grams(h, lengths[: level + 1])[at]
+            if last:
+                check = _grams(w.hashes(base=words.OTHER), lengths)[at] >> np.uint64(32)
         doc = w.doc[at]
-        return {"hash": pa.array(v[at].view(np.int64)), "doc_id": batch.column(0).take(pa.array(doc)), "at": pa.array((at - w.first[doc]).astype(np.int32))}
+        out = {"hash": pa.array(hashed.view(np.int64)), "doc_id": _get(batch, "doc_id").take(pa.array(doc)), "at": pa.array((at - w.first[doc]).astype(np.int32))}
+        return out | ({"check": pa.array(check.astype(np.uint32).view(np.int32))} if last else {})
 
-    return common.arrow_map(df, "hash long, doc_id long, at int", "text", work)
+    return common.arrow_map(df, "hash long, doc_id long, at int" + ", check int" * last, "text", work).select("hash", *["check"] * last, "doc_id", "at")
 
 
 def _sorted(df: DataFrame) -> DataFrame:
-    return df.repartitionByRange("hash", "doc_id", "at").sortWithinPartitions("hash", "doc_id", "at")
+    return df.repartitionByRange(*df.columns).sortWithinPartitions(*df.columns)
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,70 +143,60 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held.select(["doc_id", "at"])
 
 
+LATER = "kind byte, hash long, check int, doc_id long, at int"
+
+
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of (hash, doc_id, at): kind 0, rows whose hash has an earlier
-    place; 1, the first row of a task; 2, the first place of a task's last hash."""
-    run = None  # hash, doc, at of the run's first row
+    """Of rows in order of (hash, check, doc_id, at): kind 0, rows whose hashes have an
+    earlier place; 1, the first row of a task; 2, the first place of a task's last hashes."""
+    names = ["kind", "hash", "check", "doc_id", "at"]
+    run = None  # hash, check, doc, at of the run's first row
     for batch in batches:
-        h, d, a = (batch.column(i).to_numpy() for i in range(3))
+        h, c, d, a = (batch.column(i).to_numpy() for i in range(4))
         if not len(h):
             continue
-        start = np.concatenate([[True], h[1:] != h[:-1]])
+        start = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
         kind = np.zeros(len(h), np.int8)
         if run is None:
             kind[0] = 1
-        elif run[0] == h[0]:
+        elif run[0] == h[0] and run[1] == c[0]:
             start[0] = False
         at = np.maximum.accumulate(np.where(start, np.arange(len(h)), -1))
-        first_d, first_a = np.where(at >= 0, d[at], run[1] if run else 0), np.where(at >= 0, a[at], run[2] if run else 0)
+        first_d, first_a = np.where(at >= 0, d[at], run[2] if run else 0), np.where(at >= 0, a[at], run[3] if run else 0)
         later = (first_d != d) | (first_a != a)
         keep = later | (kind == 1)
-        run = (h[-1], first_d[-1], first_a[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(kind[keep]), *(pa.array(x[keep]) for x in (h, d, a))], ["kind", "hash", "doc_id", "at"])
+        run = (h[-1], c[-1], first_d[-1], first_a[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind, h, c, d, a)], names)
     if run is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int8()), pa.array([run[0]], pa.int64()), pa.array([run[1]], pa.int64()), pa.array([run[2]], pa.int32())], ["kind", "hash", "doc_id", "at"])
+        kinds = (pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((2, *run), kinds)], names)
 
 
-def _doubled(df: DataFrame, places: DataFrame, half: int) -> DataFrame:
-    """Hash of each full window whose chosen half is among the places."""
-
-    def work(batch: pa.RecordBatch) -> dict:
-        get = lambda c: batch.column(batch.schema.get_field_index(c))
-        w = words.Words(*words.buffer(get("text")), words.SPACE_WORDS, False)
-        v, least, full = _chosen(w, half)
-        lists = get("places")
-        at = lists.flatten().to_numpy() + np.repeat(w.first[:-1], np.diff(lists.offsets.to_numpy()))
-        mark = np.full(len(v), _MAX, np.uint64)
-        mark[at] = v[at]
-        found = np.zeros(len(v), bool)
-        if len(v) > half:
-            low = _sliding(mark, half + 1, np.minimum)
-            found[: len(low)] = (low == least[: len(low)]) & full[: len(low)]
-        at = np.flatnonzero(found)
-        doc = w.doc[at]
-        both = words.double(v, half, half)[at]
-        return {"hash": pa.array(both.view(np.int64)), "doc_id": get("doc_id").take(pa.array(doc)), "at": pa.array((at - w.first[doc]).astype(np.int32))}
-
+def _with_places(df: DataFrame, places: DataFrame) -> DataFrame:
+    """doc_id, text and the list of places of each document that has some."""
     some = places.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
     may = common.bits_of(places.select("doc_id").distinct(), "doc_id")
-    rows = df.where(common.in_bits(may, F.col("doc_id")))
-    return common.arrow_map(rows.join(some, "doc_id").select("doc_id", "text", "places"), "hash long, doc_id long, at int", "text", work)
-
-
-def repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, at): every window of ``window`` words (even) of the documents, by its
-    first word from 0, whose words also start earlier. Documents equal to an earlier
-    one as a whole are left out: see ``copies``."""
-    if window % 2:
-        raise ValueError("the window must be even")
-    half = window // 2
-    spark = df.sparkSession
-    common.ship(spark)
-    halves = common.cut(_sorted(_anchors(df, half)).mapInArrow(_repeated, "doc_id long, at int").join(copies(df).select("doc_id"), "doc_id", "left_anti"), "halves")
-    rows = common.cut(_sorted(_doubled(df, halves, half)).mapInArrow(_later, "kind byte, hash long, doc_id long, at int"), "later")
-    # A task's first row repeats if a task before it ends in its hash, from an earlier place.
-    ends = rows.where("kind = 2").groupBy("hash").agg(F.min(F.struct("doc_id", "at")).alias("from"))
-    edges = rows.where("kind = 1").join(ends, "hash").where("from < struct(doc_id, at)")
+    return df.where(common.in_bits(may, F.col("doc_id"))).join(some, "doc_id").select("doc_id", "text", "places")
+
+
+def repeats(df: DataFrame, again: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, at): every window of ``window`` words of the documents, by its first
+    word from 0, whose words also start earlier; but none of the documents ``again``,
+    which equal an earlier one as a whole (see ``copies``)."""
+    common.ship(df.sparkSession)
+    lengths = levels(window)
+    places = df
+    for level in range(len(lengths) - 1):
+        found = _sorted(_candidates(places, lengths, level)).mapInArrow(_repeated, "doc_id long, at int")
+        if not level:
+            found = found.join(again, "doc_id", "left_anti")
+        places = _with_places(df, common.cut(found, f"level{level}"))
+    if len(lengths) == 1:
+        places = df.join(again, "doc_id", "left_anti")
+    rows = common.cut(_sorted(_candidates(places, lengths, len(lengths) - 1)).mapInArrow(_later, LATER), "later")
+    # A task's first row repeats if a task before it ends in its hashes, from an earlier place.
+    ends = rows.where("kind = 2").groupBy("hash", "check").agg(F.min(F.struct("doc_id", "at")).alias("from"))
+    edges = rows.where("kind = 1").join(ends, ["hash", "check"]).where("from < struct(doc_id, at)")
     return rows.where("kind = 0").select("doc_id", "at").unionByName(edges.select("doc_id", "at"))
 
 
@@ -174,8 +204,7 @@ def copies(df: DataFrame) -> DataFrame:
     """doc_id of each document whose whole text is an earlier document's."""
     digests = df.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
-    firsts = common.cut(firsts.select("digest", "first"), "firsts")
-    return digests.join(firsts, "digest").where("doc_id <> first").select("doc_id").distinct()
+    return digests.join(firsts.select("digest", "first"), "digest").where("doc_id <> first").select("doc_id").distinct()
 
 
 def dedup(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
@@ -185,14 +214,11 @@ def dedup(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str =
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
 
     def work(batch: pa.RecordBatch) -> dict:
-        get = lambda c: batch.column(batch.schema.get_field_index(c))
-        w = words.Words(*words.buffer(get("text")), words.SPACE_WORDS, False)
+        w = words.Words(*words.buffer(_get(batch, "text")), words.SPACE_WORDS, False)
         gone = np.zeros(len(w.start) + 1, np.int64)
         if "places" in batch.schema.names:
-            lists = get("places")
-            at = lists.flatten().to_numpy() + np.repeat(w.first[:-1], np.diff(lists.offsets.to_numpy()))
-            np.add.at(gone, at, 1)
-            np.add.at(gone, at + window, -1)
+            at = _marked(batch, w)
+            gone += np.bincount(at, minlength=len(gone)) - np.bincount(at + window, minlength=len(gone))
         keep = np.cumsum(gone[:-1]) == 0
         start, end = w.start[keep], w.end[keep]
         # Each kept word and one byte behind it; that byte becomes the space.
@@ -206,19 +232,17 @@ def dedup(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str =
         raw = out.tobytes()
         parts = [raw[a : max(a, b - 1)] for a, b in zip(ends, ends[1:])]
         counts, left = w.counts, np.diff(kept)
-        got = {"doc_id": get("doc_id"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(counts - left, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in parts])}
+        got = {"doc_id": _get(batch, "doc_id"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(counts - left, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in parts])}
         return got | ({"kept_text": pa.array([x.decode() for x in parts])} if texts else {})
 
     named = docs.where("doc_id is not null")
-    found = common.cut(repeats(named, window), "repeats")
+    again = common.cut(copies(named), "copies")
+    found = repeats(named, again, window)
     whole = common.arrow_map(docs, schema, "text", work)
-    cut_ = found.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
-    may = common.bits_of(found.select("doc_id").distinct(), "doc_id")
-    touched = docs.where(common.in_bits(may, F.col("doc_id"))).join(cut_, "doc_id").select("doc_id", "text", "places")
-    touched = common.arrow_map(touched, schema, "text", work).dropDuplicates(["doc_id"])
+    touched = common.arrow_map(_with_places(docs, found), schema, "text", work).dropDuplicates(["doc_id"])
     names = ["n_removed", "kept_sha256"] + ["kept_text"] * texts
     touched = touched.select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in names])
-    again = copies(named).select(F.col("doc_id").alias("_copy"))
+    again = again.select(F.col("doc_id").alias("_copy"))
     out = whole.join(touched, whole["doc_id"] == touched["_id"], "left").join(again, whole["doc_id"] == again["_copy"], "left")
     is_copy = F.col("_copy").isNotNull() & (F.col("n_words") >= window)
     empty = {"n_removed": F.col("n_words"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "kept_text": F.lit("")}

@@ -15,8 +15,8 @@ import pyarrow as pa
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xBF58476D1CE4E5B9)
 _M3 = np.uint64(0x94D049BB133111EB)
-_P = 0x5851F42D4C957F2D
-_PINV = pow(_P, -1, 1 << 64)
+#: Odd bases of polynomial hashes; the second is for a hash independent of the first.
+_P, OTHER = 0x5851F42D4C957F2D, 0xD1342543DE82EF95
 
 # Lower-casing of A-Z only.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -89,19 +89,19 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self, block: int = 1 << 22) -> np.ndarray:
+    def hashes(self, block: int = 1 << 22, base: int = _P) -> np.ndarray:
         """64-bit hash of each word: a polynomial over its bytes, then mixed."""
         out = np.empty(len(self.start), np.uint64)
-        at = 0
+        at, inverse = 0, pow(base, -1, 1 << 64)
         while at < len(self.start):  # blocks bound the 8-byte temporaries
             lo = self.start[at]
             to = max(at + 1, int(np.searchsorted(self.end, lo + block, "right")))
             part = self.data[lo : self.end[to - 1]]
-            powers = _powers(len(part), _P)
+            powers = _powers(len(part), base)
             sums = np.zeros(len(part) + 1, np.uint64)
             np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
             s, e = self.start[at:to] - lo, self.end[at:to] - lo
-            out[at:to] = (sums[e] - sums[s]) * _powers(len(part), _PINV)[s] + (e - s).astype(np.uint64) * _M1
+            out[at:to] = (sums[e] - sums[s]) * _powers(len(part), inverse)[s] + (e - s).astype(np.uint64) * _M1
             at = to
         return mix(out)
 
