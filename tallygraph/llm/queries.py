@@ -30,7 +30,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,63 @@ QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_media, op4_licenses
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_PHRASES = ", ".join(f"({_QUOTED(p)}, {_QUOTED(label)})" for p, label in licenses.PHRASES.items())
+_TEMPLATES = ", ".join(f"({i}, {', '.join(map(_QUOTED, t))})" for i, t in enumerate(licenses.TEMPLATES))
+_ALNUM = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+
+def _weights_sql(level: str, column: str) -> str:
+    return "CASE " + " ".join(f"WHEN {column} = {_QUOTED(v)} THEN {float(w)!r}" for v, w in mixing.WEIGHTS[level].items()) + f" ELSE {mixing.DEFAULT_WEIGHT!r} END" if mixing.WEIGHTS[level] else repr(mixing.DEFAULT_WEIGHT)
+
+
+def _fill_sql(level: str, parents: list[str], budget: str) -> str:
+    """CTEs b_<level>: the children's budgets by water-filling, from that of the parents."""
+    keys, by = ", ".join([*parents, level]), f"PARTITION BY {', '.join(parents)}" if parents else ""
+    on = f"USING ({', '.join(parents)})" if parents else "ON true"
+    return f"""n_{level} AS (SELECT {keys}, sum(own) * 2 AS s, {_weights_sql(level, level)} AS w FROM leaf GROUP BY {keys}),
+t_{level} AS (SELECT n.*, s / w AS r, p.b, (p.b - coalesce(sum(s) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t FROM n_{level} n JOIN {budget} p {on} WINDOW o AS ({by} ORDER BY s / w, {level})),
+b_{level} AS (SELECT {keys}, CASE WHEN u IS NULL THEN s::DOUBLE ELSE least(s::DOUBLE, w * u) END AS b FROM (SELECT *, (min(CASE WHEN t < r THEN {{'r': r, 'k': {level}, 't': t}} END) OVER ({by}))['t'] AS u FROM t_{level}))"""
+
+
+_CRC32 = """b AS (SELECT row_number() OVER () AS row, doc_id, text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::INTEGER) AS b FROM documents),
+k AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS k FROM range(256) r(i)),
+c AS (SELECT row, doc_id, len(b) + 8 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, b::BIGINT[]), lambda c, x: xor(c >> 8, k[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM b, k)"""
+
 ORACLE_SQL = {
+    "op6_sharding": f"""
+WITH RECURSIVE {_CRC32},
+w(name, pos) AS (SELECT DISTINCT coalesce(doc_id::VARCHAR, ''), 0::BIGINT FROM documents
+  UNION ALL SELECT name, least(floor((pos + 1) * 4503599627370496.0 / (('0x' || substr(md5(name || ':' || pos), 1, 13))::BIGINT::DOUBLE + 1))::BIGINT, 25) FROM w WHERE pos < 25),
+s AS (SELECT name, max(pos) FILTER (pos < 24) AS shard, max(pos) FILTER (pos < 25) AS grown FROM w GROUP BY name)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'key' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(concat_ws(':', doc_id, crc)), 1, 15), doc_id NULLS FIRST, crc) - 1 AS slot, grown::INTEGER AS grown_shard
+FROM c JOIN s ON name = coalesce(doc_id::VARCHAR, '')""",
+    "op8_mixing": f"""
+WITH r AS (SELECT doc_id, lang, source, {mixing.DOMAINS!r}[coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS INTEGER), 0) % {len(mixing.DOMAINS)} + 1] AS dm, coalesce(lang, '') AS la, coalesce(source, '') AS so,
+  greatest(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')), 1) AS n, md5(coalesce(text, '')) AS m FROM documents),
+leaf AS (SELECT dm AS domain, la AS lang, so AS source, sum(n) AS own FROM r GROUP BY ALL), root AS (SELECT sum(own)::DOUBLE * 0.5 AS b FROM leaf),
+{_fill_sql("domain", [], "root")}, {_fill_sql("lang", ["domain"], "b_domain")}, {_fill_sql("source", ["domain", "lang"], "b_lang")},
+e AS (SELECT r.*, own, floor(b)::BIGINT AS budget, e FROM r JOIN leaf l ON dm = l.domain AND la = l.lang AND so = l.source JOIN b_source x ON dm = x.domain AND la = x.lang AND so = x.source, range(2) t(e)),
+p AS (SELECT *, e * own + coalesce(sum(n) OVER (PARTITION BY dm, la, so, e ORDER BY substr(md5(concat_ws(':', '8', e, coalesce(doc_id::VARCHAR, ''), m)), 1, 15), doc_id NULLS FIRST, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM e)
+SELECT doc_id, lang, source, dm AS mix_domain, n::BIGINT AS mix_tokens, e::INTEGER AS mix_epoch, pos::BIGINT AS mix_before, budget AS mix_budget FROM p WHERE pos < budget""".replace(repr(mixing.DOMAINS), str(list(mixing.DOMAINS))),
+    "op4_licenses": f"""
+WITH d AS (SELECT doc_id, {_ALNUM.format("coalesce(text, '')")} AS a FROM documents),
+p AS (SELECT label, string_split(phrase, ' ') AS q FROM (VALUES {_PHRASES}) v(phrase, label)),
+b AS (SELECT doc_id, label, unnest(list_filter(range(1, len(a) - len(q) + 2), lambda i: a[i : i + len(q) - 1] = q)) - 1 AS i FROM d, p),
+t AS (SELECT t, label, {_ALNUM.format("line")} AS a, {_ALNUM.format("keys")} AS k FROM (VALUES {_TEMPLATES}) v(t, label, line, keys)),
+n AS (SELECT t, label, ceil({licenses.SPAN} * len(a)) AS span, len(list_distinct(a)) AS n, len(list_distinct(k)) AS k, CASE WHEN len(list_distinct(a)) < {licenses.SHORT} THEN len(list_distinct(a)) ELSE ceil({licenses.THRESHOLD} * len(list_distinct(a)) - 1e-9) END AS need FROM t),
+x AS (SELECT DISTINCT t, unnest(a) AS x FROM t), y AS (SELECT DISTINCT t, unnest(k) AS x, true AS key FROM t),
+w AS (SELECT doc_id, unnest(a) AS x, unnest(range(len(a))) AS i FROM d),
+h AS (SELECT doc_id, x.t, i, w.x, coalesce(key, false) AS key FROM w JOIN x USING (x) LEFT JOIN y ON y.t = x.t AND y.x = w.x),
+h2 AS (SELECT h.* FROM h JOIN (SELECT doc_id, t FROM h JOIN n USING (t) GROUP BY doc_id, t HAVING count(DISTINCT x) >= min(need)) USING (doc_id, t)),
+g AS (SELECT u.doc_id, u.t, u.i, count(DISTINCT v.x) AS c, count(DISTINCT v.x) FILTER (v.key) AS kc FROM h2 u JOIN n USING (t) JOIN h2 v ON v.doc_id = u.doc_id AND v.t = u.t AND v.i >= u.i AND v.i < u.i + span GROUP BY 1, 2, 3),
+m AS (SELECT doc_id, label, c / n.n AS s FROM g JOIN n USING (t) WHERE c >= need AND kc = n.k),
+l AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION SELECT doc_id, label FROM b) GROUP BY 1),
+bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM b) GROUP BY 1),
+bn AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi FROM b GROUP BY 1), sc AS (SELECT doc_id, max(s) AS s FROM m GROUP BY 1)
+SELECT d.doc_id, len(a)::BIGINT AS n_words, coalesce(bn.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(bl.labels, '') AS base_labels, coalesce(l.labels, '') AS labels, coalesce(s, 0)::DOUBLE AS score
+FROM d LEFT JOIN bn USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN sc USING (doc_id)""",
     "op5_neardup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^ \\x09-\\x0D]+') AS a FROM documents),
 s AS (SELECT DISTINCT doc_id, g FROM (

@@ -51,6 +51,77 @@ def test_pii_skip_edges_need_a_base_span(spark):
     assert got[1].n_added == 1 and got[2].spans == ""
 
 
+def enumerate_field(field, g):
+    """Marginals of the free tokens by trying every labelling."""
+    from itertools import product
+
+    free, n = np.flatnonzero(g.free), pii.LABELS
+    total = np.zeros((len(g.base), n))
+    for labels in product(range(n), repeat=len(free)):
+        y = g.base.copy()
+        y[free] = labels
+        e = sum(field.node[g.shape[i], y[i]] + g.word[0][i] * field.chain[pii.NONE, y[i]] + g.word[1][i] * field.chain[y[i], pii.NONE] for i in free)
+        e += sum(field.chain[y[a], y[b]] for a, b in g.chain) + sum(field.skip * (y[a] == y[b]) for a, b in g.skip)
+        total[np.arange(len(y)), y] += np.exp(e)
+    return total / total.sum(1, keepdims=True)
+
+
+@pytest.mark.parametrize("text, close", [
+    ("call +1 (743) 555-3824 or 743-555-3824 now", 1e-3), ("+1 (743) 555-3824 then 743.555.3824 then 7435553824 end", 1e-3),
+    ("mail a.b@c.de and a.b@c.de, 10 times; card 4111 1111 1111 1111 or 4111.1111.1111.1111 5", 1e-3),
+    ("+49 30 1234 5678 or 030 1234 5678 or 030 1234 5678", 0.1),  # on a loop of chain and skip edges messages are near only
+])
+def test_messages_against_enumeration(text, close):
+    import pyarrow as pa
+
+    rng, g = np.random.default_rng(3), pii._Graph(pa.array([text]))
+    assert g.free.any()
+    for _ in range(5):
+        field = pii.Field(rng.normal(size=(pii.FEATURES.shape[1], pii.LABELS)), rng.normal(size=(pii.LABELS, pii.LABELS)) * 0.5, float(rng.uniform(0, 2)))
+        assert np.abs(field.posteriors(g) - enumerate_field(field, g))[g.free].max() < close
+
+
+def test_fit_is_at_the_best_weights():
+    """No step from the fitted weights raises the penalised pseudo-likelihood."""
+    import pyarrow as pa
+
+    texts = ["at +1 (201) 555-%d and again +1 (201) 555-%d now, %d of 12" % (1000 + i, 1000 + i, i) for i in range(40)]
+    code, count = pii._configurations(pa.array(texts))
+    field, rng = pii.Field.fit(code, count), np.random.default_rng(1)
+
+    def loss(look, chain, skip):
+        out = 0.0
+        for c, n in zip(code.tolist(), count.tolist()):
+            c, y = divmod(c, pii.LABELS)
+            near = []
+            for _ in range(4):
+                c, x = divmod(c, pii.LABELS + 1)
+                near.insert(0, x)
+            for f in (pii.FEATURES[c], np.zeros(pii.FEATURES.shape[1])):
+                z = f @ look
+                for x, part in zip(near[:2], (chain, chain.T)):
+                    z = z + (part[x] if x != pii.OPEN else 0)
+                for x in near[2:]:
+                    z = z + (skip * (np.arange(pii.LABELS) == x) if x != pii.OPEN else 0)
+                out -= n * (z[y] - np.log(np.exp(z).sum()))
+        a, b = pii.PENALTY
+        return out / (2 * count.sum()) + (a * (look**2).sum() + a * (chain**2).sum() + b * skip**2) / 2
+
+    best = loss(field.look, field.chain, field.skip)
+    for _ in range(20):
+        assert best <= loss(field.look + 0.1 * rng.normal(size=field.look.shape), field.chain + 0.1 * rng.normal(size=field.chain.shape), field.skip + rng.normal())
+    assert field.skip > 1
+
+
+def test_pii_other_layouts_of_a_base_span(spark):
+    """Spans over several tokens, as base and as what is added."""
+    rows = [(i, f"at +1 (201) 555-{1000 + i} and again +1 (201) 555-{1000 + i} in {i}, 12 times 7 of 1999") for i in range(30)]
+    rows += [(50, "card 4111 1111 1111 1111 and 4111.1111.1111.1111 too, +49 30 1234 5678 or 030 1234 5678 ok"), (51, "1999 2000 2001 and 4111.1111.1111.1111 alone")]
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(x, pii.train(x)).collect()}
+    assert got[50].spans == "card:5:24,card:29:48,phone:54:70,phone:74:87" and got[51].spans == "" and got[3].n_added == 0
+
+
 @pytest.mark.parametrize("text", ["a@b.c@d.ef x..y@-.-", "1.2.3.4.5.6.7.8.256.1.1.1", "@@a@b.c", "a@b@c.d", "+12+123456789012 ", "1.2.3.4567.8.9.10", "00255.0001.1.1 1.2.3"])
 def test_pii_patterns(text):
     pats = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -110,6 +181,53 @@ def test_licenses(docs):
     assert got[8].labels == "mit" and got[8].score == 1.0 and got[8].base_labels == "mit" and got[0].score == 0
 
 
+def brute_licenses(text):
+    """Labels, score and matches by trying every block of every template."""
+    w, labels, score, found = re.findall(ALNUM, lower(text)), set(), 0.0, []
+    for p, label in licenses.PHRASES.items():
+        if any(w[j : j + len(p.split())] == p.split() for j in range(len(w))):
+            labels.add(label)
+    for t, (label, line, keys) in enumerate(licenses.TEMPLATES):
+        mine = re.findall(ALNUM, lower(line))
+        span, least = int(np.ceil(licenses.SPAN * len(mine))), licenses.need(len(set(mine)))
+        best = 0
+        for j in range(len(w)):
+            held = set(w[j : j + span]) & set(mine)
+            if w[j] in mine and len(held) >= least and set(keys.split()) <= held and len(held) > best:
+                best, at = len(held), j
+        if best:
+            labels.add(label)
+            score = max(score, best / len(set(mine)))
+            found.append((t, at, best / len(set(mine))))
+    return ",".join(sorted(labels)), score, found
+
+
+def test_license_blocks_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    lines = [t[1] for t in licenses.TEMPLATES]
+    vocabulary = sorted({x for t in lines for x in re.findall(ALNUM, lower(t))})
+    texts = list(lines)
+    for t in lines * 4:  # words dropped, swapped in and spread over lines
+        own = t.split()
+        for _ in range(int(rng.integers(1, 4))):
+            own[int(rng.integers(len(own)))] = ["", "zebra", "\n"][int(rng.integers(3))]
+        texts.append(" ".join([*rng.choice(vocabulary, int(rng.integers(0, 90))), *own, *rng.choice(vocabulary, int(rng.integers(0, 90)))]))
+    texts += [" ".join(rng.choice(vocabulary, 4_000)), "mit der license"]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].labels, got[i].score, [tuple(m) for m in got[i].matches]) == brute_licenses(t), t
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("Released under the Apache License.", "apache"), ("the book was released in spring under heavy rain and the driver lost a license", ""),
+    ("Er kam mit der Lizenz, released under the old law", ""), ("Licensed under the Apache License, Version 2.0.", "apache"), ("RELEASED UNDER\nTHE MIT\tLICENSE", "mit"),
+    ("a copy of this software and its documentation files goes to any person, free of charge", ""),
+])
+def test_license_labels(spark, text, labels):
+    row = licenses.scan(spark.createDataFrame([(0, text)], "doc_id long, text string")).first()
+    assert row.labels == labels
+
+
 def exact_components(texts, n, hundredths=80):
     sets = {}
     for i, t in texts.items():
@@ -167,8 +285,32 @@ def test_sharding(docs):
     assert (by[3].size, by[3].text_crc32, by[8].size) == (8, 0, 8 + len(TEXTS[8].encode()))
 
 
+def walk(key, n):
+    """The jump walk as published, with draws from MD5."""
+    at, step = 0, 0
+    while step < n:
+        at = step
+        draw = int(hashlib.md5(f"{key}:{step}".encode()).hexdigest()[:13], 16)
+        step = int((step + 1) * float(1 << 52) / (draw + 1))
+    return at
+
+
+def test_jump_against_the_walk(spark):
+    x = spark.range(300).select("id", sharding.shard_of(F.col("id"), 1, 7, 24, 25).alias("s")).collect()
+    assert all(tuple(r.s) == tuple(walk(r.id, n) for n in (1, 7, 24, 25)) for r in x)
+
+
+def test_slots_against_a_sort(docs):
+    got = sharding.shard(docs).collect()
+    for s in {r.shard for r in got}:
+        own = sorted((r for r in got if r.shard == s), key=lambda r: r.slot)
+        order = [(hashlib.md5(f"{r.doc_id}:{r.text_crc32}".encode()).hexdigest()[:15], r.doc_id) for r in own]
+        assert order == sorted(order) and [r.slot for r in own] == list(range(len(own)))
+        assert all(r.shard == walk(r.doc_id, 24) and r.grown_shard == walk(r.doc_id, 25) for r in own)
+
+
 def test_jump_moves_few_and_evenly(spark):
-    x = spark.range(20_000).select(sharding.shard_of(F.col("id"), 10).alias("a"), sharding.shard_of(F.col("id"), 11).alias("b"))
+    x = spark.range(20_000).select(sharding.shard_of(F.col("id"), 10, 11).alias("s")).select(F.col("s.s10").alias("a"), F.col("s.s11").alias("b"))
     assert x.where("a <> b and b <> 10").count() == 0 and 0.07 < x.where("a <> b").count() / 20_000 < 0.11
     assert all(1_700 < r["count"] < 2_300 for r in x.groupBy("a").count().collect())
 
@@ -218,6 +360,61 @@ def test_mixing(spark, docs):
     assert all(r.mix_before < r.mix_budget for r in got.collect())
 
 
+def brute_budgets(tree, budget, weights, level=0):
+    """Budgets of leaves {path: supply} by filling one child after another."""
+    if level == 3:
+        return {k: min(budget, s) for k, s in tree.items()}
+    name = mixing.LEVELS[level]
+    weight = {k[level]: float(weights.get(name, {}).get(k[level], 1.0)) for k in tree}
+    def usable(k):
+        return all(float(weights.get(n, {}).get(v, 1.0)) > 0 for n, v in zip(mixing.LEVELS, k))
+    supply = {c: sum(s for k, s in tree.items() if k[level] == c and usable(k)) for c in weight}
+    given, open_ = {c: 0.0 for c in weight}, {c for c in weight if weight[c] > 0 and supply[c] > 0}
+    left = budget
+    while open_ and left > 1e-9:
+        t = min([left / sum(weight[c] for c in open_), *((supply[c] - given[c]) / weight[c] for c in open_)])
+        for c in open_:
+            given[c] += t * weight[c]
+        left -= t * sum(weight[c] for c in open_)
+        open_ = {c for c in open_ if supply[c] - given[c] > 1e-9}
+    out = {}
+    for c in weight:
+        out |= brute_budgets({k: (s if usable(k) else 0) for k, s in tree.items() if k[level] == c}, given[c], weights, level + 1)
+    return out
+
+
+WEIGHTS = [mixing.WEIGHTS, {"domain": {"web": 0, "books": 1.5}, "lang": {"de": 0}, "source": {"src1": 3}}, {"domain": {"web": 0, "books": 0, "code": 0}}]
+
+
+@pytest.mark.parametrize("weights", WEIGHTS)
+def test_mixing_against_brute_force(spark, weights):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), ["en", "de", "fr", None][int(rng.integers(4))], f"src{int(rng.integers(5))}" if i % 9 else None) for i in range(150)]
+    rows += [rows[3], (None, "a null id", "en", "src0")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), share=0.7, weights=weights).collect()
+    leaves, want = {}, []
+    for i, t, la, so in rows:
+        domain = mixing.DOMAINS[int((so or "0")[-1]) % 3]
+        leaves.setdefault((domain, la or "", so or ""), []).append((i, t, max(1, len(t.split()))))
+    own = {k: sum(n for *_, n in v) for k, v in leaves.items()}
+    budget = brute_budgets({k: 2 * n for k, n in own.items()}, 0.7 * sum(own.values()), weights)
+    for k, v in leaves.items():
+        for e in range(2):
+            at = e * own[k]
+            key = lambda r: (hashlib.md5(f"8:{e}:{'' if r[0] is None else r[0]}:{hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest()[:15], r[0] or -1)
+            for i, _, n in sorted(v, key=key):
+                if at < int(budget[k] + 1e-6):
+                    want.append((i, k[0], n, e, at, int(budget[k] + 1e-6)))
+                at += n
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.mix_domain, r.mix_tokens, r.mix_epoch, r.mix_before, r.mix_budget)) for r in got)
+
+
+def test_bad_weights_raise(docs):
+    for w in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, weights={"lang": {"en": w}})
+
+
 def test_budgets_fill_siblings_first(spark):
     rows = [("web", "en", "a", 10), ("web", "en", "b", 1_000), ("web", "de", "c", 1_000), ("books", "en", "d", 20), ("code", "en", "e", 5)]
     leaves = spark.createDataFrame(rows, "domain string, lang string, source string, supply long")
@@ -273,14 +470,67 @@ def test_neighbours(spark):
     assert hits / total >= 0.9
 
 
-def test_recall_of_a_large_shard():
-    """Unclustered vectors, far more nodes than the least beam; queries of other shards."""
+def recall(v, q, k=20):
+    g, order = ann.Graph.build(ann.unit(v))
+    got, scores = g.search(ann.asked(q), k)
+    best = np.argsort(-(q @ v.T), axis=1)[:, :k]
+    assert got.shape == scores.shape == (len(q), k) and (np.diff(scores, axis=1) <= 1e-6).all()
+    return np.mean([len(set(a) & set(order[b])) / k for a, b in zip(best.tolist(), got.tolist())])
+
+
+def on_sphere(rng, n, d=64):
+    x = rng.normal(size=(n, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_recall_of_a_full_shard():
+    """Unclustered vectors, queries of other shards."""
     rng = np.random.default_rng(4)
-    v, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.normal(size=(n, 64)).astype(np.float32) for n in (16_384, 64)))
-    got, scores = ann.Graph.build(v).search(q, 20)
-    best = np.argsort(-(q @ v.T), axis=1)[:, :20]
-    assert got.shape == scores.shape == (64, 20) and (np.diff(scores, axis=1) <= 1e-6).all()
-    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(best.tolist(), got.tolist())]) >= 0.97
+    assert recall(on_sphere(rng, ann.SHARD_ROWS), on_sphere(rng, 128)) >= 0.92
+
+
+@pytest.mark.parametrize("clusters, size", [(40, 200), (400, 80)])
+def test_recall_on_tight_clusters(clusters, size):
+    """Also far more rows than a shard takes; near links alone would never leave a cluster."""
+    rng = np.random.default_rng(5)
+    v = np.repeat(on_sphere(rng, clusters), size, 0) + 0.02 * rng.normal(size=(clusters * size, 64))
+    q = v[rng.choice(len(v), 128)] + 0.005 * rng.normal(size=(128, 64))
+    assert recall(v / np.linalg.norm(v, axis=1, keepdims=True), q) >= 0.97
+
+
+def test_every_node_can_be_reached():
+    v = np.repeat(np.eye(40, 64), 30, 0) + 1e-3 * np.random.default_rng(6).normal(size=(1_200, 64))
+    g, _ = ann.Graph.build(ann.unit(v))
+    for flat in g.layers:
+        seen, front = {0}, [0]
+        while front:
+            front = [int(y) for x in front for y in flat[x] if y >= 0 and int(y) not in seen and not seen.add(int(y))]
+        assert len(seen) == len(flat)
+
+
+def test_neighbours_of_vectors_of_any_length_by_routing(spark):
+    """More rows than the cells probed hold, norms that differ, a hot vector and a repeated row."""
+    rng = np.random.default_rng(7)
+    v = np.repeat(on_sphere(rng, 60, 16), 60, 0) + 0.05 * rng.normal(size=(3_600, 16))
+    v *= rng.uniform(0.5, 2, size=(3_600, 1))
+    v[1_000:2_200] = v[1_000]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    got = ann.neighbours(spark.createDataFrame([*rows, rows[40], rows[40]], "vec_id long, embedding array<double>"), F.col("vec_id") % 40 == 0).collect()
+    hits = 0
+    for q in range(0, 3_600, 40):
+        s = v @ v[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(3_600), -np.round(s, 12)))[:20]
+        own = [r.vec_id for r in got if r.query_id == q]
+        assert len(own) == len(set(own)) == 20
+        hits += len(set(best.tolist()) & set(own))
+    assert hits / (90 * 20) >= 0.95
+
+
+def test_vectors_of_two_lengths_raise(spark):
+    x = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        ann.neighbours(x, F.lit(True))
 
 
 def test_empty_table(spark, docs):
