@@ -204,7 +204,9 @@ def copies(df: DataFrame) -> DataFrame:
     """doc_id of each document whose whole text is an earlier document's."""
     digests = df.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
-    return digests.join(firsts.select("digest", "first"), "digest").where("doc_id <> first").select("doc_id").distinct()
+    # Written, so that the join's own exchange can split a mass of copies.
+    firsts = common.cut(firsts.select("digest", "first"), "firsts")
+    return digests.join(firsts, "digest").where("doc_id <> first").select("doc_id").distinct()
 
 
 def dedup(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
