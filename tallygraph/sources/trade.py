@@ -8,17 +8,14 @@ from pyspark.sql import functions as F
 
 from tallygraph.model import canonical
 
-#: A slice of the line items (below 2 %) that some SQL twins embed; their queries ask for it by name.
-SMALL = "l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity < 6"
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pairs(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, with repeats): three pairs a line item from one join."""
-    lines = read(spark, sf_dir, "lineitem").where(where).select("l_orderkey", "l_partkey", "l_suppkey")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     return three_pairs(lines, read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
 
 
@@ -29,13 +26,13 @@ def three_pairs(lines: DataFrame, orders: DataFrame) -> DataFrame:
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(three.alias("e")).select("e.src", "e.dst")
 
 
-def edges(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    return canonical(pairs(spark, sf_dir, where))
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical(pairs(spark, sf_dir))
 
 
-def weighted(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges with the number of line items behind each."""
-    return pairs(spark, sf_dir, where).groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count("*").alias("weight"))
+    return pairs(spark, sf_dir).groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count("*").alias("weight"))
 
 
 def nation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tallygraph.model import degrees
 from tallygraph.operators import communities, degree, ensemble, growth, layers, repair, richclub, structure, triangles
 from tallygraph.operators.paths import _cut, scratch
 from tallygraph.plans import audit, inference
-from tallygraph.queries import _SEED, FULL, LABELS, ORACLE_SQL, QUERIES, SMALL, TRI, _nations, query, rounded
+from tallygraph.queries import _SEED, FULL, LABELS, ORACLE_SQL, QUERIES, TRI, _nations, query, rounded
 from tallygraph.sources import trade
 from tallygraph.streaming import tables
 
@@ -20,22 +20,18 @@ _WEIGHTED = f", w AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, count(*)
 _QUOTIENT = LABELS + ", q AS (SELECT least(la, lb) AS a, greatest(la, lb) AS b, count(*) AS weight FROM el WHERE la <> lb GROUP BY 1, 2)"
 
 
-def _full(spark, d):
-    return trade.edges(spark, d, "true")
-
-
 def _quotient(spark, d):
-    return communities.quotient(_full(spark, d), trade.nation_labels(spark, d))
+    return communities.quotient(trade.edges(spark, d), trade.nation_labels(spark, d))
 
 
-def _coloured(spark, d, where="true"):
-    e = trade.edges(spark, d, where)
+def _coloured(spark, d):
+    e = trade.edges(spark, d)
     return e, degrees(e).select("id", (F.col("id") % 3).alias("colour"))
 
 
 @query(FULL + _WEIGHTED + ", wd AS (SELECT least(x.degree, y.degree) AS m, weight FROM w JOIN deg x ON x.id = src JOIN deg y ON y.id = dst), h AS (SELECT m, count(*) AS c, sum(weight) AS s FROM wd GROUP BY m), ks AS (SELECT unnest(range(0, (SELECT max(degree) + 1 FROM deg))) AS k), g AS (SELECT k, coalesce(sum(c), 0) AS e, coalesce(sum(h.s), 0) AS ws FROM ks LEFT JOIN h ON m > k GROUP BY k), r AS (SELECT row_number() OVER (ORDER BY weight DESC) AS i, sum(weight) OVER (ORDER BY weight DESC ROWS UNBOUNDED PRECEDING) AS top FROM w) SELECT k, CASE WHEN e > 0 THEN round(ws / top, 8) ELSE 0 END AS phi FROM g LEFT JOIN r ON i = e WHERE (SELECT count(*) FROM deg WHERE degree > k) >= 2")
 def weighted_rich_club(spark, d):
-    return rounded(structure.weighted_rich_club(trade.weighted(spark, d, "true")))
+    return rounded(structure.weighted_rich_club(trade.weighted(spark, d)))
 
 
 @query("WITH RECURSIVE z AS (SELECT 1)" + LABELS.split(", el AS")[0] + " SELECT round(sum(top) / sum(n), 8) AS nesting, count(*) AS labels FROM (SELECT label, max(n) AS top, sum(n) AS n FROM (SELECT label, id % 3 AS c, count(*) AS n FROM lab GROUP BY 1, 2) GROUP BY 1)")
@@ -46,7 +42,7 @@ def partition_nesting(spark, d):
 
 @query(FULL + ", g AS (SELECT n, 2.0 * m / (n * (n - 1)) AS c, 2.0 * m / n AS k FROM (SELECT count(*) AS n FROM deg), (SELECT count(*) AS m FROM e)) SELECT round(c, 8) AS clustering, round((ln(n) - 0.5772) / ln(k) + 0.5, 8) AS path, round(1 / ((ln(n) - 0.5772) / ln(k) + 0.5), 8) AS efficiency FROM g")
 def random_expectations(spark, d):
-    return rounded(audit.expectations(_full(spark, d)))
+    return rounded(audit.expectations(trade.edges(spark, d)))
 
 
 @query(FULL + _QUOTIENT + ", x AS (SELECT weight::DOUBLE AS x FROM q) SELECT round(avg(x), 8) AS mean, quantile_cont(x, 0.5) AS median, max(x) AS max, round(avg((x <= 5)::INT), 8) AS at_most_5, round(avg((x = 1)::INT), 8) AS ones, round(quantile_cont(x, 0.9) / quantile_cont(x, 0.5), 8) AS p90_median, (SELECT round(2 * sum(x * i) / (count(*) * sum(x)) - (count(*) + 1) / count(*), 8) FROM (SELECT x, row_number() OVER (ORDER BY x) AS i FROM x)) AS gini FROM x")
@@ -56,17 +52,17 @@ def weight_table(spark, d):
 
 @query(FULL + _WEIGHTED + ", c AS (SELECT (SELECT min(degree) FROM (SELECT degree, cume_dist() OVER (ORDER BY degree) AS p FROM deg) WHERE p >= 0.9) AS dc, (SELECT min(weight) FROM (SELECT weight, cume_dist() OVER (ORDER BY weight) AS p FROM w) WHERE p >= 0.99) AS wc) SELECT count(*) AS heavy, count(*) FILTER (x.degree >= dc AND y.degree >= dc) AS hub_hub FROM w JOIN deg x ON x.id = src JOIN deg y ON y.id = dst, c WHERE weight >= wc")
 def heavy_hub_share(spark, d):
-    return audit.heavy_hub_share(trade.weighted(spark, d, "true"))
+    return audit.heavy_hub_share(trade.weighted(spark, d))
 
 
 @query(FULL + _WEIGHTED + ", h AS (SELECT weight, sum(n) OVER (ORDER BY weight DESC) - n AS above, sum(n) OVER () AS t FROM (SELECT weight, count(*) AS n FROM w GROUP BY 1)), p AS (SELECT weight AS c FROM h ORDER BY round(abs(above / t - 0.05), 12), weight LIMIT 1) SELECT src, dst, weight FROM w, p WHERE weight > c")
 def heaviest_share(spark, d):
-    return audit.keep_share(trade.weighted(spark, d, "true"), 0.05)
+    return audit.keep_share(trade.weighted(spark, d), 0.05)
 
 
 @query(FULL + ", g AS (SELECT floor(log2(degree) + 1e-9)::BIGINT AS bin, count(*) AS n FROM deg GROUP BY 1) SELECT bin, pow(2, bin)::BIGINT AS low, n, round(n / pow(2, bin), 8) AS per_unit FROM g")
 def log_degrees(spark, d):
-    return rounded(scalars.log_histogram(degrees(_full(spark, d)), "degree"))
+    return rounded(scalars.log_histogram(degrees(trade.edges(spark, d)), "degree"))
 
 
 @query(FULL + _QUOTIENT + " SELECT CASE WHEN weight >= 301 THEN 301 WHEN weight >= 101 THEN 101 WHEN weight >= 31 THEN 31 WHEN weight >= 11 THEN 11 WHEN weight >= 6 THEN 6 WHEN weight >= 3 THEN 3 WHEN weight >= 2 THEN 2 ELSE 1 END::BIGINT AS band, count(*) AS n, round(avg(weight), 8) AS mean FROM q GROUP BY 1")
@@ -74,16 +70,16 @@ def weight_bands(spark, d):
     return rounded(_quotient(spark, d).groupBy(scalars.band(F.col("witness")).alias("band")).agg(F.count("*").alias("n"), F.avg("witness").alias("mean")))
 
 
-@query(SMALL + LABELS + ", f AS (SELECT id, label, degree / 10 + 1 AS f0, CASE WHEN id % 7 / 7 - 0.5 > 0 THEN id % 7 / 7 - 0.5 + 1 ELSE exp(id % 7 / 7 - 0.5) END AS f1, degree AS v0, id % 3 AS v1 FROM deg JOIN lab USING (id)), kv AS (SELECT label, sum(f0 * v0) AS a, sum(f0 * v1) AS b, sum(f1 * v0) AS c, sum(f1 * v1) AS d, sum(f0) AS n0, sum(f1) AS n1 FROM f GROUP BY 1) SELECT id, 0::BIGINT AS \"at\", round((f0 * a + f1 * c) / greatest(f0 * n0 + f1 * n1, 1e-6), 6) AS value FROM f JOIN kv USING (label) UNION ALL SELECT id, 1, round((f0 * b + f1 * d) / greatest(f0 * n0 + f1 * n1, 1e-6), 6) FROM f JOIN kv USING (label)")
-def supernode_attention(spark, d, where=trade.SMALL):
-    rows = degrees(trade.edges(spark, d, where)).join(trade.nation_labels(spark, d), "id")
+@query(FULL + LABELS + ", f AS (SELECT id, label, degree / 10 + 1 AS f0, CASE WHEN id % 7 / 7 - 0.5 > 0 THEN id % 7 / 7 - 0.5 + 1 ELSE exp(id % 7 / 7 - 0.5) END AS f1, degree AS v0, id % 3 AS v1 FROM deg JOIN lab USING (id)), kv AS (SELECT label, sum(f0 * v0) AS a, sum(f0 * v1) AS b, sum(f1 * v0) AS c, sum(f1 * v1) AS d, sum(f0) AS n0, sum(f1) AS n1 FROM f GROUP BY 1) SELECT id, 0::BIGINT AS \"at\", round((f0 * a + f1 * c) / greatest(f0 * n0 + f1 * n1, 1e-6), 6) AS value FROM f JOIN kv USING (label) UNION ALL SELECT id, 1, round((f0 * b + f1 * d) / greatest(f0 * n0 + f1 * n1, 1e-6), 6) FROM f JOIN kv USING (label)")
+def supernode_attention(spark, d):
+    rows = degrees(trade.edges(spark, d)).join(trade.nation_labels(spark, d), "id")
     x = F.array(F.col("degree") / 10, F.col("id") % 7 / 7 - 0.5)
     return rounded(layers.attention(rows.select("id", "label", x.alias("q"), x.alias("k"), F.array(F.col("degree").cast("double"), (F.col("id") % 3).cast("double")).alias("v"))), 6)
 
 
-@query(SMALL + LABELS + ", rel AS (SELECT least(la, lb) AS a, greatest(la, lb) AS b, CASE WHEN la < lb THEN src ELSE dst END AS f, CASE WHEN la < lb THEN dst ELSE src END AS t FROM el WHERE la <> lb), ax AS (SELECT a, b, greatest(1, round_even(pow(n, 0.05) * pow(1 + (n - 1) / 11, 0.95), 0))::BIGINT AS axons FROM (SELECT a, b, count(*)::DOUBLE AS n FROM rel GROUP BY 1, 2)), dealt AS (SELECT a, b, f, t, (row_number() OVER (PARTITION BY a, b ORDER BY f, t) - 1) % axons AS x FROM rel JOIN ax USING (a, b)), car AS (SELECT a, b, x, avg(degree) AS m FROM (SELECT DISTINCT a, b, x, f FROM dealt) JOIN deg ON deg.id = f GROUP BY 1, 2, 3) SELECT t AS id, round(sum(m), 6) AS value FROM (SELECT DISTINCT a, b, x, t FROM dealt) JOIN car USING (a, b, x) GROUP BY 1")
-def bundle_layer(spark, d, where=trade.SMALL):
-    e, lab = trade.edges(spark, d, where), trade.nation_labels(spark, d)
+@query(FULL + LABELS + ", rel AS (SELECT least(la, lb) AS a, greatest(la, lb) AS b, CASE WHEN la < lb THEN src ELSE dst END AS f, CASE WHEN la < lb THEN dst ELSE src END AS t FROM el WHERE la <> lb), ax AS (SELECT a, b, greatest(1, round_even(pow(n, 0.05) * pow(1 + (n - 1) / 11, 0.95), 0))::BIGINT AS axons FROM (SELECT a, b, count(*)::DOUBLE AS n FROM rel GROUP BY 1, 2)), dealt AS (SELECT a, b, f, t, (row_number() OVER (PARTITION BY a, b ORDER BY f, t) - 1) % axons AS x FROM rel JOIN ax USING (a, b)), car AS (SELECT a, b, x, avg(degree) AS m FROM (SELECT DISTINCT a, b, x, f FROM dealt) JOIN deg ON deg.id = f GROUP BY 1, 2, 3) SELECT t AS id, round(sum(m), 6) AS value FROM (SELECT DISTINCT a, b, x, t FROM dealt) JOIN car USING (a, b, x) GROUP BY 1")
+def bundle_layer(spark, d):
+    e, lab = trade.edges(spark, d), trade.nation_labels(spark, d)
     el = e.join(lab.toDF("src", "la"), "src").join(lab.toDF("dst", "lb"), "dst").where("la <> lb")
     up = F.col("la") < F.col("lb")
     el = el.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"), F.when(up, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("dst"))
@@ -91,16 +87,16 @@ def bundle_layer(spark, d, where=trade.SMALL):
     return rounded(layers.bundle_layer(el.join(axons, ["a", "b"]), degrees(e)), 6)
 
 
-@query(SMALL + LABELS + TRI + ", p AS (SELECT a AS src, b AS dst FROM tri UNION ALL SELECT a, c FROM tri UNION ALL SELECT b, c FROM tri), sc AS (SELECT src, dst, la <> lb AS crossing, (SELECT count(*) FROM p WHERE p.src = el.src AND p.dst = el.dst) AS score FROM el), c AS (SELECT count(*) FILTER (crossing) AS x, count(*) FILTER (NOT crossing) AS i, 40 AS b FROM sc), n AS (SELECT least(i, b - least(x, 10)) AS inner_n, least(x, b - least(i, b - least(x, 10))) AS outer_n FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY crossing ORDER BY score DESC, src, dst) AS k FROM sc) SELECT src, dst, score, crossing FROM r, n WHERE k <= CASE WHEN crossing THEN outer_n ELSE inner_n END")
-def stratified_prune(spark, d, where=trade.SMALL):
-    e, lab = trade.edges(spark, d, where), trade.nation_labels(spark, d)
+@query(FULL + LABELS + TRI + ", p AS (SELECT a AS src, b AS dst FROM tri UNION ALL SELECT a, c FROM tri UNION ALL SELECT b, c FROM tri), sc AS (SELECT src, dst, la <> lb AS crossing, (SELECT count(*) FROM p WHERE p.src = el.src AND p.dst = el.dst) AS score FROM el), c AS (SELECT count(*) FILTER (crossing) AS x, count(*) FILTER (NOT crossing) AS i, 40 AS b FROM sc), n AS (SELECT least(i, b - least(x, 10)) AS inner_n, least(x, b - least(i, b - least(x, 10))) AS outer_n FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY crossing ORDER BY score DESC, src, dst) AS k FROM sc) SELECT src, dst, score, crossing FROM r, n WHERE k <= CASE WHEN crossing THEN outer_n ELSE inner_n END")
+def stratified_prune(spark, d):
+    e, lab = trade.edges(spark, d), trade.nation_labels(spark, d)
     s = triangles.support(e).join(lab.toDF("src", "la"), "src").join(lab.toDF("dst", "lb"), "dst")
     return growth.stratified_prune(_cut(s.select("src", "dst", F.col("support").alias("score"), (F.col("la") != F.col("lb")).alias("crossing"))), 40, 0.25)
 
 
 @query(FULL + ", x AS (SELECT id, degree, row_number() OVER (ORDER BY degree, id) AS r FROM deg WHERE id % 3 = 0), y AS (SELECT degree AS target, row_number() OVER (ORDER BY degree, id) AS r FROM deg WHERE id % 3 = 1) SELECT id, degree, target FROM x JOIN y USING (r)")
 def rank_match(spark, d):
-    g = _cut(degrees(_full(spark, d)))
+    g = _cut(degrees(trade.edges(spark, d)))
     return growth.rank_match(g.where("id % 3 = 0"), g.where("id % 3 = 1"), "id", "degree")
 
 
@@ -250,14 +246,14 @@ def coverage_masks(spark, d):
     return rounded(layers.masks(rows).select("seed", "target", "coverage", layers.coverage_bucket(F.col("coverage")).alias("bucket")))
 
 
-@query(SMALL + TRI + ", p AS (SELECT a AS src, b AS dst FROM tri UNION ALL SELECT a, c FROM tri UNION ALL SELECT b, c FROM tri) SELECT src, dst, round((SELECT count(*) FROM p WHERE p.src = ends.src AND p.dst = ends.dst) + 1e-7 * (du + dv), 8) AS score FROM ends")
-def scored_edges(spark, d, where=trade.SMALL):
-    return rounded(repair.scored(trade.edges(spark, d, where)))
+@query(FULL + TRI + ", p AS (SELECT a AS src, b AS dst FROM tri UNION ALL SELECT a, c FROM tri UNION ALL SELECT b, c FROM tri) SELECT src, dst, round((SELECT count(*) FROM p WHERE p.src = ends.src AND p.dst = ends.dst) + 1e-7 * (du + dv), 8) AS score FROM ends")
+def scored_edges(spark, d):
+    return rounded(repair.scored(trade.edges(spark, d)))
 
 
-@query(SMALL + ", low AS (SELECT id, 3 - degree AS lacks FROM deg WHERE degree < 3), two AS (SELECT x.id, lacks, y.other AS far, count(*) AS shared FROM low JOIN s x ON x.id = low.id JOIN s y ON y.id = x.other WHERE y.other <> x.id GROUP BY 1, 2, 3), legal AS (SELECT id, lacks, far, row_number() OVER (PARTITION BY id ORDER BY shared DESC, far) AS r FROM two WHERE id % 3 <> far % 3 AND NOT EXISTS (SELECT 1 FROM s WHERE s.id = two.id AND s.other = far)) SELECT src, dst FROM e UNION SELECT least(id, far), greatest(id, far) FROM legal WHERE r <= lacks")
-def raised_degrees(spark, d, where=trade.SMALL):
-    return repair.raise_degrees(*_coloured(spark, d, where))
+@query(FULL + ", low AS (SELECT id, 3 - degree AS lacks FROM deg WHERE degree < 3), two AS (SELECT x.id, lacks, y.other AS far, count(*) AS shared FROM low JOIN s x ON x.id = low.id JOIN s y ON y.id = x.other WHERE y.other <> x.id GROUP BY 1, 2, 3), legal AS (SELECT id, lacks, far, row_number() OVER (PARTITION BY id ORDER BY shared DESC, far) AS r FROM two WHERE id % 3 <> far % 3 AND NOT EXISTS (SELECT 1 FROM s WHERE s.id = two.id AND s.other = far)) SELECT src, dst FROM e UNION SELECT least(id, far), greatest(id, far) FROM legal WHERE r <= lacks")
+def raised_degrees(spark, d):
+    return repair.raise_degrees(*_coloured(spark, d))
 
 
 @query()
@@ -291,5 +287,5 @@ def rich_club_regime(spark, d):
 @query()
 def clustering_slope(spark, d):
     """Slope of log clustering on log degree over degree bands, with its interval."""
-    bands = triangles.by_degree_band(_full(spark, d)).where("clustering > 0")
+    bands = triangles.by_degree_band(trade.edges(spark, d)).where("clustering > 0")
     return rounded(inference.slope_interval(_cut(bands.select(F.log(F.col("band") * 30 + 15).alias("x"), F.log("clustering").alias("y"))), "x", "y"), 6)

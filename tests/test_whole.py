@@ -35,8 +35,3 @@ def test_entry_is_whole(spark):
 
 def test_a_query_without_twin_is_whole(spark):
     assert queries.QUERIES["greedy_colours"](spark, DATA).count() == counts()[0]
-
-
-def test_every_sliced_twin_has_a_whole_query():
-    sliced = {n for n, s in queries.ORACLE_SQL.items() if trade.SMALL in s}
-    assert sliced and {f"{n}_whole" for n in sliced} <= set(contract.queries())
