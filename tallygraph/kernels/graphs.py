@@ -38,6 +38,47 @@ def bfs(g: Csr, source: int) -> np.ndarray:
     return d
 
 
+def waves(g: Csr, sources: np.ndarray):
+    """For each distance 1, 2, ...: a word for each vertex whose bit j tells that the
+    j-th of at most 64 sources reaches it first there. All sources walk in one pass over
+    the edges a step."""
+    some = np.flatnonzero(g.degree)
+    seen = np.zeros(g.n, np.uint64)
+    np.bitwise_or.at(seen, sources, np.uint64(1) << np.arange(len(sources), dtype=np.uint64))
+    front = seen.copy()
+    while len(some):
+        got = np.zeros(g.n, np.uint64)
+        got[some] = np.bitwise_or.reduceat(front[g.near], g.first[some])
+        front = got & ~seen
+        if not front.any():
+            return
+        seen |= front
+        yield front
+
+
+def reach_counts(g: Csr, sources: np.ndarray) -> np.ndarray:
+    """Ordered pairs from the sources by distance, 0 at distance 0."""
+    out = [0]
+    for lo in range(0, len(sources), 64):
+        for d, front in enumerate(waves(g, sources[lo : lo + 64]), 1):
+            if d == len(out):
+                out.append(0)
+            out[d] += int(np.bitwise_count(front).sum())
+    return np.array(out, np.int64)
+
+
+def balls(g: Csr, radius: int) -> np.ndarray:
+    """Booleans (n, n): is the column within ``radius`` of the row?"""
+    out = np.eye(g.n, dtype=bool)
+    for lo in range(0, g.n, 64):
+        sources = np.arange(lo, min(g.n, lo + 64))
+        for d, front in enumerate(waves(g, sources), 1):
+            if d > radius:
+                break
+            out[sources] |= (front[None, :] >> np.arange(len(sources), dtype=np.uint64)[:, None] & np.uint64(1)).astype(bool)
+    return out
+
+
 def brandes(g: Csr, sources: np.ndarray) -> np.ndarray:
     """Dependencies of every vertex summed over the sources (unweighted)."""
     total = np.zeros(g.n)
@@ -62,19 +103,22 @@ def brandes(g: Csr, sources: np.ndarray) -> np.ndarray:
     return total
 
 
-def louvain(n: int, src: np.ndarray, dst: np.ndarray, gamma: float = 1.0, seed: int = 0) -> np.ndarray:
-    """Labels 0..k-1 by local moves and aggregation until modularity stops growing."""
+def louvain(n: int, src: np.ndarray, dst: np.ndarray, gamma: float = 1.0, seed: int = 0, potts: bool = False) -> np.ndarray:
+    """Labels 0..k-1 by local moves and aggregation until the objective stops growing:
+    modularity, or with ``potts`` the constant Potts model, in which a label of s
+    vertices pays gamma s^2 / 2 whatever its degrees."""
     rng = np.random.default_rng(seed)
     member = np.arange(n)
     a, b = np.concatenate([src, dst]), np.concatenate([dst, src])
-    w = np.ones(len(a))
+    w, size = np.ones(len(a)), np.ones(n)
     total = w.sum()
     while total:
         order = np.argsort(a, kind="stable")
         a, b, w = a[order], b[order], w[order]
         k = int(max(member.max() + 1, 1))
         first = np.searchsorted(a, np.arange(k + 1))
-        strength = np.bincount(a, w, k)
+        strength = size if potts else np.bincount(a, w, k)
+        scale = gamma if potts else gamma / total
         label, mass = np.arange(k), strength.copy()
         moved_any, moved = False, True
         while moved:
@@ -88,7 +132,7 @@ def louvain(n: int, src: np.ndarray, dst: np.ndarray, gamma: float = 1.0, seed:
                 mass[old] -= strength[v]
                 labels, inverse = np.unique(np.append(label[near[other]], old), return_inverse=True)
                 links = np.bincount(inverse, np.append(weight[other], 0.0))
-                gain = links - gamma * strength[v] * mass[labels] / total
+                gain = links - scale * strength[v] * mass[labels]
                 best = labels[np.argmax(gain)]
                 if gain.max() <= gain[np.searchsorted(labels, old)] + 1e-12:
                     best = old
@@ -98,7 +142,7 @@ def louvain(n: int, src: np.ndarray, dst: np.ndarray, gamma: float = 1.0, seed:
         if not moved_any:
             break
         label = np.unique(label, return_inverse=True)[1]
-        member = label[member]
+        member, size = label[member], np.bincount(label, size)
         key = label[a] * (label.max() + 1) + label[b]
         keys, inverse = np.unique(key, return_inverse=True)
         w = np.bincount(inverse, w)
@@ -147,25 +191,46 @@ def rich_club(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return 2 * inside[on] / (above[on] * (above[on] - 1))
 
 
-def cliques(g: Csr, root: int, rank: np.ndarray) -> dict[int, int]:
-    """Sizes of the maximal cliques whose first vertex in rank order is root."""
-    near = [set(g.of(v).tolist()) for v in range(g.n)] if not hasattr(g, "sets") else g.sets
-    g.sets = near
-    sizes: dict[int, int] = {}
+def weighted_rich_club(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """phi(k) by weight: that among vertices of degree above k over that of as many
+    heaviest edges, while two vertices have more than k."""
+    degree = np.bincount(np.concatenate([src, dst]), minlength=n)
+    low = np.minimum(degree[src], degree[dst])
+    order = np.argsort(-low, kind="stable")
+    inside = np.concatenate([[0.0], np.cumsum(weight[order])])
+    top = np.concatenate([[0.0], np.cumsum(np.sort(weight)[::-1])])
+    k = np.arange(degree.max() + 1 if n else 0)
+    count = np.searchsorted(-low[order], -k, "left")
+    above = n - np.searchsorted(np.sort(degree), k, "right")
+    count = count[above >= 2]
+    return np.where(count > 0, inside[count] / np.maximum(top[count], 1e-300), 0.0)
+
+
+def cliques(g: Csr, root: int, rank: np.ndarray):
+    """The maximal cliques whose first vertex in rank order is root, as lists."""
+    if not hasattr(g, "sets"):
+        g.sets = [set(g.of(v).tolist()) for v in range(g.n)]
+    near = g.sets
     later = {v for v in near[root] if rank[v] > rank[root]}
-    stack = [(1, later, near[root] - later)]
+    stack = [([root], later, near[root] - later)]
     while stack:
-        size, cand, gone = stack.pop()
+        members, cand, gone = stack.pop()
         if not cand:
             if not gone:
-                sizes[size] = sizes.get(size, 0) + 1
+                yield members
             continue
         pivot = max(cand | gone, key=lambda x: len(near[x] & cand))
         for v in list(cand - near[pivot]):
-            stack.append((size + 1, cand & near[v], gone & near[v]))
+            stack.append(([*members, v], cand & near[v], gone & near[v]))
             cand.discard(v)
             gone.add(v)
-    return sizes
+
+
+def by_degree(g: Csr) -> np.ndarray:
+    """Rank of each vertex by degree, then id."""
+    rank = np.empty(g.n, np.int64)
+    rank[np.lexsort((np.arange(g.n), g.degree))] = np.arange(g.n)
+    return rank
 
 
 def matching(left: int, right: int, edges: list[list[int]]) -> int:
@@ -206,10 +271,12 @@ def matching(left: int, right: int, edges: list[list[int]]) -> int:
 
 def boxes(g: Csr, radius: int) -> int:
     """Boxes of the maximal-excluded-mass cover: centres in order of uncovered mass."""
-    ball = np.stack([(d >= 0) & (d <= radius) for d in (bfs(g, v) for v in range(g.n))]) if g.n else np.zeros((0, 0), bool)
+    ball = balls(g, radius)
     open_, count = np.ones(g.n, bool), 0
+    mass = ball.sum(1)
     while open_.any():
-        mass = ball[:, open_].sum(1)
-        open_ &= ~ball[int(np.argmax(mass))]
+        gone = ball[int(np.argmax(mass))] & open_
+        open_ &= ~gone
+        mass -= ball[:, gone].sum(1)
         count += 1
     return count

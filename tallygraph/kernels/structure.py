@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tallygraph.kernels.graphs import Csr, bfs, swaps
+from tallygraph.kernels.graphs import Csr, balls, bfs, swaps
 
 
 class Sets:
@@ -207,6 +207,30 @@ def refine(near: list[list[int]], colour: list) -> list[int]:
         count = len(rank)
 
 
+def maps(near: list[list[int]], adjacent: list[set], a: list, b: list) -> bool:
+    """Whether an automorphism takes colours a to colours b."""
+    a, b = refine(near, a), refine(near, b)
+    if sorted(a) != sorted(b):
+        return False
+    cells: dict[int, list[int]] = {}
+    for v, c in enumerate(a):
+        cells.setdefault(c, []).append(v)
+    wide = next((c for c in sorted(cells) if len(cells[c]) > 1), None)
+    if wide is None:
+        to = {c: v for v, c in enumerate(b)}
+        image = [to[c] for c in a]
+        return all(image[w] in adjacent[image[v]] for v in range(len(near)) for w in near[v])
+    x = pinned(a, cells[wide][0])
+    return any(maps(near, adjacent, x, pinned(b, v)) for v, c in enumerate(b) if c == wide)
+
+
+def pinned(colour: list, v: int) -> list:
+    """The colours with one of v alone."""
+    out = [2 * c for c in colour]
+    out[v] += 1
+    return out
+
+
 def symmetry(g: Csr) -> tuple[int, list[int]]:
     """Order of the automorphism group and each vertex's orbit (its least vertex), for
     small graphs: vertices are fixed one by one, and the order is the product of the
@@ -214,35 +238,8 @@ def symmetry(g: Csr) -> tuple[int, list[int]]:
     near = lists(g)
     adjacent = [set(x) for x in near]
 
-    def same(a: list, b: list) -> bool:
-        a, b = refine(near, a), refine(near, b)
-        if sorted(a) != sorted(b):
-            return False
-        cells: dict[int, list[int]] = {}
-        for v, c in enumerate(a):
-            cells.setdefault(c, []).append(v)
-        wide = next((c for c in sorted(cells) if len(cells[c]) > 1), None)
-        if wide is None:
-            to = {c: v for v, c in enumerate(b)}
-            image = [to[c] for c in a]
-            return all(image[w] in adjacent[image[v]] for v in range(g.n) for w in near[v])
-        x = [2 * c for c in a]
-        x[cells[wide][0]] += 1
-        for v, c in enumerate(b):
-            if c == wide:
-                y = [2 * c for c in b]
-                y[v] += 1
-                if same(x, y):
-                    return True
-        return False
-
-    def pinned(colour: list, v: int) -> list:
-        out = [2 * c for c in colour]
-        out[v] += 1
-        return out
-
     def orbit(colour: list, v: int) -> list[int]:
-        return [w for w in range(g.n) if colour[w] == colour[v] and (w == v or same(pinned(colour, v), pinned(colour, w)))]
+        return [w for w in range(g.n) if colour[w] == colour[v] and (w == v or maps(near, adjacent, pinned(colour, v), pinned(colour, w)))]
 
     colour, order = refine(near, [0] * g.n), 1
     orbits, start = [-1] * g.n, colour
@@ -257,6 +254,29 @@ def symmetry(g: Csr) -> tuple[int, list[int]]:
     return order, orbits
 
 
+def edge_orbits(g: Csr) -> list[tuple[int, int, int]]:
+    """(u, v, orbit) of each edge u < v: the number of the first edge, in order, that an
+    automorphism takes to it."""
+    near = lists(g)
+    adjacent = [set(x) for x in near]
+    start = refine(near, [0] * g.n)
+    edges = [(u, v) for u in range(g.n) for v in near[u] if u < v]
+    two = lambda u, v: pinned(pinned(start, u), v)
+    firsts: list[int] = []
+    out = []
+    for i, (u, v) in enumerate(edges):
+        kind = sorted((start[u], start[v]))
+        for j in firsts:
+            x, y = edges[j]
+            if sorted((start[x], start[y])) == kind and any(maps(near, adjacent, two(x, y), two(p, q)) for p, q in ((u, v), (v, u))):
+                out.append((u, v, j))
+                break
+        else:
+            firsts.append(i)
+            out.append((u, v, i))
+    return out
+
+
 def edge_brandes(g: Csr, sources) -> np.ndarray:
     """Dependencies of each place of ``g.near`` (an edge from one end), summed over sources."""
     total, owner = np.zeros(len(g.near)), np.repeat(np.arange(g.n), g.degree)
@@ -282,16 +302,45 @@ def spanning(n: int, src, dst, weight) -> np.ndarray:
     return np.sort(np.array([i for i in order.tolist() if sets.join(int(src[i]), int(dst[i]))], np.int64))
 
 
-def random_boxes(g: Csr, length: int, seed: int) -> int:
-    """Boxes of a cover by balls of distance below ``length`` around vertices in
-    random order, each taking what is still uncovered."""
-    free, count = np.ones(g.n, bool), 0
+def random_cover(g: Csr, reach: int, seed: int) -> np.ndarray:
+    """Box of each vertex: balls of distance up to ``reach`` around vertices in random
+    order take what is still uncovered; covered vertices still pass a ball on."""
+    box, count = np.full(g.n, -1), 0
     for v in np.random.default_rng(seed).permutation(g.n):
-        if free[v]:
+        if box[v] < 0:
             d = bfs(g, int(v))
-            free &= ~((d >= 0) & (d < length))
+            box[(d >= 0) & (d <= reach) & (box < 0)] = count
             count += 1
-    return count
+    return box
+
+
+def random_boxes(g: Csr, length: int, seed: int) -> int:
+    """Boxes of a random cover by balls of distance below ``length``."""
+    return int(random_cover(g, length - 1, seed).max(initial=-1)) + 1
+
+
+def mass_cover(g: Csr, radius: int, seed: int) -> tuple[list[int], np.ndarray]:
+    """Centres of the maximal-excluded-mass cover, and each vertex's box by its centre:
+    outwards from the centres, a vertex takes the box of a random neighbour that is one
+    step nearer to the centres than itself."""
+    ball, free, centres = balls(g, radius), np.ones(g.n, bool), []
+    mass = ball.sum(1)
+    while free.any():
+        c = int(np.argmax(mass))
+        centres.append(c)
+        gone = ball[c] & free
+        free &= ~gone
+        mass -= ball[:, gone].sum(1)
+    rng, box, d = np.random.default_rng(seed), np.full(g.n, -1), np.full(g.n, -1)
+    box[centres], d[centres], level = centres, 0, np.array(centres, np.int64)
+    while len(level):
+        near = np.unique(g.spread(level)[1])
+        level = near[d[near] < 0]
+        d[level] = d[box >= 0].max(initial=0) + 1
+        for v in level.tolist():
+            from_ = g.of(v)
+            box[v] = box[rng.choice(from_[(d[from_] >= 0) & (d[from_] < d[v])])]
+    return centres, box
 
 
 def local_efficiency(g: Csr, v: int) -> float:
@@ -343,11 +392,12 @@ def connected_swaps(n: int, src, dst, seed: int, attempts: int = 8):
     return best
 
 
-def closure(n: int, src, dst, colour, quota: int, beta: float, seed: int, loose: float = 0.0, rounds: int = 24):
+def closure(n: int, src, dst, colour, quota: int, beta: float, seed: int, loose: float = 0.0, rounds: int = 24, block=None):
     """Random legal wedges: a centre in proportion to degree ^ beta, two of its
-    neighbours; pairs that are joined already or drawn before are dropped, those of one
-    colour but for a share ``loose``. Returns the new edges and, for each round, how
-    many were drawn, legal, stopped by colour alone, and taken."""
+    neighbours; pairs that are joined already or drawn before are dropped, as are those
+    of two blocks, and those of one colour but for a share ``loose``. Returns the new
+    edges and, for each round, how many were drawn, legal, stopped by colour alone, and
+    taken."""
     rng, have, taken, record = np.random.default_rng(seed), set(zip(src.tolist(), dst.tolist())), [], []
     g = Csr(n, src, dst)
     mass = np.where(g.degree > 1, g.degree.astype(float) ** beta, 0.0)
@@ -366,7 +416,7 @@ def closure(n: int, src, dst, colour, quota: int, beta: float, seed: int, loose:
         legal = stopped = before = 0
         before = len(taken)
         for a, b, ok in zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), pass_.tolist()):
-            if (a, b) in have:
+            if (a, b) in have or (block is not None and block[a] != block[b]):
                 continue
             if colour[a] == colour[b] and not ok:
                 stopped += 1

@@ -50,9 +50,9 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def relabel(edges: DataFrame) -> DataFrame:
-    """Ids become 0..n-1 in order of id, by ranks inside ranges of ids and the
-    counts of the ranges before, so no task ranks all of them."""
+def relabel_ids(edges: DataFrame) -> DataFrame:
+    """(id, new_id): ids become 0..n-1 in order of id, by ranks inside ranges of ids and
+    the counts of the ranges before, so no task ranks all of them."""
     from pyspark.sql import Window
 
     ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -60,6 +60,11 @@ def relabel(edges: DataFrame) -> DataFrame:
     counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
-    new = ranged.withColumn("r", rank).join(before, "part").select("id", (F.col("r") + F.col("before")).cast("long").alias("new_id"))
+    return ranged.withColumn("r", rank).join(before, "part").select("id", (F.col("r") + F.col("before")).cast("long").alias("new_id"))
+
+
+def relabel(edges: DataFrame) -> DataFrame:
+    """Edges with ids 0..n-1 in order of id."""
+    new = relabel_ids(edges)
     a, b = new.toDF("src", "new_src"), new.toDF("dst", "new_dst")
     return edges.join(a, "src").join(b, "dst").select(F.col("new_src").alias("src"), F.col("new_dst").alias("dst"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallygraph.functions.scalars import correlation
 from tallygraph.model import both_ways, degrees
 
 
@@ -74,7 +75,7 @@ def assortativity(edges: DataFrame) -> DataFrame:
     """Pearson correlation of end degrees over both orientations."""
     e = _ends(edges)
     both = e.select("du", "dv").unionByName(e.select(F.col("dv").alias("du"), F.col("du").alias("dv")))
-    return both.agg(F.corr(F.col("du").cast("double"), F.col("dv").cast("double")).alias("assortativity"))
+    return both.agg(correlation("du", "dv").alias("assortativity"))
 
 
 def ks(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
@@ -101,7 +102,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         h = df.groupBy(c).agg(F.count("*").alias("n"))
         return h.select(c, (F.sum("n").over(w) - (F.col("n") - 1) / 2).alias(f"r_{c}"))
 
-    return df.join(ranks(x), x).join(ranks(y), y).agg(F.corr(f"r_{x}", f"r_{y}").alias("spearman"))
+    return df.join(ranks(x), x).join(ranks(y), y).agg(correlation(f"r_{x}", f"r_{y}").alias("spearman"))
 
 
 def block_density(edges: DataFrame, labels: DataFrame) -> DataFrame:

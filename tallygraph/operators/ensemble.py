@@ -6,13 +6,15 @@ the join forms in ``paths`` and ``triangles``.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygraph.kernels import graphs
-from tallygraph.model import relabel, ship
+from tallygraph.model import degrees, relabel, ship
 
 MOST_EDGES = 5_000_000
 
@@ -41,53 +43,112 @@ def _run(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInPandas(go, schema)
 
 
-def distance_histogram(edges: DataFrame, step: int = 1) -> DataFrame:
-    """(d, pairs) over ordered pairs from every step-th vertex."""
-    n, s, t = arrays(edges)
-    spark = edges.sparkSession
+_graphs: dict[str, graphs.Csr] = {}
+
+
+class Shared:
+    """A graph of bounded size for kernels: its arrays go to each worker once, by
+    broadcast, and a worker sorts its neighbour lists once, not once a task."""
+
+    def __init__(self, edges: DataFrame):
+        self.n, s, t = arrays(edges)
+        self.m, self.name = len(s), uuid.uuid4().hex
+        self.ends = edges.sparkSession.sparkContext.broadcast((s, t))
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.ends.value
+
+    def graph(self) -> graphs.Csr:
+        if self.name not in _graphs:
+            _graphs.clear()
+            _graphs[self.name] = graphs.Csr(self.n, *self.ends.value)
+        return _graphs[self.name]
+
+
+def _sources(n: int, sample: int | None, seed: int) -> np.ndarray:
+    """All vertices, or a seeded sample of so many."""
+    return np.arange(n) if sample is None or sample >= n else np.sort(np.random.default_rng(seed).choice(n, sample, replace=False))
+
+
+def distance_histogram(edges: DataFrame, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """(d, pairs) over ordered pairs from every vertex, or from a seeded sample of so
+    many sources (then the largest d bounds the diameter from below)."""
+    shared = Shared(edges)
+    some = _sources(shared.n, sample, seed)
 
     def f(i):
-        g = graphs.Csr(n, s, t)
-        total = np.zeros(1, np.int64)
-        for v in range(i * 64 * step, min(n, (i + 1) * 64 * step), step):
-            c = np.bincount(np.maximum(graphs.bfs(g, v), 0))
-            c[0] = 0
-            total = np.pad(total, (0, max(0, len(c) - len(total)))) + np.pad(c, (0, max(0, len(total) - len(c))))
+        total = graphs.reach_counts(shared.graph(), some[i * 64 : i * 64 + 64])
         return {"d": np.arange(len(total)), "pairs": total}
 
-    return _run(_rows(spark, -(-n // (64 * step))), f, "d long, pairs long").where("d > 0").groupBy("d").agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
+    return _run(_rows(edges.sparkSession, -(-len(some) // 64)), f, "d long, pairs long").where("d > 0").groupBy("d").agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
-    """(vertex, betweenness), exact and normalised; vertices by dense id."""
-    n, s, t = arrays(edges)
+def betweenness(edges: DataFrame, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """(vertex, betweenness), normalised; vertices by dense id. Exact, or from a seeded
+    sample of so many sources, scaled up by n over their number."""
+    shared = Shared(edges)
+    n, some = shared.n, _sources(shared.n, sample, seed)
 
     def f(i):
-        g = graphs.Csr(n, s, t)
-        return {"vertex": np.arange(n), "part": graphs.brandes(g, np.arange(i * 64, min(n, i * 64 + 64)))}
+        return {"vertex": np.arange(n), "part": graphs.brandes(shared.graph(), some[i * 64 : i * 64 + 64])}
 
-    scale = 1.0 / max(1, (n - 1) * (n - 2))
-    return _run(_rows(edges.sparkSession, -(-n // 64)), f, "vertex long, part double").groupBy("vertex").agg((F.sum("part") * scale).alias("betweenness"))
+    scale = n / max(1, len(some)) / max(1, (n - 1) * (n - 2))
+    return _run(_rows(edges.sparkSession, -(-len(some) // 64)), f, "vertex long, part double").groupBy("vertex").agg((F.sum("part") * scale).alias("betweenness"))
 
 
 def null_rich_clubs(edges: DataFrame, nulls: int, seed: int = 42) -> DataFrame:
     """(null_id, k, phi) of degree-preserving rewirings, a seed each."""
-    n, s, t = arrays(edges)
+    shared = Shared(edges)
 
     def f(i):
-        phi = graphs.rich_club(n, *graphs.swaps(n, s, t, seed + 5000 + i))
+        phi = graphs.rich_club(shared.n, *graphs.swaps(shared.n, *shared.arrays(), seed + 5000 + i))
         return {"null_id": np.full(len(phi), i), "k": np.arange(len(phi)), "phi": phi}
 
     return _run(_rows(edges.sparkSession, nulls, nulls), f, "null_id long, k long, phi double")
 
 
-def louvain(edges: DataFrame, gammas: list[float], repeats: int, seed: int = 42) -> DataFrame:
-    """(gamma, run, vertex, label): every resolution and seed a task."""
-    n, s, t = arrays(edges)
+def weighted_nulls(edges: DataFrame, nulls: int, seed: int = 42, attempts: int = 8) -> DataFrame:
+    """(null_id, k, phi): weighted curves of rewirings (the first connected of some, a seed
+    each) whose edges get the weights (src, dst, weight) in seeded order. phi is the
+    weight among vertices of degree above k over that of as many heaviest edges."""
+    from tallygraph.kernels import structure
+
+    shared = Shared(edges.select("src", "dst"))
+    w = edges.agg(F.sort_array(F.collect_list(F.col("weight").cast("double")))).first()[0]  # as many as Shared has checked
+    weights = edges.sparkSession.sparkContext.broadcast(np.array(w or [], float))
+
+    def f(i):
+        a, b = structure.connected_swaps(shared.n, *shared.arrays(), seed + 1000 + i, attempts)
+        dealt = np.random.default_rng(seed + 2000 + i).permutation(weights.value)
+        phi = graphs.weighted_rich_club(shared.n, a, b, dealt)
+        return {"null_id": np.full(len(phi), i), "k": np.arange(len(phi)), "phi": phi}
+
+    return _run(_rows(edges.sparkSession, nulls, nulls), f, "null_id long, k long, phi double")
+
+
+def connected_nulls(edges: DataFrame, nulls: int, seed: int = 42, attempts: int = 8) -> DataFrame:
+    """(null_id, src, dst): for each seed the first connected one of some rewirings, else
+    the one of the largest component; dense ids."""
+    from tallygraph.kernels import structure
+
+    shared = Shared(edges)
+
+    def f(i):
+        a, b = structure.connected_swaps(shared.n, *shared.arrays(), seed + 1000 + i, attempts)
+        return {"null_id": np.full(len(a), i), "src": a, "dst": b}
+
+    return _run(_rows(edges.sparkSession, nulls, nulls), f, "null_id long, src long, dst long")
+
+
+def louvain(edges: DataFrame, gammas: list[float], repeats: int, seed: int = 42, potts: bool = False) -> DataFrame:
+    """(gamma, run, vertex, label): every resolution and seed a task; by modularity or
+    the constant Potts model."""
+    shared = Shared(edges)
+    n = shared.n
 
     def f(i):
         g, r = gammas[i // repeats], i % repeats
-        return {"gamma": np.full(n, g), "run": np.full(n, r), "vertex": np.arange(n), "label": graphs.louvain(n, s, t, g, seed + r)}
+        return {"gamma": np.full(n, g), "run": np.full(n, r), "vertex": np.arange(n), "label": graphs.louvain(n, *shared.arrays(), g, seed + r, potts)}
 
     k = len(gammas) * repeats
     return _run(_rows(edges.sparkSession, k, k), f, "gamma double, run long, vertex long, label long")
@@ -95,19 +156,32 @@ def louvain(edges: DataFrame, gammas: list[float], repeats: int, seed: int = 42)
 
 def clique_census(edges: DataFrame) -> DataFrame:
     """(size, cliques): maximal cliques, each found from its first vertex by degree."""
-    n, s, t = arrays(edges)
+    return clique_members(edges, False).groupBy("size").agg(F.sum("cliques").alias("cliques"))
+
+
+def clique_members(edges: DataFrame, members: bool = True) -> DataFrame:
+    """(size, vertex, cliques): how many maximal cliques of a size hold a vertex, as
+    partial counts a task; without ``members`` (size, cliques)."""
+    shared = Shared(edges)
 
     def f(i):
-        g = graphs.Csr(n, s, t)
-        rank = np.empty(n, np.int64)
-        rank[np.lexsort((np.arange(n), g.degree))] = np.arange(n)
-        total: dict[int, int] = {}
-        for v in range(i * 256, min(n, i * 256 + 256)):
-            for size, c in graphs.cliques(g, v, rank).items():
-                total[size] = total.get(size, 0) + c
-        return {"size": list(total), "cliques": list(total.values())}
+        g, total = shared.graph(), {}
+        if not hasattr(g, "rank"):
+            g.rank = graphs.by_degree(g)
+        for v in range(i * 256, min(g.n, i * 256 + 256)):
+            for c in graphs.cliques(g, v, g.rank):
+                for key in [(len(c), x) for x in c] if members else [(len(c),)]:
+                    total[key] = total.get(key, 0) + 1
+        columns = list(zip(*total)) if total else [[], []][: 1 + members]
+        return dict(zip(("size", "vertex"), columns)) | {"cliques": list(total.values())}
+
+    return _run(_rows(edges.sparkSession, -(-shared.n // 256)), f, "size long, vertex long, cliques long" if members else "size long, cliques long")
 
-    return _run(_rows(edges.sparkSession, -(-n // 256)), f, "size long, cliques long").groupBy("size").agg(F.sum("cliques").alias("cliques"))
+
+def participation(edges: DataFrame) -> DataFrame:
+    """(vertex, degree, cliques): maximal cliques of two or more vertices at each vertex."""
+    d = degrees(relabel(edges)).withColumnRenamed("id", "vertex")
+    return d.join(clique_members(edges).groupBy("vertex").agg(F.sum("cliques").alias("cliques")), "vertex")
 
 
 def spectrum(edges: DataFrame, most: int = 4_000) -> DataFrame:
@@ -154,5 +228,5 @@ def fractional_cover(edges: DataFrame) -> DataFrame:
 
 def box_counts(edges: DataFrame, radii: list[int]) -> DataFrame:
     """(radius, boxes) of the maximal-excluded-mass cover."""
-    n, s, t = arrays(edges)
-    return _run(_rows(edges.sparkSession, len(radii), len(radii)), lambda i: {"radius": [radii[i]], "boxes": [graphs.boxes(graphs.Csr(n, s, t), radii[i])]}, "radius long, boxes long")
+    shared = Shared(edges)
+    return _run(_rows(edges.sparkSession, len(radii), len(radii)), lambda i: {"radius": [radii[i]], "boxes": [graphs.boxes(shared.graph(), radii[i])]}, "radius long, boxes long")

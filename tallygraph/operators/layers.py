@@ -100,3 +100,61 @@ def fingerprint_match(prints: DataFrame, rows: DataFrame, most: int = 4_096) ->
     ship(rows.sparkSession)
     best = rows.select("vec_id", "vec").mapInPandas(go, "print_id long, vec_id long, distance double")
     return best.groupBy("print_id").agg(F.min(F.struct("distance", "vec_id")).alias("m")).select("print_id", "m.vec_id", "m.distance")
+
+
+def _ssim(a: np.ndarray, b: np.ndarray, size: int = 7) -> float:
+    """Mean structural similarity over all windows of size x size, sample covariances,
+    values from 0 to 1."""
+    x, y = (np.lib.stride_tricks.sliding_window_view(v, (size, size)).reshape(-1, size * size) for v in (a, b))
+    n = size * size
+    mx, my = x.mean(1), y.mean(1)
+    vx, vy = x.var(1) * n / (n - 1), y.var(1) * n / (n - 1)
+    cov = ((x - mx[:, None]) * (y - my[:, None])).sum(1) / (n - 1)
+    c1, c2 = 0.01**2, 0.03**2
+    return float((((2 * mx * my + c1) * (2 * cov + c2)) / ((mx**2 + my**2 + c1) * (vx + vy + c2))).mean())
+
+
+def structural_similarity(pairs: DataFrame, side: int, size: int = 7) -> DataFrame:
+    """(id, ssim) of square images (id, a, b): arrays of side * side values from 0 to 1, row
+    by row; null where an array is null or of another length."""
+
+    def go(batches):
+        for batch in batches:
+            out = []
+            for a, b in zip(batch.a, batch.b):
+                fits = a is not None and b is not None and len(a) == len(b) == side * side
+                out.append(_ssim(np.asarray(a, float).reshape(side, side), np.asarray(b, float).reshape(side, side), size) if fits else None)
+            yield pd.DataFrame({"id": batch.id, "ssim": pd.Series(out, dtype="float64")})
+
+    ship(pairs.sparkSession)
+    return pairs.select("id", "a", "b").mapInPandas(go, "id long, ssim double")
+
+
+def recurrent(edges: DataFrame, base: DataFrame, rounds: int, snapshots: tuple = ()) -> DataFrame:
+    """(round, id, value): three layers of vertices that pass messages in turn. ``edges`` is
+    (src, dst, layer) with layers '12', '13' and '23', the end of the lower class first;
+    ``base`` (id, value) holds the first class. A round makes a2 from the a1 and a3 before
+    it, then a1 = base + what a3 sends, then a3 from that a2 and a1; a message is the mean
+    over the senders and 0 without any. Rows of all three layers at the last round, and
+    of the third at the snapshots; a round is written out."""
+    from tallygraph.operators.paths import _cut
+
+    e = _cut(edges.select("src", "dst", "layer"))
+    up = lambda k: e.where(F.col("layer") == k).select(F.col("src").alias("from"), F.col("dst").alias("to"))
+    down = lambda k: e.where(F.col("layer") == k).select(F.col("dst").alias("from"), F.col("src").alias("to"))
+    send = lambda pairs, x: pairs.join(x.toDF("from", "v"), "from").groupBy(F.col("to").alias("id")).agg(F.avg("v").alias("value"))
+    add = lambda *parts: parts[0].unionByName(parts[1]).groupBy("id").agg(F.sum("value").alias("value"))
+    base = _cut(base.select("id", F.col("value").cast("double").alias("value")))
+    a1, a3, kept = base, base.limit(0), []
+    for step in range(1, rounds + 1):
+        a2 = _cut(add(send(up("12"), a1), send(down("23"), a3)))
+        a1 = _cut(add(base, send(down("13"), a3)))
+        a3 = _cut(add(send(up("23"), a2), send(up("13"), a1)))
+        if step == rounds:
+            kept += [x.withColumn("round", F.lit(step)) for x in (a1, a2, a3)]
+        elif step in snapshots:
+            kept.append(a3.withColumn("round", F.lit(step)))
+    out = kept[0]
+    for x in kept[1:]:
+        out = out.unionByName(x)
+    return out.select("round", "id", "value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -11,16 +12,33 @@ from pyspark.sql import functions as F
 from tallygraph.model import both_ways
 
 _own: list[tempfile.TemporaryDirectory] = []
+_written: list[tuple] = []
 
 
 def scratch(spark) -> str:
-    """A new folder in spark.checkpoint.dir (in a folder of our own where unset)."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder in spark.checkpoint.dir; where that is unset, local mode makes its
+    own, and a cluster, whose machines share none, raises. Removed when Python exits."""
+    conf = spark.sparkContext.getConf()
+    where, master = conf.get("spark.checkpoint.dir", None), conf.get("spark.master", "local")
     if not where:
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.TemporaryDirectory(prefix="rounds-"))
         where = f"file://{_own[0].name}"
-    return f"{where.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{where.rstrip('/')}/{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+@atexit.register
+def _remove() -> None:
+    for spark, path in _written:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended; its folder goes with it
+            return
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -47,13 +65,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = total
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 1_000) -> DataFrame:
-    """(source, id, d) of all reachable pairs from the given sources: a frontier a
-    round, joined with neighbours and kept where new."""
+def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, id, d) of all reachable pairs from the given sources, or of those within
+    ``most``: a frontier a round, joined with neighbours and kept where new."""
     near = _cut(both_ways(edges))
     seen = _cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("d")))
     frontier, d = seen, 0
-    while d < most:
+    while most is None or d < most:
         d += 1
         step = frontier.join(near, "id").select("source", F.col("other").alias("id")).distinct()
         frontier = _cut(step.join(seen, ["source", "id"], "left_anti").withColumn("d", F.lit(d)))

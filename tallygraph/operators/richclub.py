@@ -12,15 +12,17 @@ def phi(edges: DataFrame) -> DataFrame:
     """(k, n_above, e_above, phi) for k = 0, 1, ... while two vertices have more than k.
 
     Counts above k are suffix sums over the histogram of degrees (and of the lesser
-    end degree), filled with zeros at every k."""
+    end degree)."""
     d = degrees(edges)
     e = edges.join(d.toDF("src", "du"), "src").join(d.toDF("dst", "dv"), "dst")
     hist = d.select("degree", F.lit(1).cast("long").alias("v"), F.lit(0).cast("long").alias("e")).unionByName(e.select(F.least("du", "dv").alias("degree"), F.lit(0).cast("long").alias("v"), F.lit(1).cast("long").alias("e")))
     hist = hist.groupBy("degree").agg(F.sum("v").alias("v"), F.sum("e").alias("e"))
-    grid = d.agg(F.max("degree").alias("top")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("degree"))
-    w = Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)
-    s = grid.join(hist, "degree", "left").select(F.col("degree").alias("k"), F.coalesce(F.sum("v").over(w), F.lit(0)).alias("n_above"), F.coalesce(F.sum("e").over(w), F.lit(0)).alias("e_above"))
-    return s.where("n_above >= 2").select("k", "n_above", "e_above", (2 * F.col("e_above") / (F.col("n_above") * (F.col("n_above") - 1))).alias("phi"))
+    # Windows run over the degrees that occur; each stands for the k from the one before it on.
+    down = Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    low = F.coalesce(F.lag("degree").over(Window.orderBy("degree")), F.lit(0).cast("long"))
+    s = hist.select(low.alias("low"), F.col("degree").cast("long").alias("degree"), F.sum("v").over(down).alias("n_above"), F.sum("e").over(down).alias("e_above")).where("n_above >= 2")
+    s = s.select(F.explode(F.sequence("low", F.col("degree") - 1)).alias("k"), "n_above", "e_above")
+    return s.select("k", "n_above", "e_above", (2 * F.col("e_above") / (F.col("n_above") * (F.col("n_above") - 1))).alias("phi"))
 
 
 def benjamini_hochberg(tests: DataFrame, key: str, p: str) -> DataFrame:

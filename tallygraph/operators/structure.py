@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallygraph.kernels import generate, graphs
 from tallygraph.kernels import structure as kernel
 from tallygraph.model import both_ways, degrees, relabel
-from tallygraph.operators.ensemble import _rows, _run, arrays
+from tallygraph.operators.ensemble import MOST_EDGES, Shared, _rows, _run, arrays
 from tallygraph.operators.paths import _cut
 
 
@@ -103,6 +103,20 @@ def symmetry(edges: DataFrame, vertices: int = 200) -> DataFrame:
     return _run(_rows(edges.sparkSession, 1, 1), f, "vertex long, orbit long, log_order double")
 
 
+def edge_symmetry(edges: DataFrame, vertices: int = 60) -> DataFrame:
+    """(src, dst, orbit): edge orbits of the automorphism group of a small graph, each by
+    the number of its first edge; dense ids."""
+    n, s, t = arrays(edges)
+    if n > vertices:
+        raise ValueError(f"{n} vertices; edge symmetry takes {vertices}")
+
+    def f(_):
+        e = np.array(kernel.edge_orbits(graphs.Csr(n, s, t)), np.int64).reshape(-1, 3)
+        return {"src": e[:, 0], "dst": e[:, 1], "orbit": e[:, 2]}
+
+    return _run(_rows(edges.sparkSession, 1, 1), f, "src long, dst long, orbit long")
+
+
 def group_entropy(groups: DataFrame, key: str) -> DataFrame:
     """Bits of entropy of the group sizes, and how many groups."""
     c = groups.groupBy(key).agg(F.count("*").cast("double").alias("n"))
@@ -129,10 +143,11 @@ def refined(edges: DataFrame) -> DataFrame:
 def edge_betweenness(edges: DataFrame) -> DataFrame:
     """(src, dst, betweenness): shortest paths over each edge, as a share of vertex
     pairs; dense ids."""
-    n, s, t = arrays(edges)
+    shared = Shared(edges)
+    n = shared.n
 
     def f(i):
-        g = graphs.Csr(n, s, t)
+        g = shared.graph()
         owner = np.repeat(np.arange(n), g.degree)
         part = kernel.edge_brandes(g, range(i * 64, min(n, i * 64 + 64)))
         on = part > 0
@@ -157,11 +172,11 @@ def skeleton(edges: DataFrame) -> DataFrame:
 
 def random_box_counts(edges: DataFrame, lengths: list[int], trials: int, seed: int = 42) -> DataFrame:
     """(length, boxes): the fewest boxes over trials of random covers, a trial a task."""
-    n, s, t = arrays(edges)
+    shared = Shared(edges)
 
     def f(i):
         length = lengths[i // trials]
-        return {"length": [length], "boxes": [kernel.random_boxes(graphs.Csr(n, s, t), length, seed + i % trials)]}
+        return {"length": [length], "boxes": [kernel.random_boxes(shared.graph(), length, seed + i % trials)]}
 
     k = len(lengths) * trials
     return _run(_rows(edges.sparkSession, k, k), f, "length long, boxes long").groupBy("length").agg(F.min("boxes").alias("boxes"))
@@ -180,10 +195,11 @@ def scaling_fit(counts: DataFrame, x: str, y: str, least: int = 3) -> DataFrame:
 
 def local_efficiency(edges: DataFrame) -> DataFrame:
     """(vertex, efficiency) inside each vertex's neighbourhood; dense ids."""
-    n, s, t = arrays(edges)
+    shared = Shared(edges)
+    n = shared.n
 
     def f(i):
-        g = graphs.Csr(n, s, t)
+        g = shared.graph()
         vs = np.arange(i * 256, min(n, i * 256 + 256))
         return {"vertex": vs, "efficiency": [kernel.local_efficiency(g, int(v)) for v in vs]}
 
@@ -229,6 +245,9 @@ def fiedler_cut(edges: DataFrame, most: int = 4_000) -> DataFrame:
 def layered_nulls(edges: DataFrame, colours: DataFrame, nulls: int, seed: int = 42) -> DataFrame:
     """(null_id, src, dst) of rewirings that keep every vertex's degree towards every
     colour; ids as given. A seed a task."""
+    m = edges.count()
+    if m > MOST_EDGES:
+        raise ValueError(f"{m} edges; kernels take {MOST_EDGES}")
     e = edges.join(colours.toDF("src", "cs"), "src").join(colours.toDF("dst", "cd"), "dst").orderBy("src", "dst").toArrow()
     s, t = e.column("src").to_numpy(), e.column("dst").to_numpy()
     ids, dense = np.unique(np.r_[s, t], return_inverse=True)
@@ -316,7 +335,9 @@ def merged_labels(edges: DataFrame, labels: DataFrame, target: int, rule: str =
     sizes = labels.groupBy("label").agg(F.count("*").alias("n")).limit(most + 1).toArrow()
     if sizes.num_rows > most:
         raise ValueError(f"more than {most} labels")
-    w = quotient(edges, labels).toArrow()
+    w = quotient(edges, labels).limit(MOST_EDGES + 1).toArrow()
+    if w.num_rows > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} label pairs")
     size = dict(zip(sizes.column("label").to_pylist(), sizes.column("n").to_pylist()))
     weight = dict(zip(zip(w.column("a").to_pylist(), w.column("b").to_pylist()), w.column("witness").to_pylist()))
     into = (kernel.merge_small if rule == "small" else kernel.merge_dense)(size, weight, target)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygraph.model import degrees
+from tallygraph.operators.paths import _cut
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -24,7 +25,9 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def per_vertex(edges: DataFrame) -> DataFrame:
-    """(id, degree, triangles, clustering) of every vertex with an edge."""
+    """(id, degree, triangles, clustering) of every vertex with an edge. The edges are
+    written once: they are read for degrees, both sides of the wedges and the closing join."""
+    edges = _cut(edges)
     t = triangles(edges).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("t"))
     n = F.coalesce("t", F.lit(0))
     c = F.when(F.col("degree") > 1, 2 * n / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0)
@@ -39,6 +42,7 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 def support(edges: DataFrame) -> DataFrame:
     """(src, dst, support): triangles over each edge."""
+    edges = _cut(edges)
     t = triangles(edges)
     side = lambda p, q: F.struct(F.least(p, q).alias("src"), F.greatest(p, q).alias("dst"))
     n = t.select(F.explode(F.array(side("a", "b"), side("a", "c"), side("b", "c"))).alias("e")).groupBy("e.src", "e.dst").agg(F.count("*").alias("n"))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygraph.model import canonical
+from tallygraph.model import GraphTables, canonical
 
 
 def edge_list(spark: SparkSession, path: str) -> DataFrame:
@@ -88,7 +88,60 @@ def archive(spark: SparkSession, path: str) -> DataFrame:
     return canonical(spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "src long, dst long"))
 
 
+def layered(spark: SparkSession, path: str) -> GraphTables:
+    """Vertices (id, colour) and edges (src, dst, layer) of .npz archives: ids run over
+    n_total, or n1 + n2 + n3, or the largest id, isolates too; colours follow the class
+    sizes, thirds without any; a layer names an edge's two classes, the lower first."""
+
+    def read(batches):
+        for batch in batches:
+            for content in batch.content:
+                z = np.load(io.BytesIO(content))
+                given = all(f"n{i}" in z for i in (1, 2, 3))
+                n = [int(z[f"n{i}"]) for i in (1, 2, 3)] if given else None
+                total = int(z["n_total"]) if "n_total" in z else sum(n) if n else int(z["edges"].max(initial=-1)) + 1
+                n = n or [total // 3, total // 3, total - 2 * (total // 3)]
+                yield pd.DataFrame({"id": np.arange(total), "colour": np.searchsorted(np.cumsum(n)[:2], np.arange(total), "right")})
+
+    vertices = spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "id long, colour long")
+    c = vertices.select("id", (F.col("colour") + 1).cast("string").alias("c"))
+    e = archive(spark, path).join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst")
+    return GraphTables(vertices, e.select("src", "dst", F.concat(F.least("a", "b"), F.greatest("a", "b")).alias("layer")))
+
+
+def gml_tables(spark: SparkSession, path: str) -> GraphTables:
+    """Vertices (id, label; isolates too) and edges of a GML file, opposite and repeated
+    edges collapsed, loops dropped."""
+    text = spark.read.text(path, wholetext=True)
+    node = F.explode(F.regexp_extract_all("value", F.lit(r"node\s*\[([^\]]*)\]"), 1)).alias("node")
+    label = F.regexp_extract("node", r'label\s+"([^"]*)"', 1)
+    rows = text.select(node).select(F.regexp_extract("node", r"\bid\s+(\d+)", 1).cast("long").alias("id"), F.when(label != "", label).alias("label"))
+    return GraphTables(rows, gml(spark, path))
+
+
+def with_policy(graph: GraphTables, isolates: bool = True, component: bool = False) -> GraphTables:
+    """The graph with or without its isolates, or its largest component alone."""
+    from tallygraph.operators.cover import largest_component
+
+    edges = largest_component(graph.edges.select("src", "dst")) if component else graph.edges
+    if isolates and not component:
+        return GraphTables(graph.vertices, edges)
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return GraphTables(graph.vertices.join(ids, "id", "left_semi"), edges)
+
+
+#: Edges that a single archive may hold.
+MOST_EDGES = 50_000_000
+
+
 def write_archive(edges: DataFrame, n_total: int, path: str) -> None:
-    """One .npz on the driver, for graphs that fit there."""
-    e = edges.orderBy("src", "dst").toPandas()
-    np.savez_compressed(path, edges=e[["src", "dst"]].to_numpy(np.int64), n_total=n_total)
+    """One .npz, for graphs that fit on the driver."""
+    from tallygraph.sources.reports import put
+
+    e = edges.select("src", "dst").limit(MOST_EDGES + 1).toArrow()
+    if e.num_rows > MOST_EDGES:
+        raise ValueError(f"an archive holds at most {MOST_EDGES} edges")
+    pair = np.stack([e.column("src").to_numpy(), e.column("dst").to_numpy()], 1).astype(np.int64)
+    buffer = io.BytesIO()
+    np.savez_compressed(buffer, edges=pair[np.lexsort((pair[:, 1], pair[:, 0]))], n_total=n_total)
+    put(edges.sparkSession, path, buffer.getvalue())
