@@ -1,6 +1,7 @@
 """Each operator against brute force on a small fixture with every odd case."""
 
 import hashlib
+import os
 import re
 import zlib
 
@@ -148,6 +149,56 @@ def test_quality(spark, docs):
     assert all(abs(r.score - 0.5) < 1e-6 for r in quality.score(docs, none).collect())
 
 
+def test_descent_against_another_solver():
+    """The same dual problem by projected gradients."""
+    rng = np.random.default_rng(4)
+    dim, n = 40, 70
+    rows = [np.sort(rng.choice(dim, int(rng.integers(3, 12)), replace=False)) for _ in range(n)]
+    ratios, y, cost = rng.normal(size=dim), np.where(rng.random(n) < 0.4, 1.0, -1.0), rng.uniform(0.5, 2, n)
+    x = np.zeros((n, dim + 1))
+    for i, r in enumerate(rows):
+        x[i, r] = ratios[r] / quality._length(ratios[r])
+    x[:, dim] = 1
+    q = (y[:, None] * x) @ (y[:, None] * x).T
+    alpha, step = np.zeros(n), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(40_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, cost)
+    want = x.T @ (alpha * y)
+    w, b = quality.descend(rows, ratios, y, dim, cost, 2_000)
+    value = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    assert value(np.append(w, b)) == pytest.approx(value(want), rel=1e-3)
+
+
+def test_ratios_and_margins_by_hand():
+    """Log-count ratios and a margin recomputed from the texts' distinct slots."""
+    rows = [np.array([1, 2]), np.array([2, 3]), np.array([3, 4]), np.array([1, 4])] * 5
+    y = np.array([1, 1, 0, 0] * 5)
+    m = quality.train(rows, y)
+    fold = np.arange(20) % 5 == 4
+    p, q = (np.ones(quality.DIM) * quality.SMOOTH for _ in range(2))
+    for r, k, f in zip(rows, y, fold):
+        if not f:
+            (p if k else q)[r] += 1
+    assert np.allclose(m.ratios, np.log(p / p.sum()) - np.log(q / q.sum()))
+
+
+def test_held_out_rows(spark):
+    from tallygraph.llm.queries import held_out
+
+    rows = [(i,) for i in range(50)] + [(None,)]
+    got = {r.doc_id: r.h for r in spark.createDataFrame(rows, "doc_id long").select("doc_id", held_out().alias("h")).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(50)} | {None: False}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the given tables are not here")
+def test_held_out_accuracy_on_the_given_tables(spark):
+    from tallygraph.llm import queries
+
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality")
+    rows = queries.op2_quality(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out and quality in (0, 1)").collect()
+    assert len(rows) > 200 and np.mean([r.predicted == r.quality for r in rows]) > 0.93
+
+
 def test_media_round_trip(docs):
     got = {r.doc_id: r for r in media.digests(docs).collect()}
     for i, t in enumerate(TEXTS):
