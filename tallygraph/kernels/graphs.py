@@ -152,32 +152,33 @@ def louvain(n: int, src: np.ndarray, dst: np.ndarray, gamma: float = 1.0, seed:
 
 def swaps(n: int, src: np.ndarray, dst: np.ndarray, seed: int, times: int = 10, tries: int = 25, turns: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Degree-preserving rewiring: pairs of edges exchange ends, ``times`` successes
-    an edge, in at most ``tries`` attempts an edge; simple graphs stay simple. Without
-    ``turns`` an edge's first end stays a first end."""
+    an edge, in at most ``tries`` attempts an edge; simple graphs stay simple. A round
+    pairs all edges at random; a pair stays as it is if it would make a loop, an edge
+    there was before the round, or one that another pair makes too. Without ``turns`` an
+    edge's first end stays a first end."""
     rng = np.random.default_rng(seed)
-    u, v, m = src.copy().tolist(), dst.copy().tolist(), len(src)
-    have = {(a, b) if a < b else (b, a) for a, b in zip(u, v)}
-    done = 0
-    for block in range(tries):
-        if done >= times * m or m < 2:
+    u, v, m = src.astype(np.int64).copy(), dst.astype(np.int64).copy(), len(src)
+    half, done, width = m // 2, 0, np.int64(max(n, 1))
+    code = lambda p, q: np.minimum(p, q) * width + np.maximum(p, q)
+    keys = code(u, v)
+    for _ in range(2 * tries if half else 0):
+        if done >= times * m:
             break
-        i, j, turn = rng.integers(0, m, m).tolist(), rng.integers(0, m, m).tolist(), rng.integers(0, 2, m).tolist()
-        for x, y, t in zip(i, j, turn):
-            a, b = u[x], v[x]
-            c, d = (v[y], u[y]) if t and turns else (u[y], v[y])
-            if x == y or a == d or c == b:
-                continue
-            p, q = (a, d) if a < d else (d, a), (c, b) if c < b else (b, c)
-            if p == q or p in have or q in have:
-                continue
-            have -= {(a, b) if a < b else (b, a), (c, d) if c < d else (d, c)}
-            have |= {p, q}
-            u[x], v[x], u[y], v[y] = a, d, c, b
-            done += 1
-            if done >= times * m:
-                break
-    a, b = np.array(u), np.array(v)
-    return np.minimum(a, b), np.maximum(a, b)
+        order = rng.permutation(m)
+        x, y = order[:half], order[half : 2 * half]
+        turn = rng.integers(0, 2, half).astype(bool) & turns
+        a, b, c, d = u[x], v[x], np.where(turn, v[y], u[y]), np.where(turn, u[y], v[y])
+        p, q = code(a, d), code(c, b)
+        held = np.sort(keys)
+        new = lambda k: held[np.minimum(np.searchsorted(held, k), m - 1)] != k
+        ok = np.flatnonzero((a != d) & (c != b) & (p != q) & new(p) & new(q))
+        _, at, count = np.unique(np.concatenate([p[ok], q[ok]]), return_inverse=True, return_counts=True)
+        alone = count[at] == 1
+        ok = ok[alone[: len(ok)] & alone[len(ok) :]][: times * m - done]
+        u[x[ok]], v[x[ok]], u[y[ok]], v[y[ok]] = a[ok], d[ok], c[ok], b[ok]
+        keys[x[ok]], keys[y[ok]] = p[ok], q[ok]
+        done += len(ok)
+    return np.minimum(u, v), np.maximum(u, v)
 
 
 def rich_club(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
