@@ -10,8 +10,8 @@ each pair's similarity; pairs that may reach the threshold are verified on the
 full sets of the texts.
 
 Groups of any size stay cheap: documents with one set are one class, and inside a
-band's bucket classes are first compared with two hubs only (the smallest and the
-largest id).  Classes of buckets that still hold several components are then
+band's bucket classes are first compared with two hubs only (the one that meets most
+classes over all bands, and the one of the smallest id).  Classes of buckets that still hold several components are then
 joined on the rare shingles that sets so similar must share (a prefix filter),
 across components only: every pair that could still join two components is tried.
 
@@ -240,12 +240,17 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp")
 
 
+def row_of(key: str, text: str) -> Column:
+    """The number by which a row is known: its id and text, so rows of one id may differ in text."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(text))
+
+
 def near_duplicates(df: DataFrame, n: int = 2, hundredths: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id linked with it, over any
-    number of links of similarity >= hundredths / 100) and kept (is it that one?)."""
+    number of links of similarity >= hundredths / 100), kept (is it that one?), row (see
+    ``row_of``) and component (a number of its own for each, even if ids repeat)."""
     threshold = hundredths / 100
-    # A row is known by its id and text, so rows of one id may differ in text.
-    row = F.xxhash64(F.col(key).cast("long"), text)
+    row = row_of(key, text)
     sigs = common.cut(signatures(df, n, key, text, row), "sigs")
     # One class for each set; its number is the least of its rows'.
     reps = sigs.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("row").alias("rep"), F.min("doc_id").alias("low_id"), F.first("regs").alias("regs"))
@@ -254,11 +259,14 @@ def near_duplicates(df: DataFrame, n: int = 2, hundredths: int = 80, key: str =
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(bands)])
     banded = reps.select("rep", "low_id", F.explode(keys).alias("bucket"))
-    # Hubs by id, not by hash: the first of a family is mostly what the others were made from.
-    by_id = F.struct("low_id", "rep")
-    hubs = banded.groupBy("bucket").agg(F.min(by_id)["rep"].alias("low"), F.max(by_id)["rep"].alias("high")).where("low <> high")
-    crowd = common.cut(banded.join(hubs, "bucket").select("rep", "bucket", "low", "high"), "crowd")
-    pairs = crowd.select(F.col("rep").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    crowd = common.cut(banded.join(sizes, "bucket"), "crowd")
+    # A bucket's hubs: the class that meets most others over all bands, which is mostly what
+    # the others were made from, and the one of the smallest id.
+    central = crowd.join(crowd.groupBy("rep").agg(F.sum("size").alias("meets")), "rep")
+    hubs = central.groupBy("bucket").agg(F.max_by("rep", F.struct("meets", -F.col("low_id"), "rep")).alias("high"), F.min(F.struct("low_id", "rep"))["rep"].alias("low"))
+    crowd = crowd.select("rep", "bucket")
+    pairs = crowd.join(common.cut(hubs, "hubs"), "bucket").select(F.col("rep").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
     info = reps.select("rep", "regs", "n_shingles")
 
     def candidates(pairs: DataFrame, margin: float) -> DataFrame:
@@ -295,7 +303,7 @@ def near_duplicates(df: DataFrame, n: int = 2, hundredths: int = 80, key: str =
     classes = reps.drop("regs").join(comps, reps["rep"] == comps["node"], "left").withColumn("comp", F.coalesce("comp", "rep"))
     classes = common.cut(classes.join(joined, "comp", "left").select("set_a", "set_b", "n_shingles", "low_id", F.coalesce("whole", "comp").alias("comp")), "classes")
     least = common.cut(classes.groupBy("comp").agg(F.min("low_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
-    classes = classes.join(least, "comp", "left").select("set_a", "set_b", "n_shingles", F.coalesce("least", "low_id").alias("component_id"))
+    classes = classes.join(least, "comp", "left").select("set_a", "set_b", "n_shingles", F.coalesce("least", "low_id").alias("component_id"), F.col("comp").alias("component"))
     found = sigs.join(classes, ["set_a", "set_b", "n_shingles"], "left")
     comp = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", comp.alias("component_id"), (comp == F.col("doc_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", comp.alias("component_id"), (comp == F.col("doc_id")).alias("kept"), "row", F.coalesce("component", "row").alias("component"))

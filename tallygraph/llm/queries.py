@@ -34,7 +34,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), n=2, hundredths=80)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), n=2, hundredths=80).drop("row", "component")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
