@@ -32,11 +32,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     equals no other, each stays."""
     # Only these are many rows of one key and yet no copies, so they go past the rest.
     apart = F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]")
-    row = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text"))
-    rows = docs.select(*COLUMNS, row.alias("_row")).where(~apart)
-    found = neardup.near_duplicates(rows, n=5, hundredths=80, key="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row").alias("row")))
-    kept = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(first.alias("f")).select(F.col("f.row").alias("_row"))
+    rows = docs.select(*COLUMNS, neardup.row_of("doc_id", "text").alias("_row")).where(~apart)
+    found = neardup.near_duplicates(rows, n=5, hundredths=80).select("doc_id", "row", "component")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = found.groupBy("component").agg(first.alias("f")).select(F.col("f.row").alias("_row"))
     return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(COLUMNS).unionByName(docs.select(COLUMNS).where(apart))
 
 
