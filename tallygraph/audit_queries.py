@@ -14,8 +14,9 @@ from tallygraph.operators import communities, cover, display, ensemble, layers,
 from tallygraph.operators.inference import hubs_above
 from tallygraph.operators.paths import _cut
 from tallygraph.plans import audit, compare, inference
-from tallygraph.queries import FULL, LABELS, ORACLE_SQL, QUERIES, TRI, query, rounded
+from tallygraph.queries import FULL, HOPS, LABELS, ORACLE_SQL, QUERIES, SUMMARY, TRI, query, rounded
 from tallygraph.sources import trade
+from tallygraph.structure_queries import BRIDGES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -65,15 +66,12 @@ def label_distance_pairs(spark, d):
     return paths.distances(e, degrees(e)).select("source", "id", F.col("d").cast("long").alias("d"))
 
 
-@query(PATHS + " SELECT d AS h, sum(pairs) OVER (ORDER BY d)::BIGINT AS pairs, round(sum(pairs) OVER (ORDER BY d) / sum(pairs) OVER (), 8) AS share FROM hist")
+@query(PATHS + HOPS)
 def label_hops(spark, d):
     return rounded(paths.hop_plot(ensemble.distance_histogram(_bare(spark, d))))
 
 
-@query(
-    PATHS + ", c AS (SELECT d, sum(pairs) OVER (ORDER BY d) / sum(pairs) OVER () AS s FROM hist), l AS (SELECT d, s, coalesce(lag(s) OVER (ORDER BY d), 0) AS low FROM c), f AS (SELECT round(d - 1 + (0.9 - low) / (s - low), 8) AS effective_diameter FROM l WHERE s >= 0.9 - 1e-12 ORDER BY d LIMIT 1)"
-    " SELECT round(sum(d * pairs) / sum(pairs), 8) AS average_path, round(sum(pairs / d) / ((SELECT count(*) FROM gd) * ((SELECT count(*) FROM gd) - 1)), 8) AS efficiency, max(d) AS diameter, (SELECT effective_diameter FROM f) AS effective_diameter FROM hist"
-)
+@query(PATHS + SUMMARY.format("gd"))
 def label_paths(spark, d):
     e = _bare(spark, d)
     h = _cut(ensemble.distance_histogram(e))
@@ -99,7 +97,10 @@ def label_components(spark, d):
     return paths.components(_bare(spark, d))
 
 
-@query()
+_TRI = TRI.split(", tv AS")[0].replace("FROM e x JOIN e y", "FROM g x JOIN g y").replace("JOIN e z", "JOIN g z")
+
+
+@query(GRAPH.replace("WITH", "WITH RECURSIVE", 1) + _TRI + BRIDGES.format("g", "gs", "gd"))
 def label_bridges(spark, d):
     return structure.bridges(_bare(spark, d))
 
@@ -370,6 +371,28 @@ def eigenvalues(spark, d):
     return rounded(spectra.eigenvalues(_bare(spark, d)), 6)
 
 
+@query(
+    GRAPH + _TRI + ", w2 AS (SELECT x.id AS a, y.other AS b, count(*) AS n FROM gs x JOIN gs y ON y.id = x.other GROUP BY 1, 2)"
+    " SELECT round((SELECT 2.0 * count(*) FROM g), 4) AS second, round((SELECT 6.0 * count(*) FROM tri), 4) AS third, round((SELECT sum(n * n) FROM w2)::DOUBLE, 4) AS fourth"
+)
+def spectral_moments(spark, d):
+    """Sums of powers of the eigenvalues, which count the closed walks of so many steps."""
+    x = spectra.eigenvalues(_bare(spark, d))
+    return x.agg(*[F.round(F.sum(F.pow("value", F.lit(float(k)))), 4).alias(n) for k, n in ((2, "second"), (3, "third"), (4, "fourth"))])
+
+
+_EGO = (
+    ", ne AS (SELECT x.id AS v, x.other AS a, y.other AS b FROM gs x JOIN gs y ON y.id = x.other JOIN gs z ON z.id = x.id AND z.other = y.other), o0 AS (SELECT id AS v, other AS a, other AS b FROM gs)"
+    ", o1 AS MATERIALIZED (SELECT * FROM ne)" + "".join(f", o{i} AS MATERIALIZED (SELECT * FROM (SELECT DISTINCT o.v, o.a, ne.b FROM o{i - 1} o JOIN ne ON ne.v = o.v AND ne.a = o.b) ANTI JOIN o{i - 1} USING (v, a, b) ANTI JOIN o{i - 2} USING (v, a, b))" for i in range(2, 8))
+    + ", ef AS (SELECT v, sum(1 / d) AS e FROM (" + " UNION ALL ".join(f"SELECT v, {i}.0 AS d FROM o{i}" for i in range(1, 8)) + ") GROUP BY 1)"
+)
+
+
+@query(GRAPH + _EGO + _PLACE + " SELECT vertex, CASE WHEN degree > 1 THEN round(coalesce(e, 0) / (degree * (degree - 1)), 8) ELSE 0 END AS efficiency FROM pl JOIN gd USING (id) LEFT JOIN ef ON v = id")
+def label_local_efficiency(spark, d):
+    return rounded(structure.local_efficiency(_bare(spark, d)))
+
+
 @query()
 def scree(spark, d):
     return rounded(spectra.scree(_bare(spark, d)), 6)

@@ -226,18 +226,37 @@ def reachable(spark, d):
     return c.join(low, "component").agg(F.count("*").alias("reached")).crossJoin(c.agg(F.count("*").alias("n")))
 
 
-@query()
+def frontier_sql(levels: int) -> str:
+    """CTEs of the pairs at each distance, a frontier a level, and of their counts: an
+    end's neighbours are at its own distance, one less or one more."""
+    out = ", f0 AS (SELECT id AS a, id AS b FROM deg), f1 AS MATERIALIZED (SELECT id AS a, other AS b FROM s)"
+    for i in range(2, levels + 1):
+        out += f", f{i} AS MATERIALIZED (SELECT * FROM (SELECT DISTINCT f.a, s.other AS b FROM f{i - 1} f JOIN s ON s.id = f.b) ANTI JOIN f{i - 1} USING (a, b) ANTI JOIN f{i - 2} USING (a, b))"
+    counts = " UNION ALL ".join(f"SELECT {i}::BIGINT AS d, count(*) AS pairs FROM f{i}" for i in range(1, levels + 1))
+    return out + f", hist AS (SELECT d, pairs FROM ({counts}) WHERE pairs > 0)"
+
+
+#: The trade graph has three distances; two more levels are empty.
+DISTANCES = FULL.replace("WITH e AS (", "WITH e AS MATERIALIZED (").replace("s AS (SELECT src AS id", "s AS MATERIALIZED (SELECT src AS id") + frontier_sql(5)
+HOPS = " SELECT d AS h, sum(pairs) OVER (ORDER BY d)::BIGINT AS pairs, round(sum(pairs) OVER (ORDER BY d) / sum(pairs) OVER (), 8) AS share FROM hist"
+SUMMARY = (
+    ", c AS (SELECT d, sum(pairs) OVER (ORDER BY d) / sum(pairs) OVER () AS s FROM hist), l AS (SELECT d, s, coalesce(lag(s) OVER (ORDER BY d), 0) AS low FROM c), f AS (SELECT round(d - 1 + (0.9 - low) / (s - low), 8) AS effective_diameter FROM l WHERE s >= 0.9 - 1e-12 ORDER BY d LIMIT 1)"
+    " SELECT round(sum(d * pairs) / sum(pairs), 8) AS average_path, round(sum(pairs / d) / ((SELECT count(*) FROM {0}) * ((SELECT count(*) FROM {0}) - 1)), 8) AS efficiency, max(d) AS diameter, (SELECT effective_diameter FROM f) AS effective_diameter FROM hist"
+)
+
+
+@query(DISTANCES + " SELECT d, pairs FROM hist")
 def distance_histogram(spark, d):
-    """Ordered pairs by distance, from every vertex; too slow as recursive SQL."""
+    """Ordered pairs by distance, from every vertex."""
     return ensemble.distance_histogram(trade.edges(spark, d))
 
 
-@query()
+@query(DISTANCES + HOPS)
 def hop_plot(spark, d):
     return rounded(paths.hop_plot(ensemble.distance_histogram(trade.edges(spark, d))))
 
 
-@query()
+@query(DISTANCES + SUMMARY.format("deg"))
 def path_summary(spark, d):
     """Average path length, global efficiency, diameter, effective diameter."""
     e = paths._cut(trade.edges(spark, d))

@@ -119,7 +119,15 @@ def stream_edge_weights(spark, d):
     return tables.edge_weights(trade.three_pairs(lines, orders), scratch(spark))
 
 
-@query()
+#: An edge of a triangle is no bridge; the others are, if their ends part without them.
+BRIDGES = (
+    ", p AS (SELECT a AS src, b AS dst FROM tri UNION SELECT a, c FROM tri UNION SELECT b, c FROM tri), lone AS (SELECT src, dst FROM {0} ANTI JOIN p USING (src, dst))"
+    ", r(src, dst, v) AS (SELECT src, dst, src FROM lone UNION SELECT r.src, r.dst, n.other FROM r JOIN {1} n ON n.id = r.v WHERE NOT (n.id = r.src AND n.other = r.dst) AND NOT (n.id = r.dst AND n.other = r.src))"
+    ", br AS (SELECT src, dst FROM lone ANTI JOIN (SELECT src, dst FROM r WHERE v = dst) USING (src, dst)), pl AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS vertex FROM {2}) SELECT x.vertex AS src, y.vertex AS dst FROM br JOIN pl x ON x.id = br.src JOIN pl y ON y.id = br.dst"
+)
+
+
+@query(FULL.replace("WITH", "WITH RECURSIVE", 1) + TRI + BRIDGES.format("e", "s", "deg"))
 def bridges(spark, d):
     return structure.bridges(trade.edges(spark, d))
 
@@ -159,7 +167,10 @@ def seed_orbits(spark, d):
     return rounded(structure.symmetry(_seed(spark)))
 
 
-@query()
+_REFINED = ", k0 AS (SELECT id, degree::HUGEINT AS c FROM deg)" + "".join(f", k{i} AS MATERIALIZED (SELECT id, (hash(c, s)::HUGEINT) AS c FROM (SELECT x.id, x.c, sum(hash(y.c)::HUGEINT) AS s FROM k{i - 1} x JOIN s ON s.id = x.id JOIN k{i - 1} y ON y.id = s.other GROUP BY 1, 2))" for i in range(1, 7))
+
+
+@query(FULL + _REFINED + " SELECT round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 8) AS entropy, count(*) AS groups FROM (SELECT count(*)::DOUBLE AS n FROM k6 GROUP BY c)")
 def refined_classes(spark, d):
     """Entropy and number of the stable colour classes."""
     return rounded(structure.group_entropy(structure.refined(trade.edges(spark, d)), "colour"))
@@ -278,7 +289,11 @@ def rich_club_report(spark, d):
     return rounded(inference.report(_cut(table.join(real.select("k", "n_above"), "k"))))
 
 
-@query()
+_RUNS = ", m AS (SELECT k FROM ph WHERE n_above >= 2 AND round(2.0 * e_above / (n_above * (n_above - 1)), 6) >= 0.02), rn AS (SELECT min(k) AS first, max(k) AS last, count(*) AS length FROM (SELECT k, k - row_number() OVER (ORDER BY k) AS g FROM m) GROUP BY g)"
+_ABOVE = ", ks AS (SELECT unnest(range(0, (SELECT max(degree) FROM deg))) AS k), dh AS (SELECT degree, count(*) AS n FROM deg GROUP BY 1), eh AS (SELECT least(du, dv) AS degree, count(*) AS n FROM ends GROUP BY 1), ph AS (SELECT k, (SELECT coalesce(sum(n), 0) FROM dh WHERE degree > k)::BIGINT AS n_above, (SELECT coalesce(sum(n), 0) FROM eh WHERE degree > k)::BIGINT AS e_above FROM ks)"
+
+
+@query(FULL + _ABOVE + _RUNS + ", o AS (SELECT *, row_number() OVER (ORDER BY length DESC, first DESC) AS i FROM rn) SELECT first, last, length FROM rn WHERE first = CASE WHEN (SELECT count(*) FROM rn) > 1 AND (SELECT length FROM o WHERE i = 1) < 1.5 * (SELECT length FROM o WHERE i = 2) THEN (SELECT max(first) FROM rn) ELSE (SELECT first FROM o WHERE i = 1) END")
 def rich_club_regime(spark, d):
     marked = richclub.phi(trade.edges(spark, d)).where("round(phi, 6) >= 0.02").select("k")
     return inference.regime(_cut(richclub.runs(marked, "k")))
