@@ -8,8 +8,9 @@ token stream in that order is cut every ``length`` tokens; the only sequence tha
 can be short is the last, padded to a power of two at least its length.
 
 Places come from sums over ranges of the curve (bounds from approximate quantiles
-of the sort key, ties broken by hash and id), so no task holds more than one range
-and a mass of equal documents is split too.
+of the sort key, ties broken by hash and place), so no task holds more than one range
+and a mass of equal documents is split too. Beyond RANGE_ROWS * MOST_RANGES documents
+ranges grow, and the window over one spills.
 
 Defined cases: null and empty texts are one token, the end id; repeated rows are
 rows of their own; an empty table gives no rows; other columns are not read.
@@ -86,7 +87,8 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def tokenize(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n (tokens with the end id), ids (little-endian 16-bit), curve (the
-    Hilbert index) and sort, which is unique but for ties of 23 bits of hash."""
+    Hilbert index) and sort: the curve, 11 bits of a hash of ids and key, and 12 bits of
+    the row's place in its batch, so that a mass of one row spreads over keys too."""
 
     def work(batch: pa.RecordBatch) -> dict:
         encode = encoder()
@@ -99,12 +101,13 @@ def tokenize(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         point = ((np.tanh(sums / (2.0 * np.sqrt(counts))[:, None]) + 1) / 2 * ((1 << BITS) - 1)).astype(np.int64)
         curve = hilbert(point)
         tie = np.array([zlib.crc32(i.tobytes()) for i in ids], np.int64) ^ (batch.column(0).cast(pa.int64()).fill_null(0).to_numpy() * 0x9E3779B1 & 0xFFFFFFFF)
+        place = np.arange(len(ids)) & 0xFFF
         return {
             "doc_id": batch.column(0),
             "n": pa.array(counts, pa.int64()),
             "ids": pa.array([i.astype("<u2").tobytes() for i in ids], pa.binary()),
             "curve": pa.array(curve, pa.int64()),
-            "sort": pa.array(curve << 23 | (tie * 0x5851F42D & 0x7FFFFF), pa.int64()),
+            "sort": pa.array(curve << 23 | ((tie * 0x5851F42D) >> 8 & 0x7FF) << 12 | place, pa.int64()),
         }
 
     return common.arrow_map(df.select(F.col(key).cast("long").alias("doc_id"), text), "doc_id long, n long, ids binary, curve long, sort long", text, work)
@@ -125,7 +128,7 @@ def place(tokens: DataFrame) -> DataFrame:
         return pd.Series(np.searchsorted(marks, s.to_numpy(np.int64), "right").astype(np.int32))
 
     common.ship(spark)
-    # The sort key alone decides the range, so a second reading agrees with the first.
+    # The sort key, written with the tokens, alone decides the range, so readings agree.
     ranged = tokens.withColumn("range", range_of("sort"))
     sums = ranged.groupBy("range").agg(F.sum("n").alias("_s"))
     offsets = sums.select("range", (F.sum("_s").over(Window.orderBy("range")) - F.col("_s")).alias("_o"))
