@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallygraph.llm import ann, licenses, media, mixing, neardup, packing, pii, quality, sharding, substrings, words
+from tallygraph.llm import ann, common, licenses, media, mixing, neardup, packing, pii, quality, sharding, substrings, words
 from tests.llm.conftest import TEXTS
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -584,6 +584,33 @@ def test_vectors_of_two_lengths_raise(spark):
         ann.neighbours(x, F.lit(True))
 
 
+def test_texts_longer_than_a_slice(spark):
+    """One text alone exceeds what a kernel holds at once; what stands at its end counts."""
+    long = "alpha beta gamma " * (common.SLICE_BYTES // 16) + "call +1 (743) 555-3824 Released under the MIT License. " + " ".join(f"p{i}" for i in range(40))
+    assert len(long) > common.SLICE_BYTES
+    x = spark.createDataFrame([(0, long), (1, " ".join(f"p{i}" for i in range(40))), (2, long)], "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find(x, pii.train(x)).collect()}
+    assert found[0].n_phone == 1 and found[0].spans == f"phone:{long.index('+1')}:{long.index('+1') + 17}"
+    assert {r.doc_id: r.labels for r in licenses.scan(x).collect()} == {0: "mit", 1: "", 2: "mit"}
+    gone = {r.doc_id: r.n_words - r.n_removed for r in substrings.dedup(x).collect()}
+    assert gone == {0: 3 + len(re.findall("call.*", long)[0].split()), 1: 0, 2: 0}  # the first three windows of the period
+    near = {r.doc_id: r.component_id for r in neardup.near_duplicates(x).collect()}
+    assert near == {0: 0, 1: 1, 2: 0}
+    packed = packing.pack(x).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert all(r.n == r.m for r in packed)
+    d = {r.doc_id: r for r in media.digests(x).collect()}
+    assert d[0].n_bytes == len(long) and d[0].payload_sha256 == d[2].payload_sha256 == hashlib.sha256(long.encode() + bytes(-len(long) % 64)).hexdigest()
+    assert sharding.shard(x).where("doc_id = 0").first().size == len(long) + 8 and quality.score(x, quality.train([], np.zeros(0, int))).count() == 3
+
+
+def test_neardup_with_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(50)) for k in "abc")
+    rows = [(None, a), (3, a + " end"), (5, b), (5, c), (7, b + " end"), (None, "lone words here"), (None, None), (9, c), (9, c)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str((r.doc_id, r.component_id, r.kept)) for r in got) == sorted(map(str, [(None, 3, None), (3, 3, True), (5, 5, True), (5, 5, True), (7, 5, False), (None, None, None), (None, None, None), (9, 5, False), (9, 5, False)]))
+    assert len({r.component for r in got if r.doc_id == 5}) == 2
+
+
 def test_empty_table(spark, docs):
     none = docs.where("false")
     field = pii.train(none)
