@@ -2,7 +2,13 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir), works on all
 rows of docs, and returns a DataFrame that is written as Parquet and read again as
-the next stage's docs. All but the last return the columns of ``documents``.
+the next stage's docs. All but the last return the columns of ``documents``, whatever
+other columns docs has and however these are named.
+
+Defined cases, for every stage: null texts are empty ones; texts of any length are read
+whole; an empty table gives an empty one; rows repeat as often as they came, but for the
+near-duplicate stage, which keeps one of equal rows, and mixing, which may take a row
+once an epoch. What a stage does with ties and null ids is said below.
 """
 
 from __future__ import annotations
@@ -17,7 +23,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores below 0.7 go."""
+    """Documents that the quality classifier scores below 0.7 go. A row is judged by its
+    text alone, so equal texts share their fate, and a null id changes nothing but that
+    its row has no label to learn from; without labels of both classes all rows have
+    the share of label 1 as their score (0.5 without any label, and all go)."""
     labels = common.table(spark, sf_dir, "labels").where(~held_out())
     return quality.keep(docs.select(COLUMNS), quality.fit(docs, labels))
 
@@ -40,17 +49,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to its kind in brackets; no document goes."""
+    """Personal data gives way to its kind in brackets; no document goes. Of overlapping
+    spans the first gives its kind; the field is fitted on this stage's own input."""
     return pii.redact(docs.select(COLUMNS), pii.train(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each leaf's token prefix, from at most two seeded epochs."""
+    """Each leaf's token prefix, from at most two seeded epochs. Null languages and sources
+    are leaves of their own; rows equal in id and text are in either order."""
     return mixing.mix(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens along the curve."""
+    """Pieces of sequences of 2048 tokens along the curve; a null id stays null, an empty
+    text is its end id alone, and ties on the curve go by a hash, then by place."""
     return packing.pack(docs)
 
 
