@@ -56,10 +56,18 @@ _own: tempfile.TemporaryDirectory | None = None
 _written: list[tuple[SparkSession, str]] = []
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+#: Shuffle partitions whose narrow rows go to one file, but two files a core.
+NARROW = 8
+
+
+def cut(df: DataFrame, name: str = "cut", narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it again: later stages neither
-    recompute it nor depend on an executor's disk. Removed when Python exits."""
+    recompute it nor depend on an executor's disk. Removed when Python exits. Rows of
+    a few numbers that cost little to make are ``narrow``: partitions sized for texts
+    would make tiny files of them."""
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(int(spark.conf.get("spark.sql.shuffle.partitions")) // NARROW, 2 * spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     # No marker file: only this driver reads the folder, and each file costs a local store a process.
     df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)

@@ -111,12 +111,13 @@ def mix(df: DataFrame, share: float = 0.5, epochs: int = 2, seed: int = 8, weigh
         F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_m"),
     )
     names = [f"_{x}" for x in LEVELS]
-    leaf = common.cut(rows.groupBy(*[F.col(a).alias(b) for a, b in zip(names, LEVELS)]).agg(F.sum("_n").alias("_own")), "leaves")
+    leaf = common.cut(rows.groupBy(*[F.col(a).alias(b) for a, b in zip(names, LEVELS)]).agg(F.sum("_n").alias("_own")), "leaves", narrow=True)
     leaf = leaf.withColumn("supply", F.col("_own") * epochs)
     total = leaf.agg(F.coalesce(F.sum("_own"), F.lit(0))).first()[0]
     budget = common.cut(
         leaf.join(budgets(leaf, F.lit(float(total) * share), weights), list(LEVELS)).select(*[F.col(b).alias(f"_leaf{a}") for a, b in zip(names, LEVELS)], "_own", F.floor("budget").alias("_budget")),
         "budget",
+        narrow=True,
     )
     on = (F.col("_domain") == F.col("_leaf_domain")) & (F.col("_lang") == F.col("_leaf_lang")) & (F.col("_source") == F.col("_leaf_source"))
     # A row stands in each epoch that its leaf's budget reaches, with a hash of its own there.

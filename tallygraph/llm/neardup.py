@@ -222,12 +222,12 @@ def components(links: DataFrame) -> DataFrame:
         if not large:
             both = both.where("b <= a")
         # Written, so that the join's own exchange can split a hub's edges.
-        least = common.cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+        least = common.cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least", narrow=True)
         keep = both.where("b > a") if large else both
         moved = keep.join(least, "a").select(F.col("b").alias("x"), "m").where("x <> m")
         if not large:  # the centre itself hangs on the minimum too
             moved = moved.unionByName(least.where("a <> m").select(F.col("a").alias("x"), "m"))
-        return common.cut(moved.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "stars")
+        return common.cut(moved.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "stars", narrow=True)
 
     edges = common.cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     seen = None
@@ -266,7 +266,7 @@ def near_duplicates(df: DataFrame, n: int = 2, hundredths: int = 80, key: str =
     central = crowd.join(crowd.groupBy("rep").agg(F.sum("size").alias("meets")), "rep")
     hubs = central.groupBy("bucket").agg(F.max_by("rep", F.struct("meets", -F.col("low_id"), "rep")).alias("high"), F.min(F.struct("low_id", "rep"))["rep"].alias("low"))
     crowd = crowd.select("rep", "bucket")
-    pairs = crowd.join(common.cut(hubs, "hubs"), "bucket").select(F.col("rep").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
+    pairs = crowd.join(common.cut(hubs, "hubs", narrow=True), "bucket").select(F.col("rep").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
     info = reps.select("rep", "regs", "n_shingles")
 
     def candidates(pairs: DataFrame, margin: float) -> DataFrame:
@@ -280,7 +280,7 @@ def near_duplicates(df: DataFrame, n: int = 2, hundredths: int = 80, key: str =
     rows = df.select(row.alias("rep"), F.col(text).alias("text")).where(common.in_bits(common.bits_of(members, "rep"), F.col("rep")))
     texts = common.cut(rows.join(members, "rep").dropDuplicates(["rep"]), "texts")
     links = common.cut(_verified(pairs, texts, n, hundredths), "links")
-    comps = common.cut(components(links), "comps")
+    comps = common.cut(components(links), "comps", narrow=True)
 
     # Across components: classes of buckets that hold several, by rare shingles.
     crowd = crowd.join(comps, crowd["rep"] == comps["node"], "left").select("rep", "bucket", F.coalesce("comp", "rep").alias("comp"))
@@ -298,11 +298,11 @@ def near_duplicates(df: DataFrame, n: int = 2, hundredths: int = 80, key: str =
     more = _verified(candidates(tried, WIDE), texts, n, hundredths)
     of = live.select("rep", "comp")
     more = more.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    joined = common.cut(components(more), "joined").toDF("comp", "whole")
+    joined = common.cut(components(more), "joined", narrow=True).toDF("comp", "whole")
 
     classes = reps.drop("regs").join(comps, reps["rep"] == comps["node"], "left").withColumn("comp", F.coalesce("comp", "rep"))
-    classes = common.cut(classes.join(joined, "comp", "left").select("set_a", "set_b", "n_shingles", "low_id", F.coalesce("whole", "comp").alias("comp")), "classes")
-    least = common.cut(classes.groupBy("comp").agg(F.min("low_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
+    classes = common.cut(classes.join(joined, "comp", "left").select("set_a", "set_b", "n_shingles", "low_id", F.coalesce("whole", "comp").alias("comp")), "classes", narrow=True)
+    least = common.cut(classes.groupBy("comp").agg(F.min("low_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "least", narrow=True)
     classes = classes.join(least, "comp", "left").select("set_a", "set_b", "n_shingles", F.coalesce("least", "low_id").alias("component_id"), F.col("comp").alias("component"))
     found = sigs.join(classes, ["set_a", "set_b", "n_shingles"], "left")
     comp = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

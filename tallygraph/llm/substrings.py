@@ -205,7 +205,7 @@ def copies(df: DataFrame) -> DataFrame:
     digests = df.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
     # Written, so that the join's own exchange can split a mass of copies.
-    firsts = common.cut(firsts.select("digest", "first"), "firsts")
+    firsts = common.cut(firsts.select("digest", "first"), "firsts", narrow=True)
     return digests.join(firsts, "digest").where("doc_id <> first").select("doc_id").distinct()
 
 
@@ -238,7 +238,7 @@ def dedup(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str =
         return got | ({"kept_text": pa.array([x.decode() for x in parts])} if texts else {})
 
     named = docs.where("doc_id is not null")
-    again = common.cut(copies(named), "copies")
+    again = common.cut(copies(named), "copies", narrow=True)
     found = repeats(named, again, window)
     whole = common.arrow_map(docs, schema, "text", work)
     touched = common.arrow_map(_with_places(docs, found), schema, "text", work).dropDuplicates(["doc_id"])
