@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, with production parameters."""
+"""The registered queries of the thirteen operators, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygraph.llm import ann, licenses, media, mixing, neardup, packing, pii, quality, sharding, substrings
+from tallygraph.llm import ann, centroids, licenses, media, mixing, neardup, negatives, packing, pii, quality, secrets, sharding, substrings
 from tallygraph.llm.common import table
 
 
@@ -58,13 +58,27 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, seed="2")
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 are moved on by one, so that some rows are mislabelled."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95, label=label)
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_media, op4_licenses, op5_neardup, op6_sharding, op7_packing, op8_mixing, op9_substrings, op10_neighbours, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_media, op4_licenses, op5_neardup, op6_sharding, op7_packing, op8_mixing, op9_substrings, op10_neighbours, op11_centroids, op12_negatives, op13_secrets, pipeline)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -88,11 +102,37 @@ t_{level} AS (SELECT n.*, s / w AS r, p.b, (p.b - coalesce(sum(s) OVER (o ROWS B
 b_{level} AS (SELECT {keys}, CASE WHEN u IS NULL THEN s::DOUBLE ELSE least(s::DOUBLE, w * u) END AS b FROM (SELECT *, (min(CASE WHEN t < r THEN {{'r': r, 'k': {level}, 't': t}} END) OVER ({by}))['t'] AS u FROM t_{level}))"""
 
 
+#: Integer vectors of 64 clean components.
+_WHOLE = "FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) {} AND list_aggregate(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)), 'bool_and')"
+
+
+def _centroids_sql(k: int, rounds: int) -> str:
+    """Lloyd's rounds, each assignment and each update a table expression of its own."""
+    out = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v {_WHOLE.format("= 64")}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS m FROM v QUALIFY c < {k})"""]
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT row, vec_id, v, (min({{'d': d, 'c': c}})).c AS c, min(d) AS d FROM (SELECT row, vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{i}) GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY row, vec_id, v"))
+        if i < rounds:
+            out.append(f"""s{i} AS (SELECT c, j, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS j FROM a{i}) GROUP BY c, j),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(f.m, c{i}.m) AS m FROM c{i} LEFT JOIN (SELECT c, list((s - ((s % n + n) % n)) // n ORDER BY j) AS m FROM s{i} GROUP BY c) f ON f.c = c{i}.c)""")
+    return "WITH " + ",\n".join(out) + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.c = c.c"""
+
+
 _CRC32 = """b AS (SELECT row_number() OVER () AS row, doc_id, text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::INTEGER) AS b FROM documents),
 k AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS k FROM range(256) r(i)),
 c AS (SELECT row, doc_id, len(b) + 8 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, b::BIGINT[]), lambda c, x: xor(c >> 8, k[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM b, k)"""
 
 ORACLE_SQL = {
+    "op11_centroids": _centroids_sql(40, 5),
+    "op12_negatives": f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v {_WHOLE.format("> 0")} AND label IS NOT NULL AND vec_id IS NOT NULL),
+s AS MATERIALIZED (SELECT a.row AS a, a.vec_id AS anchor_id, b.row AS b, b.vec_id AS other, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS s
+  FROM v a JOIN v b ON a.row <> b.row AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, anchor_id, other AS positive_id, s AS positive_score, row_number() OVER (PARTITION BY a ORDER BY s DESC, other) AS k FROM s WHERE same QUALIFY k <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.a, p.k ORDER BY s DESC, other))::INTEGER AS rank, other AS negative_id, positive_score, s AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT same AND 50 * positive_score <= 100 * s AND 100 * s <= 95 * positive_score QUALIFY rank <= 3""",
     "op6_sharding": f"""
 WITH RECURSIVE {_CRC32},
 w(name, pos) AS (SELECT DISTINCT coalesce(doc_id::VARCHAR, ''), 0::BIGINT FROM documents
