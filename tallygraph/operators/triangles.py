@@ -53,3 +53,28 @@ def by_degree_band(edges: DataFrame, width: int = 30, least: int = 3) -> DataFra
     """Mean clustering by band of degrees with at least so many vertices."""
     band = F.floor(F.col("degree") / width).alias("band")
     return per_vertex(edges).groupBy(band).agg(F.count("*").alias("n"), F.avg("clustering").alias("clustering")).where(F.col("n") >= least)
+
+
+def four_cycles(edges: DataFrame) -> DataFrame:
+    """One row: cycles of four vertices, each once, from the wedges below their vertex of
+    highest (degree, id); as many as the lesser degrees of all edges' ends together."""
+    edges = _cut(edges)
+    rank = degrees(edges).select("id", F.struct("degree", "id").alias("p"))
+    e = edges.join(rank.toDF("src", "x"), "src").join(rank.toDF("dst", "y"), "dst").select("src", "dst", "x", "y")
+    ends = F.explode(F.array(F.struct(F.col("src").alias("v"), F.col("dst").alias("o"), F.col("x").alias("pv"), F.col("y").alias("po")), F.struct(F.col("dst").alias("v"), F.col("src").alias("o"), F.col("y").alias("pv"), F.col("x").alias("po"))))
+    near = _cut(e.select(ends.alias("e")).select("e.*"))
+    tops, lows = near.where("po > pv").select("v", F.col("o").alias("u"), F.col("po").alias("pu")), near.select("v", F.col("o").alias("w"), F.col("po").alias("pw"))
+    pairs = tops.join(lows, "v").where("pw < pu").groupBy("u", "w").agg(F.count("*").alias("c"))
+    return pairs.agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0)).cast("long").alias("cycles"))
+
+
+def closed_walks(edges: DataFrame) -> DataFrame:
+    """(power, walks): closed walks of two, three and four steps, which are the traces of these
+    powers of the adjacency matrix."""
+    edges = _cut(edges)
+    d = degrees(edges).agg(F.sum("degree").alias("ends"), F.sum(F.col("degree") * (F.col("degree") - 1)).alias("wedges"))
+    three = triangles(edges).agg((F.count("*") * 6).alias("walks"))
+    # Of four steps: an edge to and fro twice, two edges of a vertex to and fro, or a cycle from each of its vertices both ways.
+    four = d.crossJoin(four_cycles(edges)).select((F.col("ends") + 2 * F.col("wedges") + 8 * F.col("cycles")).alias("walks"))  # rows of sums
+    row = lambda df, p: df.select(F.lit(p).cast("long").alias("power"), F.col("walks").cast("long").alias("walks"))
+    return row(d.withColumnRenamed("ends", "walks"), 2).unionByName(row(three, 3)).unionByName(row(four, 4))

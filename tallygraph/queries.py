@@ -264,7 +264,8 @@ def path_summary(spark, d):
     return rounded(paths.path_summary(h, degrees(e).count()).crossJoin(paths.effective_diameter(h)))
 
 
-_SEED = ((0, 2), (0, 4), (1, 3), (1, 5), (2, 4), (3, 5), (2, 5), (3, 6), (4, 6))
+#: A seven-cycle with two chords.
+_SEED = (*((i, i + 1) for i in range(6)), (0, 6), (0, 2), (3, 5))
 
 
 @query(FULL + ", k(a, b) AS (VALUES " + ", ".join(f"({a}, {b}), ({b}, {a})" for a, b in _SEED) + ") SELECT DISTINCT least(src * 7 + a, dst * 7 + b) AS src, greatest(src * 7 + a, dst * 7 + b) AS dst FROM e, k")
