@@ -18,9 +18,14 @@ task cannot know, whether its first run began before it, is settled from one row
 a task.  Documents whose whole text equals an earlier document's leave after the
 lowest level: all of their windows start earlier.
 
+A document is an id with its text: ``doc_id`` and ``row``, a hash of the text. Windows
+are in order of id, row and start; one repeats if an equal window stands in a document of smaller
+id, or earlier in its own. Documents of one id don't touch each other.
+
 Defined cases: null, empty and short texts (fewer than L words) have no window and
-lose nothing, nor do rows with a null id; doc_id names a document, so repeated rows of one id and text are
-the same document and give the same result each; an empty table gives no rows.
+lose nothing, nor do rows with a null id; repeated rows of one id and text are the same document and
+give the same result each; different texts of one id are judged each for itself; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -90,7 +95,7 @@ def _marked(batch: pa.RecordBatch, w: words.Words) -> np.ndarray:
 
 
 def _candidates(df: DataFrame, lengths: list[int], level: int) -> DataFrame:
-    """hash, check (of the last level), doc_id, at: the windows of a level that full
+    """hash, check (of the last level), doc_id, row, at: the windows of a level that full
     windows choose; above the lowest, only those extended from ``places``."""
     last = level == len(lengths) - 1
 
@@ -114,10 +119,10 @@ def _candidates(df: DataFrame, lengths: list[int], level: int) -> DataFrame:
             if last:
                 check = _grams(w.hashes(base=words.OTHER), lengths)[at] >> np.uint64(32)
         doc = w.doc[at]
-        out = {"hash": pa.array(hashed.view(np.int64)), "doc_id": _get(batch, "doc_id").take(pa.array(doc)), "at": pa.array((at - w.first[doc]).astype(np.int32))}
+        out = {"hash": pa.array(hashed.view(np.int64)), "doc_id": _get(batch, "doc_id").take(pa.array(doc)), "row": _get(batch, "row").take(pa.array(doc)), "at": pa.array((at - w.first[doc]).astype(np.int32))}
         return out | ({"check": pa.array(check.astype(np.uint32).view(np.int32))} if last else {})
 
-    return common.arrow_map(df, "hash long, doc_id long, at int" + ", check int" * last, "text", work).select("hash", *["check"] * last, "doc_id", "at")
+    return common.arrow_map(df, "hash long, doc_id long, row long, at int" + ", check int" * last, "text", work).select("hash", *["check"] * last, "doc_id", "row", "at")
 
 
 def _sorted(df: DataFrame) -> DataFrame:
@@ -138,82 +143,93 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep[:-1] |= same
         keep[0] |= held_keep
         held, held_keep = batch.slice(len(h) - 1), bool(keep[-1])
-        yield batch.slice(0, len(h) - 1).filter(pa.array(keep[:-1])).select(["doc_id", "at"])
+        yield batch.slice(0, len(h) - 1).filter(pa.array(keep[:-1])).select(["doc_id", "row", "at"])
     if held is not None:
-        yield held.select(["doc_id", "at"])
+        yield held.select(["doc_id", "row", "at"])
 
 
-LATER = "kind byte, hash long, check int, doc_id long, at int"
+LATER = "kind byte, hash long, check int, doc_id long, row long, at int"
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of (hash, check, doc_id, at): kind 0, rows whose hashes have an
-    earlier place; 1, the first row of a task; 2, the first place of a task's last hashes."""
-    names = ["kind", "hash", "check", "doc_id", "at"]
-    run = None  # hash, check, doc, at of the run's first row
+    """Of rows in order of (hash, check, doc_id, row, at): kind 0, rows whose hashes have an
+    earlier place; 1, rows of a task's first hashes of which only the tasks before know that;
+    2 and 3, the first document and the last one's first place of a task's last hashes."""
+    names = ["kind", "hash", "check", "doc_id", "row", "at"]
+    run = None  # hash, check, first doc of the last run; its last doc and row, their first place; whether it began the task
     for batch in batches:
-        h, c, d, a = (batch.column(i).to_numpy() for i in range(4))
+        h, c, d, w, a = (batch.column(i).to_numpy() for i in range(5))
         if not len(h):
             continue
         start = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-        kind = np.zeros(len(h), np.int8)
+        new = start | np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])])  # of the hashes, or another document
+        opening = np.cumsum(start) == 1  # of the task's first hashes
         if run is None:
-            kind[0] = 1
+            head = opening
         elif run[0] == h[0] and run[1] == c[0]:
-            start[0] = False
+            start[0], new[0] = False, (run[3], run[4]) != (d[0], w[0])
+            head = opening & run[6]
+        else:
+            head = np.zeros(len(h), bool)
         at = np.maximum.accumulate(np.where(start, np.arange(len(h)), -1))
-        first_d, first_a = np.where(at >= 0, d[at], run[2] if run else 0), np.where(at >= 0, a[at], run[3] if run else 0)
-        later = (first_d != d) | (first_a != a)
-        keep = later | (kind == 1)
-        run = (h[-1], c[-1], first_d[-1], first_a[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind, h, c, d, a)], names)
+        first = np.where(at >= 0, d[at], run[2] if run else 0)
+        at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+        place = np.where(at >= 0, a[at], run[5] if run else 0)
+        later = (place != a) | (first != d)
+        kind = np.where(later, 0, 1).astype(np.int8)
+        keep = later | head
+        run = (h[-1], c[-1], first[-1], d[-1], w[-1], place[-1], bool(head[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind, h, c, d, w, a)], names)
     if run is not None:
-        kinds = (pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((2, *run), kinds)], names)
+        kinds = (pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        rows = [(2, *run[:3], 0, 0), (3, *run[:2], *run[3:6])]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(map(list, zip(*rows)), kinds)], names)
 
 
 def _with_places(df: DataFrame, places: DataFrame) -> DataFrame:
-    """doc_id, text and the list of places of each document that has some."""
-    some = places.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    """doc_id, row, text and the list of places of each document that has some."""
+    some = places.groupBy("doc_id", "row").agg(F.collect_set("at").alias("places"))
     may = common.bits_of(places.select("doc_id").distinct(), "doc_id")
-    return df.where(common.in_bits(may, F.col("doc_id"))).join(some, "doc_id").select("doc_id", "text", "places")
+    return df.where(common.in_bits(may, F.col("doc_id"))).join(some, ["doc_id", "row"]).select("doc_id", "row", "text", "places")
 
 
 def repeats(df: DataFrame, again: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, at): every window of ``window`` words of the documents, by its first
+    """(doc_id, row, at): every window of ``window`` words of the documents, by its first
     word from 0, whose words also start earlier; but none of the documents ``again``,
     which equal an earlier one as a whole (see ``copies``)."""
     common.ship(df.sparkSession)
     lengths = levels(window)
     places = df
     for level in range(len(lengths) - 1):
-        found = _sorted(_candidates(places, lengths, level)).mapInArrow(_repeated, "doc_id long, at int")
+        found = _sorted(_candidates(places, lengths, level)).mapInArrow(_repeated, "doc_id long, row long, at int")
         if not level:
-            found = found.join(again, "doc_id", "left_anti")
+            found = found.join(again, ["doc_id", "row"], "left_anti")
         places = _with_places(df, common.cut(found, f"level{level}"))
     if len(lengths) == 1:
-        places = df.join(again, "doc_id", "left_anti")
+        places = df.join(again, ["doc_id", "row"], "left_anti")
     rows = common.cut(_sorted(_candidates(places, lengths, len(lengths) - 1)).mapInArrow(_later, LATER), "later")
-    # A task's first row repeats if a task before it ends in its hashes, from an earlier place.
-    ends = rows.where("kind = 2").groupBy("hash", "check").agg(F.min(F.struct("doc_id", "at")).alias("from"))
-    edges = rows.where("kind = 1").join(ends, ["hash", "check"]).where("from < struct(doc_id, at)")
-    return rows.where("kind = 0").select("doc_id", "at").unionByName(edges.select("doc_id", "at"))
+    # What only tasks before know: a smaller document of the hashes, or an earlier place of the same one.
+    first = rows.where("kind = 2").groupBy("hash", "check").agg(F.min("doc_id").alias("first"))
+    same = rows.where("kind = 3").groupBy("hash", "check", "doc_id", "row").agg(F.min("at").alias("before"))
+    opened = rows.where("kind = 1").join(first, ["hash", "check"]).join(same, ["hash", "check", "doc_id", "row"], "left")
+    edges = opened.where(F.expr("first < doc_id or coalesce(before < at, false)"))
+    return rows.where("kind = 0").select("doc_id", "row", "at").unionByName(edges.select("doc_id", "row", "at"))
 
 
 def copies(df: DataFrame) -> DataFrame:
-    """doc_id of each document whose whole text is an earlier document's."""
-    digests = df.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    """doc_id and row of each document whose whole text is that of a smaller id."""
+    digests = df.select("doc_id", "row", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
     # Written, so that the join's own exchange can split a mass of copies.
     firsts = common.cut(firsts.select("digest", "first"), "firsts", narrow=True)
-    return digests.join(firsts, "digest").where("doc_id <> first").select("doc_id").distinct()
+    return digests.join(firsts, "digest").where("doc_id <> first").select("doc_id", "row").distinct()
 
 
 def dedup(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of the kept words joined by one
     space; with ``texts`` also kept_text."""
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"), F.col(text).alias("text"))
+    schema = "doc_id long, row long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
 
     def work(batch: pa.RecordBatch) -> dict:
         w = words.Words(*words.buffer(_get(batch, "text")), words.SPACE_WORDS, False)
@@ -234,18 +250,18 @@ def dedup(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str =
         raw = out.tobytes()
         parts = [raw[a : max(a, b - 1)] for a, b in zip(ends, ends[1:])]
         counts, left = w.counts, np.diff(kept)
-        got = {"doc_id": _get(batch, "doc_id"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(counts - left, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in parts])}
+        got = {"doc_id": _get(batch, "doc_id"), "row": _get(batch, "row"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(counts - left, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in parts])}
         return got | ({"kept_text": pa.array([x.decode() for x in parts])} if texts else {})
 
     named = docs.where("doc_id is not null")
     again = common.cut(copies(named), "copies", narrow=True)
     found = repeats(named, again, window)
     whole = common.arrow_map(docs, schema, "text", work)
-    touched = common.arrow_map(_with_places(docs, found), schema, "text", work).dropDuplicates(["doc_id"])
+    touched = common.arrow_map(_with_places(docs, found), schema, "text", work).dropDuplicates(["doc_id", "row"])
     names = ["n_removed", "kept_sha256"] + ["kept_text"] * texts
-    touched = touched.select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in names])
-    again = again.select(F.col("doc_id").alias("_copy"))
-    out = whole.join(touched, whole["doc_id"] == touched["_id"], "left").join(again, whole["doc_id"] == again["_copy"], "left")
+    touched = touched.select("doc_id", "row", *[F.col(c).alias(f"_{c}") for c in names])
+    again = again.withColumn("_copy", F.lit(True))
+    out = whole.join(touched, ["doc_id", "row"], "left").join(again, ["doc_id", "row"], "left")
     is_copy = F.col("_copy").isNotNull() & (F.col("n_words") >= window)
     empty = {"n_removed": F.col("n_words"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "kept_text": F.lit("")}
     return out.select("doc_id", "n_words", *[F.when(is_copy, empty[c]).otherwise(F.coalesce(f"_{c}", c)).alias(c) for c in names])

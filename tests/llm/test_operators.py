@@ -616,3 +616,51 @@ def test_empty_table(spark, docs):
     field = pii.train(none)
     for df in (pii.find(none, field), media.digests(none), licenses.scan(none), neardup.near_duplicates(none), sharding.shard(none), packing.pack(none), mixing.mix(none), substrings.dedup(none), quality.score(none, quality.train([], np.zeros(0, int))), ann.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True))):
         assert df.count() == 0
+
+
+def test_substrings_of_repeated_ids_with_other_texts(spark):
+    """Documents of one id don't touch each other, and each keeps its own result; also over tasks
+    that cut a run of equal windows."""
+    passage = " ".join(f"w{i}" for i in range(25))
+    texts = [(1, passage), (2, passage + " tail a"), (2, " ".join(f"z{i}" for i in range(30))), (2, passage + " tail b"), (2, passage + " tail b"), (3, passage + " x " + passage), (0, " ".join(f"z{i}" for i in range(5, 27)))]
+    texts += [(i % 5 + 10, f"v{i} " + " ".join(f"q{j}" for j in range(22)) + f" u{i % 7}") for i in range(60)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(7)).collect())
+    words_of = lambda t: re.findall(SPACE, t)
+    at = [(i, t, a, tuple(words_of(t)[a : a + 20])) for i, t in texts for a in range(max(0, len(words_of(t)) - 19))]
+    by = {}
+    for i, t, a, w in at:
+        by.setdefault(w, []).append((i, t, a))
+    want = []
+    for i, t in texts:
+        w, gone = words_of(t), set()
+        for a in range(max(0, len(w) - 19)):
+            if any(j < i or (j, u) == (i, t) and b < a for j, u, b in by[tuple(w[a : a + 20])]):
+                gone |= set(range(a, a + 20))
+        kept = [x for k, x in enumerate(w) if k not in gone]
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_later_rows_over_cut_runs():
+    """A run of equal hashes that tasks cut anywhere gives the same repeats."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = sorted((int(h), 0, int(d), int(w), int(a)) for h, d, w, a in rng.integers(0, [3, 3, 2, 3], (40, 4)))  # some repeat
+    want = {r for r in rows if any(q[:2] == r[:2] and (q[2] < r[2] or q[2:4] == r[2:4] and q[4] < r[4]) for q in rows)}
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+    batch = lambda x: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*x)), kinds)], ["hash", "check", "doc_id", "row", "at"])
+    for trial in range(200):
+        cuts = sorted({0, len(rows), *rng.integers(0, len(rows), 4).tolist()})
+        out = []
+        for a, b in zip(cuts, cuts[1:]):
+            mid = int(rng.integers(a, b + 1))
+            out += [r for x in substrings._later(batch(rows[p:q]) for p, q in ((a, mid), (mid, b)) if q > p) for r in x.to_pylist()]
+        got = {(r["hash"], r["check"], r["doc_id"], r["row"], r["at"]) for r in out if r["kind"] == 0}
+        for r in (r for r in out if r["kind"] == 1):
+            key = r["hash"], r["check"]
+            first = min(x["doc_id"] for x in out if x["kind"] == 2 and (x["hash"], x["check"]) == key) if any(x["kind"] == 2 and (x["hash"], x["check"]) == key for x in out) else r["doc_id"]
+            before = [x["at"] for x in out if x["kind"] == 3 and (x["hash"], x["check"], x["doc_id"], x["row"]) == (*key, r["doc_id"], r["row"])]
+            if first < r["doc_id"] or before and min(before) < r["at"]:
+                got.add((*key, r["doc_id"], r["row"], r["at"]))
+        assert got == want
