@@ -20,18 +20,20 @@ is a few cells whatever the table's size; on vectors without clusters most of th
 
 Inner products order unit vectors as distances do; others get one more coordinate
 that makes them so (the root of the largest squared length less their own).  Of
-rows with one vector only the k + 1 smallest ids can be among anyone's k nearest,
+rows with one vector only the k + 1 first by id can be among anyone's k nearest,
 so the rest stay out of the index: a mass of copies is one node.
 
 Defined cases: a vector that is null, empty, all zeros, or holds a null, NaN or
-infinity takes no part as query or candidate, nor does a null id; vectors that take
-part and differ in length raise; a row repeated as a whole counts once; a query
-never finds its own id; ties go to the smaller id; fewer candidates than k give
+infinity takes no part as query or candidate, nor does a null id; vectors of
+different length don't meet: each length is searched by itself; repeated rows and rows of one id
+are rows of their own, so each query row has its own ranks from 1, and finds others
+of its id but never itself; ties go to the smaller id; fewer candidates than k give
 fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -258,10 +260,10 @@ def asked(queries: np.ndarray) -> np.ndarray:
 
 
 def clean(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """Rows that take part, each once: vec_id and vec, an array of doubles."""
+    """Rows that take part: vec_id, vec, an array of doubles, and a number for the row, fixed when written."""
     fine = F.expr("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
-    return rows.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).distinct()
+    return rows.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).withColumn("row", F.monotonically_increasing_id())
 
 
 def _matrix(batch: pa.RecordBatch, name: str = "vec") -> np.ndarray:
@@ -337,7 +339,7 @@ def fit_cells(rows: DataFrame, n: int) -> Cells:
 def probes(rows: DataFrame, queries: DataFrame, cells: Cells, k: int) -> int:
     """The fewest nearest cells that hold TARGET of the exact k nearest of PROBED
     queries: one scan of all rows in blocks, of which a task keeps k a query."""
-    few = queries.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(PROBED).toArrow().combine_chunks()
+    few = queries.select("row", "vec", "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(PROBED).toArrow().combine_chunks()
     few = few.to_batches()[0] if few.num_rows else None
     if few is None:
         return len(cells.centroids)
@@ -350,7 +352,7 @@ def probes(rows: DataFrame, queries: DataFrame, cells: Cells, k: int) -> int:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, vec_id = _matrix(batch), batch.column(0).to_numpy()
+            x, vec_id = _matrix(batch), batch.column(batch.schema.get_field_index("row")).to_numpy()
             s = np.where(vec_id[None, :] == ids[:, None], -np.inf, q @ x.T)
             best = np.concatenate([best, s], 1)
             found = np.concatenate([found, np.tile(vec_id, (len(q), 1))], 1)
@@ -380,14 +382,14 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Recor
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(shard: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        ids = np.concatenate([p.column(1).to_numpy() for p in parts])
+        ids, row = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (1, 2))
         exact = np.concatenate([_matrix(p) for p in parts])
-        order = np.argsort(ids, kind="stable")
-        ids, exact = ids[order], exact[order]
+        order = np.lexsort((row, ids))
+        ids, row, exact = ids[order], row[order], exact[order]
         _, first, node = np.unique(exact, axis=0, return_index=True, return_inverse=True)
         graph, order = Graph.build(unit(exact[first]))
         place = np.argsort(order)
-        out = [("ids", 0, ids.astype("<i8")), ("node", 0, place[node.ravel()].astype("<i4")), ("vectors", exact.shape[1], exact[first][order].astype("<f8"))]
+        out = [("ids", 0, ids.astype("<i8")), ("rows", 0, row.astype("<i8")), ("node", 0, place[node.ravel()].astype("<i4")), ("vectors", exact.shape[1], exact[first][order].astype("<f8"))]
         out += [("links", flat.shape[1], flat.astype("<i4")) for flat in graph.layers]
         return pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(out), pa.int32()), "part": pa.array(range(len(out)), pa.int32()), "kind": [k for k, _, _ in out], "level": pa.array([l for _, l, _ in out], pa.int32()), "data": [a.tobytes() for _, _, a in out]})
 
@@ -410,6 +412,8 @@ class Shard:
         for kind, width, data in rows:
             if kind == "ids":
                 self.ids = np.frombuffer(data, "<i8")
+            elif kind == "rows":
+                self.rows = np.frombuffer(data, "<i8")
             elif kind == "node":
                 self.node = np.frombuffer(data, "<i4")
             elif kind == "vectors":
@@ -420,23 +424,24 @@ class Shard:
         self.order = np.argsort(self.node, kind="stable")  # ids of a node in id order
         self.first = np.searchsorted(self.node[self.order], np.arange(len(self.vectors) + 1))
 
-    def answer(self, qids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query id, vec_id and exact score of up to k candidates a query."""
+    def answer(self, qrows: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the query, vec_id, row and exact score of up to k candidates a query."""
         nodes, _ = self.graph.search(asked(queries), k + 1)
         r, c = np.nonzero(nodes >= 0)
         v = nodes[r, c]
         most = np.minimum(self.first[v + 1] - self.first[v], k + 1)  # k others at most
         r, start, v = np.repeat(r, most), np.repeat(self.first[v], most), np.repeat(v, most)
-        ids = self.ids[self.order[start + np.arange(len(start)) - np.repeat(np.cumsum(most) - most, most)]]
+        at = self.order[start + np.arange(len(start)) - np.repeat(np.cumsum(most) - most, most)]
+        ids, rows = self.ids[at], self.rows[at]
         score = np.zeros(len(r))
         for lo in range(0, len(r), 1 << 16):
             score[lo : lo + (1 << 16)] = np.einsum("ed,ed->e", queries[r[lo : lo + (1 << 16)]], self.vectors[v[lo : lo + (1 << 16)]])
-        other = ids != qids[r]
-        r, ids, score = r[other], ids[other], score[other]
-        order = np.lexsort((ids, -score, r))
-        r, ids, score = r[order], ids[order], score[order]
+        other = rows != qrows[r]
+        r, ids, rows, score = r[other], ids[other], rows[other], score[other]
+        order = np.lexsort((rows, ids, -score, r))
+        r, ids, rows, score = r[order], ids[order], rows[order], score[order]
         best = np.arange(len(r)) - np.searchsorted(r, r) < k
-        return qids[r[best]], ids[best], score[best]
+        return r[best], ids[best], rows[best], score[best]
 
 
 def _answers(k: int):
@@ -453,8 +458,8 @@ def _answers(k: int):
             for lo in range(0, block.num_rows if rows else 0, BLOCK):
                 shard = shard or Shard(rows)
                 some = block.slice(lo, BLOCK)
-                q, v, s = shard.answer(some.column(1).to_numpy(), _matrix(some), k)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+                q, v, w, s = shard.answer(some.column(2).to_numpy(), _matrix(some), k)
+                yield pa.RecordBatch.from_pydict({"query_id": some.column(1).to_numpy()[q], "query": some.column(2).to_numpy()[q], "vec_id": v, "row": w, "score": s})
 
     return run
 
@@ -469,8 +474,10 @@ def neighbours(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     if not n:
         none = rows.limit(0)
         return none.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    if least != most:
-        raise ValueError("vectors of one table must have one length")
+    if least != most:  # vectors of different length don't meet
+        each = [r.d for r in rows.select(F.size("vec").alias("d")).distinct().collect()]
+        found = [neighbours(rows.where(F.size("vec") == d), is_query, k, "vec_id", "vec") for d in sorted(each)]
+        return functools.reduce(DataFrame.unionByName, found)
     queries = rows.where(is_query)
     cells = fit_cells(rows, n)
     near = probes(rows, queries, cells, k)
@@ -478,7 +485,7 @@ def neighbours(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(cells.cell(_matrix(b))), b.column(0), b.column(1)], ["cell", "vec_id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(cells.cell(_matrix(b))), b.column(0), b.column(1), b.column(2)], ["cell", "vec_id", "vec", "row"])
 
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -488,30 +495,30 @@ def neighbours(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                 yield part.append_column("cells", pa.array(list(to.astype(np.int32)), pa.list_(pa.int32())))
 
     # Of one vector's rows the k + 1 smallest ids: partial limits run before the exchange.
-    same = Window.partitionBy(F.xxhash64("vec"), "vec").orderBy("vec_id")
-    held = rows.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k + 1).select("vec_id", "vec")
-    dealt = common.cut(held.mapInArrow(cell, "cell int, vec_id long, vec array<double>"), "cells")
+    same = Window.partitionBy(F.xxhash64("vec"), "vec").orderBy("vec_id", "row")
+    held = rows.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k + 1).select("vec_id", "vec", "row")
+    dealt = common.cut(held.mapInArrow(cell, "cell int, vec_id long, vec array<double>, row long"), "cells")
     sizes = common.fetch(dealt.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell"))  # a row a cell
     parts = np.ones(len(cells.centroids), np.int64)
     parts[sizes["cell"]] = -(-sizes["n"] // SHARD_ROWS)
     first = np.cumsum(parts) - parts
     of = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in range(len(parts))], "cell int, first int, parts int")
     shard = (F.col("first") + F.pmod(F.xxhash64("vec"), F.col("parts"))).cast("int").alias("shard")
-    dealt = dealt.join(F.broadcast(of), "cell").select(shard, "vec_id", "vec")  # at most MOST_CELLS rows
+    dealt = dealt.join(F.broadcast(of), "cell").select(shard, "vec_id", "row", "vec")  # at most MOST_CELLS rows
     index = common.cut(dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_build, INDEX), "graph")
 
-    asks = queries.mapInArrow(routes, "vec_id long, vec array<double>, cells array<int>")
-    asks = asks.select("vec_id", "vec", F.explode("cells").alias("cell")).join(F.broadcast(of), "cell")
-    asks = asks.select(F.explode(F.expr("sequence(first, first + parts - 1)")).alias("shard"), "vec_id", "vec")
+    asks = queries.mapInArrow(routes, "vec_id long, vec array<double>, row long, cells array<int>")
+    asks = asks.select("vec_id", "row", "vec", F.explode("cells").alias("cell")).join(F.broadcast(of), "cell")
+    asks = asks.select(F.explode(F.expr("sequence(first, first + parts - 1)")).alias("shard"), "vec_id", "row", "vec")
     # A shard that many queries ask is read by several tasks.
     blocks = asks.groupBy("shard").agg(F.ceil(F.count("*") / TASK_QUERIES).cast("int").alias("blocks"))
-    asks = asks.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    asks = asks.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("vec_id", "row"), F.col("blocks")).cast("int"))
     graphs = index.join(blocks, "shard").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     none = lambda kind: F.lit(None).cast(kind)
-    left = graphs.select("shard", none("long").alias("vec_id"), none("array<double>").alias("vec"), "part", "kind", "level", "data", "block")
-    right = asks.select("shard", "vec_id", "vec", none("int").alias("part"), none("string").alias("kind"), none("int").alias("level"), none("binary").alias("data"), "block")
+    left = graphs.select("shard", none("long").alias("vec_id"), none("long").alias("row"), none("array<double>").alias("vec"), "part", "kind", "level", "data", "block")
+    right = asks.select("shard", "vec_id", "row", "vec", none("int").alias("part"), none("string").alias("kind"), none("int").alias("level"), none("binary").alias("data"), "block")
     # Nulls come first: a shard's arrays stand before its queries.
     both = left.unionByName(right).repartition("shard", "block").sortWithinPartitions("shard", "block", F.col("vec_id").asc_nulls_first(), "part")
-    found = both.withColumn("shard", F.expr("cast(shard as long) * 1048576 + block")).mapInArrow(_answers(k), "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = both.withColumn("shard", F.expr("cast(shard as long) * 1048576 + block")).mapInArrow(_answers(k), "query_id long, query long, vec_id long, row long, score double")
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
