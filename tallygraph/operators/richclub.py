@@ -25,6 +25,20 @@ def phi(edges: DataFrame) -> DataFrame:
     return s.select("k", "n_above", "e_above", (2 * F.col("e_above") / (F.col("n_above") * (F.col("n_above") - 1))).alias("phi"))
 
 
+def phi_by(edges: DataFrame, by: str) -> DataFrame:
+    """(by, k, n_above, e_above, phi) as ``phi``, of many graphs at once: edges (by, src, dst)."""
+    d = edges.select(by, F.explode(F.array("src", "dst")).alias("id")).groupBy(by, "id").agg(F.count("*").alias("degree"))
+    e = edges.join(d.select(by, F.col("id").alias("src"), F.col("degree").alias("du")), [by, "src"]).join(d.select(by, F.col("id").alias("dst"), F.col("degree").alias("dv")), [by, "dst"])
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    hist = d.select(by, "degree", one.alias("v"), none.alias("e")).unionByName(e.select(by, F.least("du", "dv").alias("degree"), none.alias("v"), one.alias("e")))
+    hist = hist.groupBy(by, "degree").agg(F.sum("v").alias("v"), F.sum("e").alias("e"))
+    down = Window.partitionBy(by).orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    low = F.coalesce(F.lag("degree").over(Window.partitionBy(by).orderBy("degree")), none)
+    s = hist.select(by, low.alias("low"), F.col("degree").alias("top"), F.sum("v").over(down).alias("n_above"), F.sum("e").over(down).alias("e_above")).where("n_above >= 2")
+    s = s.select(by, F.explode(F.sequence("low", F.col("top") - 1)).alias("k"), "n_above", "e_above")
+    return s.withColumn("phi", 2 * F.col("e_above") / (F.col("n_above") * (F.col("n_above") - 1)))
+
+
 def benjamini_hochberg(tests: DataFrame, key: str, p: str) -> DataFrame:
     """(key, p, q): q of the i-th smallest p is min over j >= i of p_j n / j, 1 at most."""
     r = tests.select(key, p, F.row_number().over(Window.orderBy(p, key)).alias("rank"), F.count("*").over(Window.partitionBy()).alias("n"))

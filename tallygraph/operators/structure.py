@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tallygraph.kernels import generate, graphs
 from tallygraph.kernels import structure as kernel
-from tallygraph.model import both_ways, degrees, relabel
+from tallygraph.model import both_ways, degrees, relabel, relabel_ids
+from tallygraph.operators import forests
 from tallygraph.operators.ensemble import MOST_EDGES, Shared, _rows, _run, arrays
 from tallygraph.operators.paths import _cut
 
@@ -21,22 +22,15 @@ def _once(edges: DataFrame, f, schema: str) -> DataFrame:
 
 def bridges(edges: DataFrame) -> DataFrame:
     """(src, dst) on no cycle; dense ids."""
-
-    def f(n, s, t):
-        e = np.array(kernel.bridges(graphs.Csr(n, s, t)), np.int64).reshape(-1, 2)
-        return {"src": e[:, 0], "dst": e[:, 1]}
-
-    return _once(edges, f, "src long, dst long")
+    e = _cut(edges.select("src", "dst"))
+    return forests.dense(forests.bridges(e), e)
 
 
 def odd_cycle(edges: DataFrame) -> DataFrame:
-    """(at, vertex) around an odd cycle; no rows if the graph is bipartite."""
-
-    def f(n, s, t):
-        c = kernel.odd_cycle(graphs.Csr(n, s, t))
-        return {"at": list(range(len(c))), "vertex": c}
-
-    return _once(edges, f, "at long, vertex long")
+    """(at, vertex) around an odd cycle; no rows if the graph is bipartite; dense ids."""
+    e = _cut(edges.select("src", "dst"))
+    new = relabel_ids(e).toDF("vertex", "new")
+    return forests.odd_cycle(e).join(new, "vertex").select("at", F.col("new").alias("vertex"))
 
 
 def enforce_odd_cycle(edges: DataFrame, witness: DataFrame) -> DataFrame:

@@ -78,3 +78,31 @@ def closed_walks(edges: DataFrame) -> DataFrame:
     four = d.crossJoin(four_cycles(edges)).select((F.col("ends") + 2 * F.col("wedges") + 8 * F.col("cycles")).alias("walks"))  # rows of sums
     row = lambda df, p: df.select(F.lit(p).cast("long").alias("power"), F.col("walks").cast("long").alias("walks"))
     return row(d.withColumnRenamed("ends", "walks"), 2).unionByName(row(three, 3)).unionByName(row(four, 4))
+
+
+def clique_census(edges: DataFrame, by: str, most: int = 12) -> DataFrame:
+    """(by, size, cliques): maximal cliques of many graphs at once, edges (by, src, dst).
+
+    Cliques grow by a vertex a round, each listed once, in order of (degree, id): to the last
+    member's higher neighbours that all other members have too. A clique is maximal if it lies in none
+    a vertex larger. Rows of a round are the cliques of one size; more than ``most`` rounds raise."""
+    edges = _cut(edges.select(by, "src", "dst"))
+    d = edges.select(by, F.explode(F.array("src", "dst")).alias("id")).groupBy(by, "id").agg(F.count("*").alias("degree"))
+    e = edges.join(d.select(by, F.col("id").alias("src"), F.col("degree").alias("du")), [by, "src"]).join(d.select(by, F.col("id").alias("dst"), F.col("degree").alias("dv")), [by, "dst"])
+    up = F.struct(F.col("du").alias("d"), F.col("src").alias("i")) < F.struct(F.col("dv").alias("d"), F.col("dst").alias("i"))
+    e = _cut(e.select(by, F.when(up, F.col("src")).otherwise(F.col("dst")).alias("lo"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("hi")))
+    now, out, size = e.select(by, F.array("lo", "hi").alias("c")), None, 2
+    while True:
+        # One more vertex: a higher neighbour of the first member that closes with each other one.
+        grown = now.withColumn("last", F.element_at("c", -1)).join(e.toDF(by, "last", "x"), [by, "last"]).drop("last")
+        for i in range(size - 1):
+            grown = grown.withColumn("a", F.col("c")[i]).join(e.toDF(by, "a", "x"), [by, "a", "x"], "left_semi").drop("a")
+        grown = _cut(grown.select(by, F.array_append("c", "x").alias("c")))
+        inside = grown.select(by, F.explode(F.transform(F.sequence(F.lit(0), F.lit(size)), lambda i: F.filter("c", lambda y, j: j != i))).alias("c")).distinct()
+        held = now.join(inside, [by, "c"], "left_anti").groupBy(by).agg(F.count("*").alias("cliques")).select(by, F.lit(size).cast("long").alias("size"), "cliques")
+        out = held if out is None else out.unionByName(held)
+        if grown.isEmpty():
+            return out
+        now, size = grown, size + 1
+        if size > most:
+            raise ValueError(f"cliques of more than {most} vertices")

@@ -280,7 +280,12 @@ def legal_wedges(spark, d):
     return construct.legal_wedges(e, degrees(e).select("id", (F.col("id") % 3).alias("colour")))
 
 
-@query(FULL + ", w AS (SELECT x.other AS src, y.other AS dst, count(*) AS support FROM s x JOIN s y ON x.id = y.id AND x.other < y.other GROUP BY 1, 2), l AS (SELECT src, dst FROM w ANTI JOIN e USING (src, dst) WHERE src % 3 <> dst % 3 ORDER BY support DESC, src, dst LIMIT 100) SELECT src, dst FROM e UNION ALL SELECT src, dst FROM l")
+@query(
+    FULL.replace("WITH e AS (", "WITH e AS MATERIALIZED (").replace("s AS (SELECT src AS id", "s AS MATERIALIZED (SELECT src AS id")
+    + """, w AS MATERIALIZED (SELECT x.other AS src, y.other AS dst, count(*) AS support FROM s x JOIN s y ON x.id = y.id AND x.other < y.other WHERE x.other % 3 <> y.other % 3 GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT src, dst FROM w ANTI JOIN e USING (src, dst) ORDER BY support DESC, src, dst LIMIT 100)
+SELECT src, dst FROM e UNION ALL SELECT src, dst FROM l"""
+)
 def triangle_closure(spark, d):
     e = trade.edges(spark, d)
     return construct.close(e, degrees(e).select("id", (F.col("id") % 3).alias("colour")), 100)

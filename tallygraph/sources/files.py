@@ -26,22 +26,55 @@ def edge_list(spark: SparkSession, path: str) -> DataFrame:
     return canonical(pair.where("src is not null and dst is not null"))
 
 
-def matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """Pattern of a 1-based coordinate file as an undirected graph. The size line is
-    the first without a comment; it has three numbers as weighted entries do, so it
-    is known by its place."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where("value not like '\\%%' and trim(value) <> ''")
-    first = lines.groupBy("file").agg(F.min("at").alias("at"))
-    parts = F.split(F.trim("value"), r"\s+")
-    entries = lines.join(first, ["file", "at"], "left_anti").select((parts[0].cast("long") - 1).alias("src"), (parts[1].cast("long") - 1).alias("dst"))
-    return canonical(entries)
+#: Three whole numbers of a size line, behind a comment sign or not.
+_SIZES = r"^[%\s]*\d+\s+\d+\s+\d+\s*$"
+
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that aren't blank: file, at (their order inside a file), value, comment."""
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return lines.where("value <> ''").withColumn("comment", F.col("value").startswith("%"))
 
-def bipartite_tsv(spark: SparkSession, path: str, left: int) -> DataFrame:
-    """Pairs (left id, right id) of a bipartite file; right ids come after the left ones."""
-    parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where("value not like '\\%%' and trim(value) <> ''")
-    return canonical(rows.select(parts[0].cast("long").alias("src"), (parts[1].cast("long") + left).alias("dst")))
+
+def matrix_market(spark: SparkSession, path: str) -> DataFrame:
+    """Pattern of 1-based coordinate files as an undirected graph. A file gives its number of
+    entries in one of three ways: in the size line, the first without a comment, behind a header that
+    names the format; by a comment of three numbers, the last of these, behind such a header; or, behind
+    another header, by the first number of the comment that follows. Another number of entries raises."""
+    lines = _numbered(spark, path)
+    head = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"), F.min("at").alias("top"))
+    after = lines.join(head, "file").where("at > top")
+    sized = F.when(F.col("comment") & F.col("value").rlike(_SIZES), F.col("at"))
+    sums = after.groupBy("file", "header").agg(
+        F.count_if(~F.col("comment")).alias("n"), F.min(F.when(~F.col("comment"), F.col("at"))).alias("first"), F.min_by("value", F.when(~F.col("comment"), F.col("at"))).alias("size_line"),
+        F.max_by("value", sized).alias("last_comment"), F.min_by("value", sized).alias("first_comment"),
+    )
+    number = lambda c, i: F.regexp_extract(c, r"^[%\s]*(\d+)\s+(\d+)\s+(\d+)", i).try_cast("long")
+    market = F.col("header").contains("MatrixMarket")
+    plain = market & F.coalesce(number("size_line", 3) == F.col("n") - 1, F.lit(False))
+    want = F.when(~market, number("first_comment", 1)).when(plain, F.col("n") - 1).otherwise(number("last_comment", 3))
+    sums = sums.select("file", "n", F.when(plain, F.col("first")).alias("skip"), want.alias("want"))
+    wrong = F.concat(F.lit("entries "), (F.col("n") - F.col("skip").isNotNull().cast("long")).cast("string"), F.lit(", size line "), F.coalesce(F.col("want").cast("string"), F.lit("none")), F.lit(": "), F.col("file"))
+    fine = F.coalesce(F.col("want") == F.col("n") - F.col("skip").isNotNull().cast("long"), F.lit(False))
+    sums = sums.select("file", "skip", F.when(fine, F.lit(True)).otherwise(F.raise_error(wrong).cast("boolean")).alias("fine"))
+    entries = lines.where("not comment").join(sums, "file").where("fine and (skip is null or at <> skip)")
+    parts = F.split("value", r"\s+")
+    return canonical(entries.select((parts[0].cast("long") - 1).alias("src"), (parts[1].cast("long") - 1).alias("dst")))
+
+
+def bipartite_tsv(spark: SparkSession, path: str, left: int | None = None) -> DataFrame:
+    """Pairs (left id, right id) of bipartite files; right ids come after the ``left`` left ones,
+    which each file's comment of three numbers (pairs, left, right) tells if it isn't given."""
+    parts = F.split("value", r"\s+")
+    lines = _numbered(spark, path)
+    if left is not None:
+        lines = lines.withColumn("left", F.lit(left))
+    else:
+        sized = F.when(F.col("comment") & F.col("value").rlike(_SIZES), F.col("at"))
+        count = F.regexp_extract(F.min_by("value", sized), r"^[%\s]*\d+\s+(\d+)", 1).try_cast("long")
+        heads = lines.groupBy("file").agg(count.alias("left"))
+        lines = lines.join(heads.select("file", F.coalesce("left", F.raise_error(F.concat(F.lit("no comment of three numbers: "), F.col("file"))).cast("long")).alias("left")), "file")
+    return canonical(lines.where("not comment").select(parts[0].cast("long").alias("src"), (parts[1].cast("long") + F.col("left")).alias("dst")))
 
 
 def gml(spark: SparkSession, path: str) -> DataFrame:
@@ -57,10 +90,17 @@ def adjacency_json(spark: SparkSession, path: str) -> DataFrame:
     return canonical(lists.select(F.col("src").cast("long").alias("src"), F.explode("near").alias("dst")))
 
 
+#: An edge of the arrow text, and the whole text: vertices, then edges.
+_ARC, _ARROWS = r"(?:Directed|Undirected)Edge\[\s*(\d+\s*,\s*\d+)\s*\]", r"(?s)^\s*Graph\[\s*\{[\d\s,]*\}\s*,\s*\{(.*)\}\s*\]\s*$"
+
+
 def arrow_graph(spark: SparkSession, path: str) -> DataFrame:
-    """Edges of ``Graph[{ids},{DirectedEdge[a, b],...}]``; opposite arcs are one edge."""
-    text = spark.read.text(path, wholetext=True)
-    arcs = F.regexp_extract_all("value", F.lit(r"DirectedEdge\[\s*(\d+\s*,\s*\d+)\s*\]"), 1)
+    """Edges of ``Graph[{ids},{DirectedEdge[a, b],...}]``; opposite arcs are one edge. A text of
+    another form, or with anything else between the edges, raises."""
+    text = spark.read.text(path, wholetext=True).select("value", F.regexp_extract("value", _ARROWS, 1).alias("body"))
+    left = F.regexp_replace(F.regexp_replace("body", _ARC, ""), r"[\s,]+", "")
+    fine = F.col("value").rlike(_ARROWS) & (left == "")
+    arcs = F.when(fine, F.regexp_extract_all("body", F.lit(_ARC), 1)).otherwise(F.raise_error(F.concat(F.lit("no arrow graph: "), F.substring(F.when(left == "", F.col("value")).otherwise(left), 1, 40))).cast("array<string>"))
     pair = F.split("arc", r"\s*,\s*")
     return canonical(text.select(F.explode(arcs).alias("arc")).select(pair[0].cast("long").alias("src"), pair[1].cast("long").alias("dst")))
 

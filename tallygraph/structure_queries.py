@@ -293,10 +293,27 @@ _RUNS = ", m AS (SELECT k FROM ph WHERE n_above >= 2 AND round(2.0 * e_above / (
 _ABOVE = ", ks AS (SELECT unnest(range(0, (SELECT max(degree) FROM deg))) AS k), dh AS (SELECT degree, count(*) AS n FROM deg GROUP BY 1), eh AS (SELECT least(du, dv) AS degree, count(*) AS n FROM ends GROUP BY 1), ph AS (SELECT k, (SELECT coalesce(sum(n), 0) FROM dh WHERE degree > k)::BIGINT AS n_above, (SELECT coalesce(sum(n), 0) FROM eh WHERE degree > k)::BIGINT AS e_above FROM ks)"
 
 
-@query(FULL + _ABOVE + _RUNS + ", o AS (SELECT *, row_number() OVER (ORDER BY length DESC, first DESC) AS i FROM rn) SELECT first, last, length FROM rn WHERE first = CASE WHEN (SELECT count(*) FROM rn) > 1 AND (SELECT length FROM o WHERE i = 1) < 1.5 * (SELECT length FROM o WHERE i = 2) THEN (SELECT max(first) FROM rn) ELSE (SELECT first FROM o WHERE i = 1) END")
+def regime_sql(marks: str) -> str:
+    """CTEs that end in rg (k_lower, k_upper, rule), from a table of (k, significant)."""
+    return f"""
+, g0 AS (SELECT k, significant AS s FROM {marks}),
+g1 AS (SELECT k, s FROM g0 WHERE k BETWEEN (SELECT min(k) FROM g0 WHERE s) AND (SELECT max(k) FROM g0 WHERE s)),
+g2 AS (SELECT k, s, coalesce(s <> lag(s) OVER (ORDER BY k), true)::INT AS turn FROM g1),
+g3 AS (SELECT k, s, sum(turn) OVER (ORDER BY k) AS run FROM g2),
+g4 AS (SELECT run, min(k) AS a, max(k) AS b, count(*) AS n, bool_and(s) AS s FROM g3 GROUP BY run),
+g5 AS (SELECT *, sum(CASE WHEN NOT s AND n >= 2 THEN 1 ELSE 0 END) OVER (ORDER BY run) AS piece FROM g4),
+g6 AS (SELECT piece, min(a) AS a, max(b) AS b, max(b) - min(a) AS len, count(*) FILTER (NOT s) AS lone FROM g5 WHERE s OR n = 1 GROUP BY piece),
+g7 AS (SELECT *, (SELECT count(*) FROM g6) AS pieces, (SELECT coalesce(max(len), 0) FROM g6 o WHERE o.piece <> g6.piece) AS other FROM g6),
+rg AS (SELECT a AS k_lower, b AS k_upper, CASE WHEN lone = 0 THEN 'whole' ELSE 'outliers' END AS rule FROM g7 WHERE pieces = 1 AND lone <= 2
+  UNION ALL SELECT a, b, 'longest' FROM g7 WHERE pieces > 1 AND len > 0 AND len >= 1.5 * other
+  UNION ALL SELECT a, b, 'uppermost' FROM g7 WHERE pieces > 1 AND piece = (SELECT max(piece) FROM g7) AND NOT EXISTS (SELECT 1 FROM g7 WHERE len > 0 AND len >= 1.5 * other))"""
+
+
+@query(FULL + _ABOVE + ", mk AS (SELECT k, round(2.0 * e_above / (n_above * (n_above - 1)), 6) >= 0.02 AS significant FROM ph WHERE n_above >= 2)" + regime_sql("mk") + " SELECT k_lower, k_upper, rule FROM rg")
 def rich_club_regime(spark, d):
-    marked = richclub.phi(trade.edges(spark, d)).where("round(phi, 6) >= 0.02").select("k")
-    return inference.regime(_cut(richclub.runs(marked, "k")))
+    """The regime of the thresholds whose club is two hundredths full or more."""
+    marks = richclub.phi(trade.edges(spark, d)).select("k", (F.round("phi", 6) >= 0.02).alias("significant"))
+    return inference.regime(_cut(marks))
 
 
 @query()

