@@ -97,7 +97,7 @@ def clique_census(edges: DataFrame, by: str, most: int = 12) -> DataFrame:
         grown = now.withColumn("last", F.element_at("c", -1)).join(e.toDF(by, "last", "x"), [by, "last"]).drop("last")
         for i in range(size - 1):
             grown = grown.withColumn("a", F.col("c")[i]).join(e.toDF(by, "a", "x"), [by, "a", "x"], "left_semi").drop("a")
-        grown = _cut(grown.select(by, F.array_append("c", "x").alias("c")))
+        grown = _cut(grown.select(by, F.array_append("c", F.col("x")).alias("c")))
         inside = grown.select(by, F.explode(F.transform(F.sequence(F.lit(0), F.lit(size)), lambda i: F.filter("c", lambda y, j: j != i))).alias("c")).distinct()
         held = now.join(inside, [by, "c"], "left_anti").groupBy(by).agg(F.count("*").alias("cliques")).select(by, F.lit(size).cast("long").alias("size"), "cliques")
         out = held if out is None else out.unionByName(held)

