@@ -317,14 +317,14 @@ def random_closure_law(spark, d):
     )
 
 
-@query(FULL.replace("WITH e AS (", "WITH e AS MATERIALIZED (") + ", tri AS MATERIALIZED (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst), p AS (SELECT a AS src, b AS dst FROM tri UNION SELECT a, c FROM tri UNION SELECT b, c FROM tri), x AS (SELECT 3::BIGINT AS size, (SELECT count(*) FROM tri) AS observed, true AS enriched UNION ALL SELECT 2, (SELECT count(*) FROM e ANTI JOIN p USING (src, dst)), false) SELECT size, observed, 8::BIGINT AS nulls, enriched FROM x WHERE observed > 0")
+@query(FULL.replace("WITH e AS (", "WITH e AS MATERIALIZED (") + ", tri AS MATERIALIZED (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst), p AS (SELECT a AS src, b AS dst FROM tri UNION SELECT a, c FROM tri UNION SELECT b, c FROM tri), x AS (SELECT 3::BIGINT AS size, (SELECT count(*) FROM tri) AS observed, true AS enriched UNION ALL SELECT 2, (SELECT count(*) FROM e ANTI JOIN p USING (src, dst)), false) SELECT size, observed, 4::BIGINT AS nulls, enriched FROM x WHERE observed > 0")
 def clique_enrichment(spark, d):
-    """Maximal cliques of the trade graph by size against eight rewirings that keep the colours; a size is
+    """Maximal cliques of the trade graph by size against four rewirings that keep the colours; a size is
     enriched three standard deviations above their mean."""
     e = _edges(spark, d)
     layer = degrees(e).select("id", (F.col("id") % 3).alias("layer"))
-    both = rewiring.rewired(e, 8, layer=layer).unionByName(e.select(F.lit(-1).cast("long").alias("null_id"), "src", "dst"))
+    both = rewiring.rewired(e, 4, layer=layer).unionByName(e.select(F.lit(-1).cast("long").alias("null_id"), "src", "dst"))
     got = _cut(triangles.clique_census(both, "null_id"))
     real, null = got.where("null_id = -1").select("size", "cliques"), got.where("null_id >= 0")
     table = audit.enrichment(real, null).where("real > 0")
-    return table.select("size", F.col("real").alias("observed"), F.lit(8).cast("long").alias("nulls"), (F.coalesce("z", F.lit(0.0)) > 3).alias("enriched"))
+    return table.select("size", F.col("real").alias("observed"), F.lit(4).cast("long").alias("nulls"), (F.coalesce("z", F.lit(0.0)) > 3).alias("enriched"))
