@@ -215,7 +215,7 @@ def sparse_spectrum(spark, d):
 
 @query()
 def leading_vector(spark, d):
-    """(rank, id, value): the network value, entries of the leading vector in falling order, the first thousand."""
+    """(id, value): the network value, entries of the leading vector in falling order, the first thousand."""
     top = lanczos.lanczos(lanczos.Matrix(_edges(spark, d)), 16)
     v = top.vectors([len(top.values) - 1]).select("id", F.abs("value").alias("value"))
     return rounded(v.orderBy(F.col("value").desc(), "id").limit(1_000), 6)
