@@ -5,7 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from tallygraph.operators import construct, rewiring, triangles
+from tallygraph.operators import construct, forests, paths, rewiring, triangles
 
 
 def _graph(spark, pairs):
@@ -64,3 +64,34 @@ def test_wedges_are_not_shuffled(spark, shuffled):
     got, n = shuffled(lambda: triangles.triangles(_graph(spark, pairs)))
     assert sorted(tuple(sorted(t)) for t in got) == sorted((a, b, 40 + c) for a, b in ((0, 1), (2, 3)) for c in range(40))
     assert all(b < c for _, b, c in got) and n < 15 * len(pairs)  # 31,200 wedges
+
+
+@pytest.mark.parametrize("held", [7, 1_000_000])
+@pytest.mark.parametrize("forests_", [1, 2])
+def test_thinned_edges_keep_every_cut(spark, monkeypatch, forests_, held):
+    import numpy as np
+
+    monkeypatch.setattr(paths, "HELD", held)
+    rng = np.random.default_rng(3)
+    pairs = {tuple(sorted(map(int, rng.integers(0, 30, 2)))) for _ in range(160)}
+    pairs = sorted((a, b, int(rng.integers(0, 4))) for a, b in pairs)
+    # Repeats, a turned edge and loops change nothing.
+    e = spark.createDataFrame(pairs + pairs[:20] + [(b, a, c) for a, b, c in pairs[20:30]], "src long, dst long, cost long")
+    got = [(r.src, r.dst) for r in paths.thinned(e, forests_).collect()]
+    assert len(got) == len(set(got)) and set(got) <= {(a, b) for a, b, _ in pairs if a < b}
+    for _ in range(300):
+        side = set(np.flatnonzero(rng.random(30) < rng.random()).tolist())
+        cut = [(c, a, b) for a, b, c in pairs if (a in side) != (b in side)]
+        kept = [(a, b) for a, b in got if (a in side) != (b in side)]
+        assert len(kept) >= min(forests_, len(cut)) and (not cut or min(cut)[1:] in kept)
+
+
+def test_rounds_of_components_and_forests_run_on_few_edges(spark, shuffled):
+    pairs = list(itertools.combinations(range(70), 2)) + [(100, 101), (101, 102)]
+    e = _graph(spark, pairs)
+    got, n = shuffled(lambda: paths.components(e))
+    assert got == [(i, 0) for i in range(70)] + [(i, 100) for i in (100, 101, 102)] and n < 2 * len(pairs)
+    got, n = shuffled(lambda: forests.spanning_forest(e.withColumn("w", F.col("src") + F.col("dst")), "w", False))
+    assert [r[:2] for r in got] == [(0, i) for i in range(1, 70)] + [(100, 101), (101, 102)] and n < 2 * len(pairs)
+    got, n = shuffled(lambda: forests.bridges(e))
+    assert got == [(100, 101), (101, 102)] and n < 4 * len(pairs)
