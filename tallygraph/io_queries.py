@@ -22,11 +22,12 @@ def _edges(spark, d):
 
 def _written(rows: DataFrame, line: Column, make) -> str:
     """A folder of texts, one a bucket of rows: ``make`` of the number of lines and the lines,
-    joined by line breaks, as columns n and body (and the bucket)."""
+    joined by line breaks, as columns n and body (and the bucket). Rows and not lines are dealt out, and
+    files are compressed."""
     path = scratch(rows.sparkSession)
     buckets = max(3, rows.count() // FILE)
-    texts = rows.select(F.pmod(F.xxhash64(*rows.columns), F.lit(buckets)).alias("bucket"), line.alias("line")).groupBy("bucket").agg(F.count("*").alias("n"), F.concat_ws("\n", F.collect_list("line")).alias("body"))
-    texts.select("bucket", make.alias("value")).write.partitionBy("bucket").text(path)
+    texts = rows.select(F.pmod(F.xxhash64(*rows.columns), F.lit(buckets)).alias("bucket"), "*").repartition("bucket").select("bucket", line.alias("line")).groupBy("bucket").agg(F.count("*").alias("n"), F.concat_ws("\n", F.collect_list("line")).alias("body"))
+    texts.select("bucket", make.alias("value")).write.partitionBy("bucket").option("compression", "gzip").text(path)
     return path
 
 
