@@ -1,11 +1,16 @@
 """What the plans hold between stages, and table forms where kernels had a ceiling."""
 
 import itertools
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallygraph.operators import construct, forests, paths, rewiring, triangles
+from tallygraph import queries
+from tallygraph.operators import construct, ensemble, forests, paths, rewiring, triangles
+from tallygraph.plans import audit
+
+DATA = "/root/testdata/sf0.001"
 
 
 def _graph(spark, pairs):
@@ -95,3 +100,29 @@ def test_rounds_of_components_and_forests_run_on_few_edges(spark, shuffled):
     assert [r[:2] for r in got] == [(0, i) for i in range(1, 70)] + [(100, 101), (101, 102)] and n < 2 * len(pairs)
     got, n = shuffled(lambda: forests.bridges(e))
     assert got == [(100, 101), (101, 102)] and n < 4 * len(pairs)
+
+
+def test_cliques_grow_without_wedges(spark, shuffled):
+    pairs = [(a, 40 + b) for a in range(40) for b in range(40)] + [(0, 1)]
+    e = _graph(spark, pairs).withColumn("g", F.lit(7).cast("long"))
+    got, n = shuffled(lambda: triangles.clique_census(e, "g"))
+    assert got == [(7, 2, 1600 - 80), (7, 3, 40)] and n < 30 * len(pairs)  # 31,200 wedges, and as many looked up
+    at = {r.vertex: (r.degree, r.cliques) for r in triangles.participation(e).collect()}
+    assert at[0] == (41, 40) and at[5] == (40, 40) and at[45] == (40, 39) and len(at) == 80
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are not here")
+@pytest.mark.parametrize("name", ["clique_census", "clique_participation", "fractional_cover"])
+def test_no_ceiling_of_edges(spark, monkeypatch, name):
+    import __spark_entry__  # noqa: F401  (registers all queries)
+
+    want = _rows(queries.QUERIES[name](spark, DATA))
+    monkeypatch.setattr(ensemble, "MOST_EDGES", 100)
+    assert _rows(queries.QUERIES[name](spark, DATA)) == want
+
+
+def test_heavy_hubs_take_their_edges_once(spark, shuffled):
+    rows = [(a, b, 1 + (a * b) % 5) for a, b in itertools.combinations(range(60), 2)]
+    e = spark.createDataFrame(rows, "src long, dst long, weight long")
+    got, n = shuffled(lambda: audit.heavy_hub_share(e.repartition(5, "src", "dst")))
+    assert got[0][0] == sum(w == 5 for *_, w in rows) and n < 1.8 * len(rows)
