@@ -3,10 +3,12 @@
 import itertools
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallygraph import queries
+from tallygraph.kernels import graphs as kernels
 from tallygraph.operators import construct, ensemble, forests, paths, rewiring, triangles
 from tallygraph.plans import audit
 
@@ -126,3 +128,29 @@ def test_heavy_hubs_take_their_edges_once(spark, shuffled):
     e = spark.createDataFrame(rows, "src long, dst long, weight long")
     got, n = shuffled(lambda: audit.heavy_hub_share(e.repartition(5, "src", "dst")))
     assert got[0][0] == sum(w == 5 for *_, w in rows) and n < 1.8 * len(rows)
+
+
+@pytest.fixture
+def pieces(spark, monkeypatch):
+    """Two components for the kernels and one above their limit, which goes by joins; and the pairs."""
+    monkeypatch.setattr(ensemble, "MOST_EDGES", 60)
+    monkeypatch.setattr(ensemble, "MOST_PAIRS", 900)
+    rng = np.random.default_rng(3)
+    pairs = {(i, i + 1) for i in range(100, 139)} | {(min(a, b), max(a, b)) for a, b in rng.integers(100, 140, (60, 2)).tolist() if a != b}
+    return sorted(pairs | {(i, i + 1) for i in range(9)} | {(i, j) for i in range(20, 29) for j in range(i) if j >= 20})
+
+
+def _dense(pairs):
+    ids = np.unique(np.array(pairs))
+    at = np.searchsorted(ids, np.array(pairs))
+    return ids, kernels.Csr(len(ids), at[:, 0], at[:, 1])
+
+
+def test_distances_without_a_ceiling(spark, pieces):
+    ids, g = _dense(pieces)
+    want = dict(enumerate(kernels.reach_counts(g, np.arange(g.n)).tolist()))
+    got = {r.d: r.pairs for r in ensemble.distance_histogram(_graph(spark, pieces)).collect()}
+    assert got == {d: n for d, n in want.items() if d}
+    some = ensemble._sources(g.n, 7, 42)
+    want = dict(enumerate(kernels.reach_counts(g, some).tolist()))
+    assert {r.d: r.pairs for r in ensemble.distance_histogram(_graph(spark, pieces), 7).collect()} == {d: n for d, n in want.items() if d}
