@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygraph import queries
 from tallygraph.kernels import graphs as kernels
-from tallygraph.operators import construct, ensemble, forests, paths, rewiring, triangles
+from tallygraph.operators import construct, ensemble, forests, paths, rewiring, structure, triangles
 from tallygraph.plans import audit
 
 DATA = "/root/testdata/sf0.001"
@@ -154,3 +154,34 @@ def test_distances_without_a_ceiling(spark, pieces):
     some = ensemble._sources(g.n, 7, 42)
     want = dict(enumerate(kernels.reach_counts(g, some).tolist()))
     assert {r.d: r.pairs for r in ensemble.distance_histogram(_graph(spark, pieces), 7).collect()} == {d: n for d, n in want.items() if d}
+
+
+def test_betweenness_without_a_ceiling(spark, pieces):
+    ids, g = _dense(pieces)
+    want = kernels.brandes(g, np.arange(g.n)) / ((g.n - 1) * (g.n - 2))
+    got = {r.vertex: r.betweenness for r in ensemble.betweenness(_graph(spark, pieces)).collect()}
+    assert [got[i] for i in range(g.n)] == pytest.approx(want.tolist())
+
+
+def test_boxes_without_a_ceiling(spark, pieces):
+    _, g = _dense(pieces)
+    got = {r.radius: r.boxes for r in ensemble.box_counts(_graph(spark, pieces), [1, 2]).collect()}
+    assert got == {r: kernels.boxes(g, r) for r in (1, 2)}
+
+
+def test_best_partition_without_a_ceiling(spark, pieces):
+    e = _graph(spark, pieces)
+    ids, g = _dense(pieces)
+    at = np.searchsorted(ids, np.array(pieces))
+    got = structure.best_partition(e, ensemble.louvain(e, [1.0], 2).drop("gamma")).collect()
+    label = dict((r.vertex, r.label) for r in got)
+    assert sorted(label) == list(range(g.n))
+
+    def modularity(x):
+        inside, ends = np.mean([x[a] == x[b] for a, b in at]), {}
+        for v in at.ravel():
+            ends[x[v]] = ends.get(x[v], 0) + 1
+        return inside - sum((d / at.size) ** 2 for d in ends.values())
+
+    best = max(modularity(kernels.louvain(g.n, at[:, 0], at[:, 1], 1.0, 42 + r)) for r in range(2))
+    assert got[0].modularity == pytest.approx(modularity(label)) and got[0].modularity >= 0.95 * best
