@@ -45,8 +45,7 @@ def random_closure(edges: DataFrame, colours: DataFrame, quota: int, beta: float
     stopped by colour alone, legal, taken, and the mean degree of the centres drawn over
     the mean of the graph's (the bias)."""
     spark = edges.sparkSession
-    near = both_ways(edges).join(colours.toDF("other", "colour"), "other")
-    near = _cut(near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("other")) - 1))
+    near = both_ways(edges)
     deg = _cut(degrees(edges))
     weights = _cut(deg.where("degree > 1").withColumn("mass", F.pow(F.col("degree").cast("double"), F.lit(float(beta)))))
     have, taken, record = edges.select("src", "dst"), None, []
@@ -59,13 +58,20 @@ def random_closure(edges: DataFrame, colours: DataFrame, quota: int, beta: float
         i = F.floor(unit(seed, r, "id", "draw", 1) * F.col("degree"))
         j = F.floor(unit(seed, r, "id", "draw", 2) * (F.col("degree") - 1))
         drawn = _cut(drawn.withColumn("i", i.cast("int")).withColumn("j", (j + (j >= i).cast("int")).cast("int")))
-        side = lambda k, o, c: near.select("id", F.col("rank").alias(k), F.col("other").alias(o), F.col("colour").alias(c))
+        # Only the centres drawn rank their neighbours; a table of the draws' size is broadcast, the edges stay.
+        here = near.join(drawn.select("id").distinct(), "id", "left_semi")
+        ranked = here.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("other")) - 1)
+        asked = drawn.select("id", F.col("i").alias("rank")).unionByName(drawn.select("id", F.col("j").alias("rank"))).distinct()
+        ends = _cut(ranked.join(asked, ["id", "rank"]))
+        ends = _cut(colours.toDF("other", "colour").join(ends, "other"))
+        side = lambda k, o, c: ends.select("id", F.col("rank").alias(k), F.col("other").alias(o), F.col("colour").alias(c))
         pairs = drawn.join(side("i", "u", "cu"), ["id", "i"]).join(side("j", "v", "cv"), ["id", "j"])
         h = F.xxhash64(F.lit(seed), F.lit(r), "id", "draw", F.lit(3))
         pairs = pairs.select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst"), (F.col("cu") == F.col("cv")).alias("same"), (unit(seed, r, "id", "draw", 4) < loose).alias("pass"), h.alias("h"))
         # Of draws of one pair the first stands for all; any that may pass the colour lets it.
         once = pairs.groupBy("src", "dst").agg(F.first("same").alias("same"), F.max("pass").alias("pass"), F.min("h").alias("h"))
-        fresh = _cut(once.join(have, ["src", "dst"], "left_anti"))
+        once = _cut(once)
+        fresh = _cut(once.join(_cut(have.join(once.select("src", "dst"), ["src", "dst"], "left_semi")), ["src", "dst"], "left_anti"))
         legal = fresh.where(~F.col("same") | F.col("pass"))
         new = _cut(legal.orderBy("h", "src", "dst").limit(rest).select("src", "dst"))
         got, fine, all_ = new.count(), legal.count(), fresh.count()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygraph import queries
 from tallygraph.kernels import graphs as kernels
-from tallygraph.operators import construct, ensemble, forests, paths, rewiring, structure, triangles
+from tallygraph.operators import communities, construct, ensemble, forests, growth, paths, rewiring, structure, triangles
 from tallygraph.plans import audit
 
 DATA = "/root/testdata/sf0.001"
@@ -137,7 +137,7 @@ def pieces(spark, monkeypatch):
     monkeypatch.setattr(ensemble, "MOST_PAIRS", 900)
     rng = np.random.default_rng(3)
     pairs = {(i, i + 1) for i in range(100, 139)} | {(min(a, b), max(a, b)) for a, b in rng.integers(100, 140, (60, 2)).tolist() if a != b}
-    return sorted(pairs | {(i, i + 1) for i in range(9)} | {(i, j) for i in range(20, 29) for j in range(i) if j >= 20})
+    return sorted(pairs | {(i, i + 1) for i in range(9)} | {(i, j) for j in range(20, 29) for i in range(20, j)})
 
 
 def _dense(pairs):
@@ -185,3 +185,25 @@ def test_best_partition_without_a_ceiling(spark, pieces):
 
     best = max(modularity(kernels.louvain(g.n, at[:, 0], at[:, 1], 1.0, 42 + r)) for r in range(2))
     assert got[0].modularity == pytest.approx(modularity(label)) and got[0].modularity >= 0.95 * best
+
+
+def test_closure_without_a_ceiling(spark, pieces):
+    e = _graph(spark, pieces)
+    colours = spark.createDataFrame([(int(i), int(i) % 3) for i in np.unique(np.array(pieces))], "id long, colour long")
+    after, record = growth.random_closure(e, colours, 20)
+    new = {tuple(r) for r in after.collect()} - set(pieces)
+    assert record.columns == ["round", "drawn", "legal", "stopped", "taken"] and len(new) == 20 == record.agg(F.sum("taken")).first()[0]
+    near = {}
+    for a, b in pieces:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    assert all((a - b) % 3 and near[a] & near[b] for a, b in new)
+
+
+def test_fans_hold_no_relation_in_a_group(spark):
+    e = _graph(spark, [(a, 100 + b) for a in range(30) for b in range(a % 5 + 1)])
+    labels = spark.createDataFrame([(i, i % 2 if i < 100 else 2) for i in [*range(30), *range(100, 105)]], "id long, label long")
+    df = communities.bundle_fans(e, labels)
+    assert _rows(df) == [(0, 2, 45, 15, 5), (1, 2, 45, 15, 5)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "distinct" not in plan.lower()
