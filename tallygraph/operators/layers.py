@@ -76,30 +76,38 @@ def pixel_errors(pairs: DataFrame) -> DataFrame:
     return d.select("id", (100 * F.col("l1")).alias("l1"), F.when(F.col("mse") > 0, -10 * F.log10("mse")).alias("psnr"))
 
 
-def fingerprint_match(prints: DataFrame, rows: DataFrame, most: int = 4_096) -> DataFrame:
+def fingerprint_match(prints: DataFrame, rows: DataFrame, most: int = 1_024) -> DataFrame:
     """(print_id, vec_id, distance): each print's nearest row by L2, ties to the smaller
-    id. At most ``most`` prints, so each task holds them and keeps a running best."""
-    got = prints.select("print_id", "vec").limit(most + 1).toPandas()
-    if len(got) > most:
-        raise ValueError(f"more than {most} prints")
+    id. Prints go to the tasks in blocks of about ``most``; a task keeps a running best and compares
+    one print at a time with a batch, so it holds no distances but a batch's."""
+    blocks = max(1, -(-prints.count() // most))
+    best = [_nearest(prints.where(F.pmod(F.xxhash64("print_id"), F.lit(blocks)) == i), rows) for i in range(blocks)]
+    out = best[0]
+    for more in best[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("print_id").agg(F.min(F.struct("distance", "vec_id")).alias("m")).select("print_id", "m.vec_id", "m.distance")
+
+
+def _nearest(prints: DataFrame, rows: DataFrame) -> DataFrame:
+    got = prints.select("print_id", "vec").toPandas()
     ids, p = got.print_id.to_numpy(), np.array(got.vec.tolist(), float)
 
     def go(batches):
         best, which = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
         for b in batches:
-            if len(b) and len(ids):
-                x, v = np.array(b.vec.tolist(), float), b.vec_id.to_numpy()
-                d = np.sqrt(((p[:, None] - x[None]) ** 2).sum(2)) if len(ids) * x.size < 1 << 22 else np.stack([np.sqrt(((q - x) ** 2).sum(1)) for q in p])
-                order = np.lexsort((np.broadcast_to(v, d.shape), d))[:, 0]
-                low = d[np.arange(len(ids)), order]
-                better = (low < best) | ((low == best) & (v[order] < which))
-                best, which = np.where(better, low, best), np.where(better, v[order], which)
+            x, v = np.array(b.vec.tolist(), float), b.vec_id.to_numpy()
+            for i, q in enumerate(p if len(b) else ()):
+                d = np.sqrt(((q - x) ** 2).sum(1))
+                low = np.nanmin(d, initial=np.inf)
+                if low <= best[i] and np.isfinite(low):
+                    first = v[d == low].min()
+                    which[i] = first if low < best[i] else min(first, which[i])
+                    best[i] = low
         on = np.isfinite(best)
         yield pd.DataFrame({"print_id": ids[on], "vec_id": which[on], "distance": best[on]})
 
     ship(rows.sparkSession)
-    best = rows.select("vec_id", "vec").mapInPandas(go, "print_id long, vec_id long, distance double")
-    return best.groupBy("print_id").agg(F.min(F.struct("distance", "vec_id")).alias("m")).select("print_id", "m.vec_id", "m.distance")
+    return rows.select("vec_id", "vec").mapInPandas(go, "print_id long, vec_id long, distance double")
 
 
 def _ssim(a: np.ndarray, b: np.ndarray, size: int = 7) -> float:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygraph import queries
 from tallygraph.kernels import graphs as kernels
-from tallygraph.operators import communities, construct, ensemble, forests, growth, paths, rewiring, structure, triangles
+from tallygraph.operators import communities, construct, ensemble, forests, growth, layers, paths, rewiring, structure, triangles
 from tallygraph.plans import audit
 
 DATA = "/root/testdata/sf0.001"
@@ -207,3 +207,12 @@ def test_fans_hold_no_relation_in_a_group(spark):
     assert _rows(df) == [(0, 2, 45, 15, 5), (1, 2, 45, 15, 5)]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "distinct" not in plan.lower()
+
+
+def test_prints_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    p, x = rng.integers(0, 4, (40, 3)).astype(float), rng.integers(0, 4, (90, 3)).astype(float)
+    prints = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(p)], "print_id long, vec array<double>")
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vec array<double>").repartition(3)
+    d = np.sqrt(((p[:, None] - x[None]) ** 2).sum(2))
+    assert _rows(layers.fingerprint_match(prints, rows, 7)) == [(i, int(d[i].argmin()), d[i].min()) for i in range(40)]
