@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygraph import queries
 from tallygraph.kernels import graphs as kernels
-from tallygraph.operators import communities, construct, ensemble, forests, growth, layers, paths, rewiring, structure, triangles
+from tallygraph.operators import communities, construct, ensemble, forests, growth, layers, paths, rewiring, structure, tiles, triangles
 from tallygraph.plans import audit
 
 DATA = "/root/testdata/sf0.001"
@@ -216,3 +216,19 @@ def test_prints_in_blocks(spark):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vec array<double>").repartition(3)
     d = np.sqrt(((p[:, None] - x[None]) ** 2).sum(2))
     assert _rows(layers.fingerprint_match(prints, rows, 7)) == [(i, int(d[i].argmin()), d[i].min()) for i in range(40)]
+
+
+def test_sums_over_tiles_leave_the_edges(spark, shuffled, monkeypatch):
+    monkeypatch.setattr(tiles, "ENDS", 2_000)
+    rng = np.random.default_rng(1)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 100, (9_000, 2)).tolist() if a != b})
+    ends = np.array(pairs + [(b, a) for a, b in pairs])
+    t = tiles.Tiles(spark.createDataFrame(ends.tolist(), "id long, other long"), len(ends))
+    t.near.count()
+    values = spark.range(99).select("id", (F.col("id") / 7).alias("x"), F.xxhash64("id").alias("h")).localCheckpoint()  # one has none
+    got, n = shuffled(lambda: t.sums(values))
+    x, h = np.append(np.arange(99) / 7, 0), {r.id: r.h for r in values.collect()}
+    assert [r[1] for r in got] == pytest.approx([x[ends[ends[:, 0] == i, 1]].sum() for i in range(100)])
+    assert [int(r[2]) for r in got] == [sum(h.get(o, 0) for o in ends[ends[:, 0] == i, 1].tolist()) % 2**64 for i in range(100)]
+    assert n <= 2 * t.side * 100 < len(ends) / 5
+    t.close()
