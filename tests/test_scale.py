@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygraph import queries
 from tallygraph.kernels import graphs as kernels
-from tallygraph.operators import communities, construct, ensemble, forests, growth, layers, paths, rewiring, structure, tiles, triangles
+from tallygraph.operators import communities, construct, ensemble, forests, growth, layers, paths, rewiring, sketches, structure, tiles, triangles
 from tallygraph.plans import audit
 
 DATA = "/root/testdata/sf0.001"
@@ -232,3 +232,21 @@ def test_sums_over_tiles_leave_the_edges(spark, shuffled, monkeypatch):
     assert [int(r[2]) for r in got] == [sum(h.get(o, 0) for o in ends[ends[:, 0] == i, 1].tolist()) % 2**64 for i in range(100)]
     assert n <= 2 * t.side * 100 < len(ends) / 5
     t.close()
+
+
+def test_sketches_are_not_sent_along_edges(spark, shuffled):
+    pairs = [(a, 60 + b) for a in range(60) for b in range(60)]
+    got, n = shuffled(lambda: sketches.neighbourhood(_graph(spark, pairs)))
+    assert got == [(1, 2 * len(pairs)), (2, 120 * 119 - 2 * len(pairs))]  # degrees and whole components need no estimate
+    assert n < 4 * len(pairs)  # both ends once, not once a round
+
+
+def test_boxes_are_checked_inside_ranges(spark, shuffled):
+    pairs = [(a, 60 + b) for a in range(60) for b in range(60)] + [(1, 200)]
+    e = _graph(spark, pairs)
+    got, n = shuffled(lambda: sketches.box_cover(e, 2))
+    assert len(got) == 121 and n < 6 * len(pairs)
+    boxes = spark.createDataFrame([(i, 0, 0) for i in range(120)] + [(200, 200, 0)], "id long, centre long, distance int")
+    assert sketches.check_cover(e, boxes, 2) == (0, 0)
+    boxes = spark.createDataFrame([(i, 0, 0) for i in range(119)] + [(119, 119, 0), (200, 0, 0)], "id long, centre long, distance int")
+    assert sketches.check_cover(e, boxes, 2) == (1, 2)
