@@ -2,7 +2,7 @@
 their input, and an append-only log that takes each key once.
 
 Each runs until its input is used up (``availableNow``) and keeps its offsets and
-state under ``where``, so a later call goes on from there.
+state, or counts, under ``where``, so a later call goes on from there.
 """
 
 from __future__ import annotations
@@ -46,16 +46,28 @@ def event_windows(events: DataFrame, where: str, late: str = "1 day") -> DataFra
     return latest(totals(rows, where), ["start", "event_type"])
 
 
+def counted(rows: DataFrame, keys: list[str], name: str, where: str) -> DataFrame:
+    """(keys..., name): how many rows of the stream have each key. Counts add up, so no state is held: a batch
+    writes its own counts, again if it runs again, and the result is their sum."""
+    spark, keep = rows.sparkSession, where.rstrip("/")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*keys).agg(F.count("*").alias(name)).write.mode("overwrite").parquet(f"{keep}/out/batch={number:09d}")
+
+    rows.writeStream.option("checkpointLocation", f"{keep}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    written = spark.read.option("basePath", f"{keep}/out").parquet(f"{keep}/out/*")
+    return written.groupBy(*keys).agg(F.sum(name).alias(name))
+
+
 def edge_weights(pairs: DataFrame, where: str) -> DataFrame:
     """(src, dst, weight) of a stream of pairs in any order of their ends."""
-    g = pairs.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count("*").alias("weight"))
-    return latest(totals(g, where), ["src", "dst"])
+    ends = pairs.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return counted(ends, ["src", "dst"], "weight", where)
 
 
 def degrees(edges: DataFrame, where: str) -> DataFrame:
     """(id, degree) of a stream of distinct edges."""
-    g = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    return latest(totals(g, where), ["id"])
+    return counted(edges.select(F.explode(F.array("src", "dst")).alias("id")), ["id"], "degree", where)
 
 
 def log(spark: SparkSession, folder: str, schema: str, key: str, where: str) -> DataFrame:

@@ -300,3 +300,13 @@ def test_streams_resume(spark, tmp_path):
     assert grow() == {0: 1, 1: 2, 2: 1}
     spark.createDataFrame([(1, 3)], schema).coalesce(1).write.mode("append").parquet(str(src))
     assert grow() == {0: 1, 1: 3, 2: 1, 3: 1}
+
+
+def test_streamed_weights_hold_no_state(spark, tmp_path):
+    src, where = tmp_path / "in", tmp_path / "out"
+    schema = "src long, dst long"
+    for pairs, want in (([(1, 2), (2, 1), (3, 3)], {(1, 2): 2}), ([(2, 1), (1, 4)], {(1, 2): 3, (1, 4): 1})):
+        spark.createDataFrame(pairs, schema).coalesce(1).write.mode("append").parquet(str(src))
+        got = tables.edge_weights(spark.readStream.schema(schema).parquet(str(src)), str(where)).collect()
+        assert {(r.src, r.dst): r.weight for r in got} == want
+    assert not (where / "state" / "state").exists()
