@@ -421,3 +421,26 @@ def test_recurrent_messages(spark):
     got = {(r.round, r.id): r.value for r in layers.recurrent(e, base, 2, (1,)).collect()}
     # Round 1: a2 = 1, a1 = 1, a3 = 1 + 1 = 2. Round 2: a2 = 1 + 2, a1 = 1 + 2, a3 = 3 + 3.
     assert got == {(1, 2): 2.0, (2, 0): 3.0, (2, 1): 3.0, (2, 2): 6.0}
+
+
+def test_swapped_parent_edges_move_once_a_label(spark):
+    labels = spark.createDataFrame([(i, 0, i // 6, 0) for i in range(24)], "id long, outer long, middle long, inner long")
+    some = [x for x in rings() if x[:2] not in ((0, 5), (6, 11))]
+    w = weighted(spark, some).persist()
+    parent = table(spark, [(a * 20 + i, b * 20 + j) for a, b, _ in some for i in range(20) for j in range(20) if (i + j) % 2]).persist()
+    vertices = spark.createDataFrame([(v, v // 20, v % 2) for v in range(480)], "id long, label long, colour long")
+    store, m = spark.sparkContext._jsc.sc().statusStore(), parent.count()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    def sent():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+        return sum(s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages))
+
+    before = sent()
+    lifted = display.swap_and_lift(parent, vertices, w.select("src", "dst"), w, labels, 2)[0].collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    pairs = {(a // 20, b // 20) for a, b in lifted}
+    assert {(0, 5), (6, 11)} <= pairs and len(lifted) == len(set(map(tuple, lifted)))
+    assert sent() - before < 6 * m
