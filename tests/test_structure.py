@@ -310,3 +310,25 @@ def test_streamed_weights_hold_no_state(spark, tmp_path):
         got = tables.edge_weights(spark.readStream.schema(schema).parquet(str(src)), str(where)).collect()
         assert {(r.src, r.dst): r.weight for r in got} == want
     assert not (where / "state" / "state").exists()
+
+
+def test_baselines_above_the_kernels(spark, monkeypatch):
+    monkeypatch.setattr(structure, "MOST_EDGES", 100)
+    rng = np.random.default_rng(1)
+    e = frame(spark, rng.integers(0, 200, (900, 2)).tolist())
+    old = {(r.src, r.dst) for r in e.collect()}
+    n, m = len({v for x in old for v in x}), len(old)
+    degree = np.bincount([sorted({v for x in old for v in x}).index(v) for x in old for v in x], minlength=n)
+    rows = structure.baselines(e).collect()
+    for kind in generate.KINDS:
+        got = [(r.src, r.dst) for r in rows if r.kind == kind]
+        assert all(0 <= a < b < n for a, b in got) and len(set(got)) == len(got)
+        assert len(got) == m if kind in ("uniform", "geometric", "blocks", "rewired") else 0.7 * m < len(got) < 1.25 * m
+        own = np.bincount(np.array(got).ravel(), minlength=n)
+        if kind == "rewired":
+            assert (own == degree).all()
+        if kind in ("configuration", "chung_lu", "block_degrees"):
+            assert np.corrcoef(own, degree)[0, 1] > 0.5
+        if kind == "blocks":
+            assert 0.7 < np.mean([a * 4 // n == b * 4 // n for a, b in got]) < 0.9
+    assert len([r for r in structure.baselines(frame(spark, [(i, j) for i in range(20) for j in range(i)]), ("uniform", "geometric")).collect()]) == 2 * 190
