@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygraph import queries
 from tallygraph.kernels import graphs as kernels
-from tallygraph.operators import communities, construct, ensemble, forests, growth, layers, paths, rewiring, sketches, structure, tiles, triangles
+from tallygraph.operators import colouring, communities, construct, ensemble, forests, growth, layers, paths, rewiring, sketches, structure, tiles, triangles
 from tallygraph.plans import audit
 
 DATA = "/root/testdata/sf0.001"
@@ -250,3 +250,13 @@ def test_boxes_are_checked_inside_ranges(spark, shuffled):
     assert sketches.check_cover(e, boxes, 2) == (0, 0)
     boxes = spark.createDataFrame([(i, 0, 0) for i in range(119)] + [(119, 119, 0), (200, 0, 0)], "id long, centre long, distance int")
     assert sketches.check_cover(e, boxes, 2) == (1, 2)
+
+
+def test_colours_are_checked_in_words(spark, shuffled):
+    pairs = list(itertools.combinations(range(70), 2))
+    e, c = _graph(spark, pairs), spark.createDataFrame([(i, i) for i in range(70)], "id long, colour int")
+    got, n = shuffled(lambda: colouring.check(e, c))
+    assert got == [(i, i, 0, i) for i in range(70)] and n < 2.5 * len(pairs)
+    c = spark.createDataFrame([(i, max(i, 1) + (i == 69)) for i in range(70)], "id long, colour int")
+    got = {r.id: (r.clashes, r.lesser) for r in colouring.check(e, c).collect()}
+    assert got[0] == got[1] == (1, 0) and got[2] == (0, 1) and got[69] == (0, 68)
