@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygraph import queries
 from tallygraph.kernels import graphs as kernels
-from tallygraph.operators import colouring, communities, construct, ensemble, forests, growth, layers, paths, rewiring, sketches, structure, tiles, triangles
+from tallygraph.operators import colouring, communities, construct, ensemble, forests, growth, layers, partition, paths, rewiring, sketches, structure, tiles, triangles
 from tallygraph.plans import audit
 
 DATA = "/root/testdata/sf0.001"
@@ -260,3 +260,32 @@ def test_colours_are_checked_in_words(spark, shuffled):
     c = spark.createDataFrame([(i, max(i, 1) + (i == 69)) for i in range(70)], "id long, colour int")
     got = {r.id: (r.clashes, r.lesser) for r in colouring.check(e, c).collect()}
     assert got[0] == got[1] == (1, 0) and got[2] == (0, 1) and got[69] == (0, 68)
+
+
+def test_partitions_send_no_table_through_the_driver(spark):
+    """And both ends of the edges are not shuffled once a round."""
+    pairs = [(20 * r + i, 20 * r + j) for r in range(6) for i in range(20) for j in range(i)] + [(20 * r, 20 * ((r + 1) % 6)) for r in range(6)]
+    blocks = spark.createDataFrame([(i, i // 60) for i in range(130)], "id long, block long")
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def plans():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return {x.executionId(): x.physicalPlanDescription() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executionsList())}
+
+    before = plans()
+    got = {r.id: r.label for r in partition.leiden(_graph(spark, pairs), 0.3, "potts", blocks).collect()}
+    new = [p for k, p in plans().items() if k not in before]
+    assert got == {i: i // 20 * 20 for i in range(120)}
+    assert new and not any("Broadcast" in p for p in new)
+
+
+def test_partition_rounds_shuffle_vertices(spark, shuffled):
+    pairs = list(itertools.combinations(range(120), 2))
+    nodes, near = partition.start(_graph(spark, pairs), 0.3, "potts")
+    near.near.count()
+    labelled = nodes.withColumn("label", F.col("id") % 2).localCheckpoint()
+    got, n = shuffled(lambda: partition._step(near, labelled, 0, 2).select("id", "part"))
+    assert len(got) == 120 and n < len(pairs) / 10
+    got, n = shuffled(lambda: partition.refine(near, labelled, 1))
+    assert len(got) == 120 and n < len(pairs) / 2
+    near.close()
