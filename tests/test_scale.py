@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tallygraph import queries
 from tallygraph.kernels import graphs as kernels
-from tallygraph.operators import colouring, communities, construct, ensemble, forests, growth, layers, partition, paths, rewiring, sketches, structure, tiles, triangles
+from tallygraph.operators import colouring, communities, construct, ensemble, forests, growth, layers, matching, partition, paths, rewiring, sketches, structure, tiles, triangles
+from tallygraph.operators.ranges import Ranges
 from tallygraph.plans import audit
 
 DATA = "/root/testdata/sf0.001"
@@ -289,3 +290,18 @@ def test_partition_rounds_shuffle_vertices(spark, shuffled):
     got, n = shuffled(lambda: partition.refine(near, labelled, 1))
     assert len(got) == 120 and n < len(pairs) / 2
     near.close()
+
+
+def test_matchings_shuffle_edges_once(spark, shuffled):
+    pairs = list(itertools.product(range(60), range(100, 170)))  # ten stay without a mate
+    e = _graph(spark, pairs)
+    got, n = shuffled(lambda: matching.double_cover(e)[0])
+    assert len({a for a, _ in got}) == len({b for _, b in got}) == len(got) == 120 and set(map(tuple, map(sorted, got))) <= set(pairs)
+    assert n < 6 * len(pairs)  # both ends once, and vertices; no layer sends edges
+    near = Ranges(e)
+    x, y = matching.fractional(e, near)
+    assert matching.check(near, x, y) == (0, 0)
+    x = spark.createDataFrame([(0, 100, 1.0), (0, 1, 0.5), (1, 500, 0.5)], "src long, dst long, x double")
+    y = spark.createDataFrame([(i, 1.0 if i else 0.5) for i in range(60)] + [(100 + i, 0.0) for i in range(70)], "id long, y double")
+    assert matching.check(near, x, y) == (2, 70)
+    near.close()
