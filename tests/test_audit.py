@@ -444,3 +444,29 @@ def test_swapped_parent_edges_move_once_a_label(spark):
     pairs = {(a // 20, b // 20) for a, b in lifted}
     assert {(0, 5), (6, 11)} <= pairs and len(lifted) == len(set(map(tuple, lifted)))
     assert sent() - before < 6 * m
+
+
+def test_lifted_pairs_come_from_all_members(spark, monkeypatch):
+    monkeypatch.setattr(display, "ENDS", 50)
+    rng = np.random.default_rng(5)
+    colour = lambda v: v % 3
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 200, (500, 2)) if a < b} | {(48, z) for z in range(150, 170)} | {(99, z) for z in range(150, 170)} | {(47, z) for z in range(150, 160)}
+    pairs |= {(v, 300) for v in range(100)} - {(48, 99)}
+    label = {v: v // 50 for v in range(200)} | {300: 4, 400: 5, 401: 5, 403: 6, 404: 6}
+    vertices = spark.createDataFrame([(v, k, colour(v)) for v, k in label.items()], "id long, label long, colour long")
+    ends = spark.createDataFrame([(u, label[u], colour(u), z) for a, b in pairs for u, z in ((a, b), (b, a))], "id long, label long, colour long, z long")
+    near = {v: {z for a, b in pairs for u, z in ((a, b), (b, a)) if u == v} for v in label}
+    asked = [(0, 1), (0, 2), (1, 3), (5, 6), (0, 6)]
+    want = {min((-len(near[u] & near[w]), u, w) for u in label for w in label if (label[u], label[w]) == p and colour(u) != colour(w))[1:] for p in asked}
+    got = display.best_joins(spark.createDataFrame(asked, "a long, b long"), vertices, ends).collect()
+    assert {tuple(r) for r in got} == {tuple(sorted(p)) for p in want} and any(u % 50 >= 30 for u, _ in want)
+
+
+def test_swap_tries_members_beyond_the_thirtieth(spark):
+    labels = spark.createDataFrame([(i, 0, i // 6, 0) for i in range(24)], "id long, outer long, middle long, inner long")
+    w = weighted(spark, [x for x in rings() if x[:2] not in ((0, 5), (6, 11))])
+    of = lambda label, i: label * 40 + i
+    parent = table(spark, [(of(2, i), of(0, 37)) for i in range(9)] + [(of(2, i), of(5, 38)) for i in range(9)])
+    vertices = spark.createDataFrame([(v, v // 40, v % 2) for v in range(960)], "id long, label long, colour long")
+    lifted = display.swap_and_lift(parent, vertices, w.select("src", "dst"), w, labels, 2)[0].collect()
+    assert (of(0, 37), of(5, 38)) in {tuple(sorted(r)) for r in lifted}
