@@ -2,6 +2,7 @@
 
 import itertools
 import os
+import time
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallygraph import queries
 from tallygraph.kernels import graphs as kernels
+from tallygraph.kernels import structure as kernels_of_structure
 from tallygraph.operators import colouring, communities, construct, ensemble, forests, growth, layers, matching, partition, paths, rewiring, sketches, structure, tiles, triangles
 from tallygraph.operators.ranges import Ranges
 from tallygraph.plans import audit
@@ -305,3 +307,24 @@ def test_matchings_shuffle_edges_once(spark, shuffled):
     y = spark.createDataFrame([(i, 1.0 if i else 0.5) for i in range(60)] + [(100 + i, 0.0) for i in range(70)], "id long, y double")
     assert matching.check(near, x, y) == (2, 70)
     near.close()
+
+
+def test_greedy_colours_without_a_ceiling(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pairs = [(100 * part + a, 100 * part + b) for part in range(3) for a, b in rng.integers(0, 30, (120, 2)).tolist() if a != b]
+    e = _graph(spark, pairs).distinct()
+    whole = _rows(structure.colouring(e))
+    monkeypatch.setattr(ensemble, "MOST_EDGES", 130)
+    assert _rows(structure.colouring(e)) == whole
+    monkeypatch.setattr(ensemble, "MOST_EDGES", 50)  # components too are larger
+    got = dict(_rows(structure.colouring(e)))
+    ids = {v: i for i, v in enumerate(sorted({x for p in pairs for x in p}))}
+    assert sorted(got) == sorted(ids.values()) and all(got[ids[a]] != got[ids[b]] for a, b in pairs)
+
+
+def test_saturation_is_not_quadratic():
+    n = 20_000
+    ring = np.array([(min(i, (i + 1) % n), max(i, (i + 1) % n)) for i in range(n)])
+    start = time.process_time()
+    assert set(kernels_of_structure.dsatur(kernels.Csr(n, *ring.T))) == {0, 1}
+    assert time.process_time() - start < 5
