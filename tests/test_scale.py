@@ -328,3 +328,24 @@ def test_saturation_is_not_quadratic():
     start = time.process_time()
     assert set(kernels_of_structure.dsatur(kernels.Csr(n, *ring.T))) == {0, 1}
     assert time.process_time() - start < 5
+
+
+def test_tiles_are_rewired_whole(spark, monkeypatch):
+    monkeypatch.setattr(rewiring, "TILE", 300)
+    rng = np.random.default_rng(4)
+    pairs = {(min(p), max(p)) for p in map(tuple, rng.integers(0, 90, (1_500, 2)).tolist()) if p[0] != p[1]}
+    e, layer = _graph(spark, pairs), spark.range(90).select("id", (F.col("id") % 2).alias("layer"))
+    for by in (None, layer):
+        nulls = rewiring.tiled(e, 2, layer=by).localCheckpoint()
+        for r in rewiring.check(e, nulls, by).collect():
+            assert (r.edges, r.loops, r.repeated, r.off_degree) == (len(pairs), 0, 0, 0) and r.kept < 0.6 * len(pairs)
+        assert _rows(rewiring.tiled(e, 2, layer=by)) == _rows(nulls) and len(set(_rows(nulls.select("src", "dst")))) > 1.3 * len(pairs)
+
+
+def test_layered_nulls_without_a_ceiling(spark, monkeypatch):
+    monkeypatch.setattr(ensemble, "MOST_EDGES", 100)
+    rng = np.random.default_rng(3)
+    e = _graph(spark, {(min(p), max(p)) for p in map(tuple, rng.integers(0, 60, (400, 2)).tolist()) if p[0] % 3 != p[1] % 3})
+    c = spark.range(60).select("id", (F.col("id") % 3).alias("colour"))
+    got = rewiring.check(e, structure.layered_nulls(e, c, 2), c).collect()
+    assert [(r.edges, r.loops, r.repeated, r.off_degree) for r in got] == [(e.count(), 0, 0, 0)] * 2
