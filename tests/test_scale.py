@@ -349,3 +349,15 @@ def test_layered_nulls_without_a_ceiling(spark, monkeypatch):
     c = spark.range(60).select("id", (F.col("id") % 3).alias("colour"))
     got = rewiring.check(e, structure.layered_nulls(e, c, 2), c).collect()
     assert [(r.edges, r.loops, r.repeated, r.off_degree) for r in got] == [(e.count(), 0, 0, 0)] * 2
+
+
+def test_null_rich_clubs_without_a_ceiling(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    e = _graph(spark, {(min(p), max(p)) for p in map(tuple, (60 * rng.random((500, 2)) ** 2).astype(int).tolist()) if p[0] != p[1]})
+    means = lambda df: {r.k: (r.n, r.phi) for r in df.groupBy("k").agg(F.count("*").alias("n"), F.avg("phi").alias("phi")).collect()}
+    few = means(ensemble.null_rich_clubs(e, 5))
+    monkeypatch.setattr(ensemble, "MOST_EDGES", 100)
+    any_ = means(ensemble.null_rich_clubs(e, 5))
+    assert any_.keys() == few.keys() and all(any_[k][0] == 5 for k in any_)
+    assert any_[0] == pytest.approx(few[0]) and all(any_[k][1] == pytest.approx(few[k][1], abs=0.25) for k in few)
+    assert sum(abs(any_[k][1] - few[k][1]) for k in few) / len(few) < 0.06
