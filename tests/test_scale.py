@@ -361,3 +361,14 @@ def test_null_rich_clubs_without_a_ceiling(spark, monkeypatch):
     assert any_.keys() == few.keys() and all(any_[k][0] == 5 for k in any_)
     assert any_[0] == pytest.approx(few[0]) and all(any_[k][1] == pytest.approx(few[k][1], abs=0.25) for k in few)
     assert sum(abs(any_[k][1] - few[k][1]) for k in few) / len(few) < 0.06
+
+
+def test_local_efficiency_without_a_ceiling(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    pairs = {(min(p), max(p)) for p in map(tuple, rng.integers(0, 60, (400, 2)).tolist()) if p[0] != p[1]}
+    pairs |= {(200, v) for v in range(201, 351)} | {(v, v + 1) for v in range(201, 350)} | {(400, 401)}  # paths of more than 64 steps
+    e = _graph(spark, pairs)
+    want = {r.vertex: r.efficiency for r in structure.local_efficiency(e).collect()}
+    monkeypatch.setattr(ensemble, "MOST_EDGES", 100)
+    monkeypatch.setattr(structure, "TRIANGLES", 500)
+    assert {r.vertex: r.efficiency for r in structure.local_efficiency(e).collect()} == pytest.approx(want)
