@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallygraph import queries
+from tallygraph import queries, table_queries  # noqa: F401
 from tallygraph.kernels import graphs as kernels
 from tallygraph.kernels import structure as kernels_of_structure
 from tallygraph.operators import colouring, communities, construct, ensemble, forests, growth, layers, matching, partition, paths, rewiring, sketches, structure, tiles, triangles
@@ -372,3 +372,9 @@ def test_local_efficiency_without_a_ceiling(spark, monkeypatch):
     monkeypatch.setattr(ensemble, "MOST_EDGES", 100)
     monkeypatch.setattr(structure, "TRIANGLES", 500)
     assert {r.vertex: r.efficiency for r in structure.local_efficiency(e).collect()} == pytest.approx(want)
+
+
+def test_enriched_cliques_shuffle_nulls_a_few_times(spark, shuffled):
+    m = queries.trade.edges(spark, DATA).count()
+    got, n = shuffled(lambda: queries.QUERIES["clique_enrichment"](spark, DATA))
+    assert got and n < 120 * m, n / m
