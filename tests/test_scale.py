@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallygraph import queries, table_queries  # noqa: F401
 from tallygraph.kernels import graphs as kernels
 from tallygraph.kernels import structure as kernels_of_structure
-from tallygraph.operators import colouring, communities, construct, ensemble, forests, growth, layers, matching, partition, paths, rewiring, sketches, structure, tiles, triangles
+from tallygraph.operators import baselines, colouring, communities, construct, ensemble, forests, growth, layers, matching, partition, paths, rewiring, sketches, structure, tiles, triangles
 from tallygraph.operators.ranges import Ranges
 from tallygraph.plans import audit
 
@@ -378,3 +378,11 @@ def test_enriched_cliques_shuffle_nulls_a_few_times(spark, shuffled):
     m = queries.trade.edges(spark, DATA).count()
     got, n = shuffled(lambda: queries.QUERIES["clique_enrichment"](spark, DATA))
     assert got and n < 120 * m, n / m
+
+
+def test_degree_baseline_shuffles_edges_a_few_times(spark, shuffled):
+    rng = np.random.default_rng(9)
+    pairs = {(min(p), max(p)) for p in map(tuple, rng.integers(0, 200, (2_000, 2)).tolist()) if p[0] != p[1]}
+    e = _graph(spark, pairs)
+    got, n = shuffled(lambda: baselines.make("degrees", e, None, 200, len(pairs), None, 3))
+    assert len(got) == len(set(got)) == len(pairs) and n < 8 * len(pairs)
